@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchfold.functions.matching import priority_coalesce, similarity_string
+from matchfold.operators.materialise import materialise
 from matchfold.operators.state import MappingState
 from matchfold.schema import ATTRIBUTES
 
@@ -42,25 +43,31 @@ def mapping_union(state: MappingState) -> DataFrame:
 
 
 def lookup_all(state: MappingState, rows: DataFrame) -> DataFrame:
-    """Per row, the cluster of each of its six attribute values (NULL if unknown)."""
+    """Per row, the cluster of each of its six attribute values (NULL if unknown).
+
+    An inner equi-join lets the planner broadcast whichever side its size check
+    admits (a small batch against a huge state, or a small state); otherwise both
+    sides are hash-partitioned on ``(_attr, value)`` and adaptive execution splits
+    a skewed (hot-value) partition."""
     long = unpivot_values(rows)
-    maps = mapping_union(state).join(long.select("_attr", "value").distinct(), ["_attr", "value"], "left_semi")
-    hits = long.join(maps, ["_attr", "value"], "inner")
+    hits = long.join(mapping_union(state), ["_attr", "value"], "inner")
     per_row = hits.groupBy("_rk").agg(
         *[F.max(F.when(F.col("_attr") == i, F.col("match_id"))).alias(MID_COLS[i]) for i in range(len(ATTRIBUTES))]
     )
     return rows.join(per_row, "_rk", "left")
 
 
-def _with_keys(batch: DataFrame) -> DataFrame:
+def keyed_batch(batch: DataFrame) -> DataFrame:
+    """Batch with a row key ``_rk``, materialised once: normalisation (regex work)
+    runs a single time and the key is stable across the plan's branches."""
     if "_rk" in batch.columns:
         return batch
-    return batch.withColumn("_rk", F.monotonically_increasing_id())
+    return materialise(batch.withColumn("_rk", F.monotonically_increasing_id()), "match-batch")
 
 
 def match_detail(state: MappingState, batch: DataFrame) -> DataFrame:
     """Rows with all six cluster ids, the chosen cluster and the similarity string."""
-    looked = lookup_all(state, _with_keys(batch))
+    looked = lookup_all(state, keyed_batch(batch))
     return looked.withColumn("aggr_match_id", priority_coalesce(*MID_COLS)).withColumn(
         "similarity", similarity_string(MID_COLS, "aggr_match_id")
     )
