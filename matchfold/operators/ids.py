@@ -6,15 +6,15 @@ each partition, so rows that need an id come first in every partition.  The low
 33 bits of ``monotonically_increasing_id()`` are the record's position within its
 partition (documented behaviour), i.e. its rank among the partition's id-needing
 rows.  A prefix sum over per-partition counts -- one row per partition, so its size
-is bounded by the partition count and broadcasting it is safe -- shifts each
-partition into place.  Everything stays in the JVM.
+is bounded by the partition count, never by the data -- shifts each partition
+into place.  Everything stays in the JVM.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchfold.operators.materialise import materialise
@@ -48,18 +48,19 @@ def assign_dense_ids(
     )
     # Materialise: partition ids and positions must not change if a task is re-run.
     numbered = materialise(ranged, name)
-    counts = numbered.groupBy("_pid").agg(F.sum(F.col("_need").cast("long")).alias("_n"))
-    offsets = counts.select(
-        "_pid",
-        F.coalesce(
-            F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_off"),
-        "_n",
+    # Per-partition counts: one row per partition (bounded by n), so collecting them
+    # is a fixed-size summary; the offsets become a literal lookup array.
+    counts = dict(
+        numbered.groupBy("_pid").agg(F.sum(F.col("_need").cast("long")).alias("_n")).collect()
     )
-    total = offsets.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    # offsets has at most n rows (one per partition): a proven bound for broadcast.
-    out = numbered.join(F.broadcast(offsets.drop("_n")), "_pid").withColumn(
+    offsets, running = [], 0
+    for pid in range(max(counts, default=-1) + 1):
+        offsets.append(running)
+        running += int(counts.get(pid) or 0)
+    offset = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets] or [F.lit(0).cast("long")]),
+                          F.col("_pid") + 1)
+    out = numbered.withColumn(
         out_col,
-        F.when(F.col("_need"), F.lit(start) + F.col("_off") + F.col("_pos") + F.lit(1)).cast("long"),
+        F.when(F.col("_need"), F.lit(start) + offset + F.col("_pos") + F.lit(1)).cast("long"),
     )
-    return out.drop("_pid", "_pos", "_off", "_need"), int(total)
+    return out.drop("_pid", "_pos", "_need"), running

@@ -19,14 +19,16 @@ attributes ``H = ATTRIBUTES[:k]`` already updated by this batch):
    value's own cluster, else a new id (dense, oldest latest-datetime first).
 6. **write** -- only new or changed values; an unchanged value keeps its row.
 
-Every stage materialises its outputs (new mapping table, per-value result, batch
-rows with lookups) to the shared checkpoint folder, cutting lineage and making a
-lost executor cost a re-read, not a re-run of earlier stages.
+Every stage materialises its inputs and outputs (batch rows with lookups, the
+per-value decision, the new mapping table) to the shared checkpoint folder,
+cutting lineage and making a lost executor cost a re-read, not a re-run of
+earlier stages.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,13 +76,27 @@ def impact_keys(to_match: DataFrame, k: int) -> DataFrame:
     return to_match.select(key.alias("_key")).where(F.col("_key").isNotNull()).distinct()
 
 
-def best_dependents(mapping_h: DataFrame, keys: DataFrame, j: int) -> DataFrame:
-    """J2 (eager form): per impacted cluster id, the newest row of higher attribute j
-    whose *previous* cluster was that id -> ``(prev_match_id, _h{j})``."""
-    return (
-        mapping_h.join(keys.withColumnRenamed("_key", "prev_match_id"), "prev_match_id", "left_semi")
-        .groupBy("prev_match_id")
-        .agg(F.max(F.struct(F.col("datetime").alias("dt"), F.col("match_id").alias("mid"))).alias(_h(j)))
+def best_dependents(tables: dict[str, DataFrame], keys: DataFrame, k: int) -> DataFrame:
+    """J2 (eager form): per impacted cluster id, for each higher attribute j < k the
+    newest row whose *previous* cluster was that id -> ``(prev_match_id, _h0.._h{k-1})``.
+
+    The k tables are reduced to impacted ids, unioned and pivoted in ONE grouped
+    aggregate (partial aggregation absorbs a hot cluster), so the literal
+    product of all dependents per cluster never materialises."""
+    parts = [
+        tables[ATTRIBUTES[j]]
+        .join(keys.withColumnRenamed("_key", "prev_match_id"), "prev_match_id", "left_semi")
+        .select("prev_match_id", F.lit(j).alias("_j"), "datetime", "match_id")
+        for j in range(k)
+    ]
+    both = reduce(DataFrame.unionByName, parts)
+    return both.groupBy("prev_match_id").agg(
+        *[
+            F.max(
+                F.when(F.col("_j") == j, F.struct(F.col("datetime").alias("dt"), F.col("match_id").alias("mid")))
+            ).alias(_h(j))
+            for j in range(k)
+        ]
     )
 
 
@@ -92,10 +108,8 @@ def existing_impacted(old_f: DataFrame, new_tables: dict[str, DataFrame], keys:
         F.col("prev_match_id").alias("_fprev"),
         F.struct(F.col("datetime").alias("dt"), F.col("source").alias("src")).alias("_newest"),
     )
-    for j in range(k):
-        best = best_dependents(new_tables[ATTRIBUTES[j]], keys, j).withColumnRenamed("prev_match_id", "_pj")
-        ex = ex.join(best, F.col("_fmid") == F.col("_pj"), "left").drop("_pj")
-    return ex
+    best = best_dependents(new_tables, keys, k).withColumnRenamed("prev_match_id", "_pj")
+    return ex.join(best, F.col("_fmid") == F.col("_pj"), "left").drop("_pj")
 
 
 def batch_candidates(to_match: DataFrame, k: int) -> DataFrame:
@@ -143,7 +157,7 @@ def update_stage(
     rows extended with ``_prev{k}, _mid{k}``."""
     attr = ATTRIBUTES[k]
     old_f = state.tables[attr]
-    to_match = lookup_current(rows, old_f, attr)
+    to_match = materialise(lookup_current(rows, old_f, attr), f"rows-{attr}")
     cands = batch_candidates(to_match, k)
     keys = None
     if k > 0:
@@ -176,10 +190,8 @@ def update_stage(
         F.when(changed, F.coalesce("_fmid", "_new")).otherwise(F.col("_fprev")).alias(f"_prev{k}"),
         F.col("_new").alias(f"_mid{k}"),
     )
-    next_rows = materialise(
-        to_match.drop("_fmid", "_fprev").join(after, F.col(attr) == F.col("_aval"), "left").drop("_aval"),
-        f"rows-{attr}",
-    )
+    # Lazy: the next stage materialises it together with its own lookup.
+    next_rows = to_match.drop("_fmid", "_fprev").join(after, F.col(attr) == F.col("_aval"), "left").drop("_aval")
     if trace is not None:
         trace[attr] = {
             "to_match": to_match,

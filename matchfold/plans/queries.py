@@ -255,7 +255,7 @@ def q_impacted_existing(spark, sf_dir):
 def q_impacted_dependents(spark, sf_dir):
     r = run_for(spark, sf_dir)
     keys = r.trace2()["keys"]
-    best = best_dependents(r.state2().tables["duns_number"], keys, 1)
+    best = best_dependents(r.state2().tables, keys, 2).where(F.col("_h1").isNotNull())
     return best.select("prev_match_id", F.col("_h1.dt").alias("h_datetime"), F.col("_h1.mid").alias("h_match_id"))
 
 
