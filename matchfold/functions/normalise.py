@@ -18,8 +18,14 @@ def _re(pattern: str) -> Column:
 
 
 def _fallback_lower(cleaned: Column, raw: Column) -> Column:
-    # An empty clean-up result falls back to the raw value; then lower-case.
-    return F.lower(F.coalesce(F.nullif(cleaned, F.lit("")), raw))
+    """An empty clean-up result falls back to the raw value; then lower-case.
+
+    ``nullif(cleaned, '')`` would expand to ``if(cleaned = '', null, cleaned)`` and,
+    inside the source-dependent CASE, the regex chain would run twice per row
+    (no common-subexpression elimination in conditional branches).  Wrapping the
+    value in a one-element array and dropping '' references it exactly once."""
+    kept = F.try_element_at(F.array_remove(F.array(cleaned), F.lit("")), F.lit(1))
+    return F.lower(F.coalesce(kept, raw))
 
 
 def norm_companies_house_id(c: Column | str = "companies_house_id") -> Column:

@@ -30,15 +30,20 @@ def assign_dense_ids(
     out_col: str,
     num_partitions: int | None = None,
     name: str = "ids",
-) -> tuple[DataFrame, int]:
+    extra_count: Column | None = None,
+) -> tuple[DataFrame, int, int]:
     """Give rows where ``need`` holds the ids ``start+1, start+2, ...`` in ``order``.
 
     Rows where ``need`` is false get NULL in ``out_col``.  Returns the materialised
-    result and the number of ids handed out.  ``order`` must be a total order.
+    result, the number of ids handed out and the number of rows where
+    ``extra_count`` holds (0 if not given; counted in the same pass).  ``order``
+    must be a total order.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    staged = df.withColumn("_need", need.cast("boolean"))
+    staged = df.withColumn("_need", need.cast("boolean")).withColumn(
+        "_extra", (extra_count if extra_count is not None else F.lit(False)).cast("boolean")
+    )
     keys = [(~F.col("_need")).alias("_notneed"), *order]
     ranged = (
         staged.repartitionByRange(n, *keys)
@@ -50,9 +55,11 @@ def assign_dense_ids(
     numbered = materialise(ranged, name)
     # Per-partition counts: one row per partition (bounded by n), so collecting them
     # is a fixed-size summary; the offsets become a literal lookup array.
-    counts = dict(
-        numbered.groupBy("_pid").agg(F.sum(F.col("_need").cast("long")).alias("_n")).collect()
-    )
+    summary = numbered.groupBy("_pid").agg(
+        F.sum(F.col("_need").cast("long")).alias("_n"), F.sum(F.col("_extra").cast("long")).alias("_x")
+    ).collect()
+    counts = {r["_pid"]: r["_n"] for r in summary}
+    extra = sum(int(r["_x"] or 0) for r in summary)
     offsets, running = [], 0
     for pid in range(max(counts, default=-1) + 1):
         offsets.append(running)
@@ -63,4 +70,4 @@ def assign_dense_ids(
         out_col,
         F.when(F.col("_need"), F.lit(start) + offset + F.col("_pos") + F.lit(1)).cast("long"),
     )
-    return out.drop("_pid", "_pos", "_need"), running
+    return out.drop("_pid", "_pos", "_need", "_extra"), running, extra

@@ -26,6 +26,7 @@ class MappingState:
     last_id: int = 0
     version: int | None = None
     meta: dict = field(default_factory=dict)
+    sizes: dict[str, int] | None = None  # row count per table when known
 
     def table(self, attr: str) -> DataFrame:
         return self.tables[attr]
@@ -40,7 +41,10 @@ class MappingState:
     def with_table(self, attr: str, df: DataFrame) -> "MappingState":
         tables = dict(self.tables)
         tables[attr] = df
-        return MappingState(tables, self.last_id, self.version, dict(self.meta))
+        return MappingState(tables, self.last_id, self.version, dict(self.meta), None)
+
+    def size(self, attr: str) -> int | None:
+        return None if self.sizes is None else self.sizes.get(attr)
 
 
 def empty_mapping(spark: SparkSession) -> DataFrame:
@@ -48,4 +52,4 @@ def empty_mapping(spark: SparkSession) -> DataFrame:
 
 
 def empty_state(spark: SparkSession) -> MappingState:
-    return MappingState({a: empty_mapping(spark) for a in ATTRIBUTES}, 0, 0)
+    return MappingState({a: empty_mapping(spark) for a in ATTRIBUTES}, 0, 0, {}, {a: 0 for a in ATTRIBUTES})

@@ -151,28 +151,49 @@ def update_stage(
     k: int,
     sink: TableSink | None = None,
     trace: dict | None = None,
+    present: int | None = None,
 ) -> tuple[MappingState, DataFrame]:
     """Fold one attribute.  ``rows`` must carry ``_prev{j}, _mid{j}`` for j < k
     (the post-update lookups of earlier stages).  Returns the new state and the
-    rows extended with ``_prev{k}, _mid{k}``."""
+    rows extended with ``_prev{k}, _mid{k}``.
+
+    ``present`` (non-null values of the attribute in the batch) and the state's
+    known table sizes let trivial work be skipped: with an empty table there is
+    nothing to look up and no existing row to re-decide (the initial load)."""
     attr = ATTRIBUTES[k]
     old_f = state.tables[attr]
-    to_match = materialise(lookup_current(rows, old_f, attr), f"rows-{attr}")
+    old_size = state.size(attr)
+    write = sink or (lambda a, df: materialise(df, f"map-{a}"))
+    if present == 0 and old_size == 0:
+        # Nothing in the batch and nothing stored: the stage is a no-op.
+        if trace is not None:
+            trace[attr] = None
+        new_state = MappingState(
+            {**state.tables, attr: write(attr, old_f)}, state.last_id, state.version, dict(state.meta), state.sizes
+        )
+        nulls = [F.lit(None).cast("long").alias(f"_prev{k}"), F.lit(None).cast("long").alias(f"_mid{k}")]
+        return new_state, rows.select("*", *nulls)
+    if old_size == 0:
+        looked = rows.select("*", F.lit(None).cast("long").alias("_fprev"), F.lit(None).cast("long").alias("_fmid"))
+    else:
+        looked = lookup_current(rows, old_f, attr)
+    to_match = materialise(looked, f"rows-{attr}")
     cands = batch_candidates(to_match, k)
     keys = None
-    if k > 0:
+    if k > 0 and old_size != 0:
         keys = impact_keys(to_match, k)
         ex = existing_impacted(old_f, state.tables, keys, k)
         cands = cands.unionByName(ex)
     latest = latest_values(cands, k).withColumn("_cand", chosen_cluster(k))
     # New ids in order of the value's latest datetime (then value).
-    ided, n_new = assign_dense_ids(
+    ided, n_new, n_inserted = assign_dense_ids(
         latest,
         need=F.col("_cand").isNull(),
         order=[F.col("_newest.dt"), F.col("value")],
         start=state.last_id,
         out_col="_nid",
         name=f"ids-{attr}",
+        extra_count=F.col("_fmid").isNull(),
     )
     decided = ided.withColumn("_new", F.coalesce("_cand", "_nid"))
     changed = F.col("_fmid").isNull() | (F.col("_fmid") != F.col("_new"))
@@ -183,8 +204,7 @@ def update_stage(
         F.col("_newest.src").alias("source"),
         F.col("_newest.dt").alias("datetime"),
     )
-    new_f = upsert(old_f, delta)
-    new_f = sink(attr, new_f) if sink else materialise(new_f, f"map-{attr}")
+    new_f = write(attr, upsert(old_f, delta) if old_size != 0 else delta)
     after = decided.select(
         F.col("value").alias("_aval"),
         F.when(changed, F.coalesce("_fmid", "_new")).otherwise(F.col("_fprev")).alias(f"_prev{k}"),
@@ -202,8 +222,11 @@ def update_stage(
             "delta": delta,
             "n_new": n_new,
         }
+    sizes = None
+    if state.sizes is not None and old_size is not None:
+        sizes = {**state.sizes, attr: old_size + n_inserted}  # values are never deleted
     new_state = MappingState(
-        {**state.tables, attr: new_f}, state.last_id + n_new, state.version, dict(state.meta)
+        {**state.tables, attr: new_f}, state.last_id + n_new, state.version, dict(state.meta), sizes
     )
     return new_state, next_rows
 
@@ -228,8 +251,9 @@ def update_mappings(
     ``sink(attr, df)`` persists each new table (default: checkpoint folder).
     """
     rows = materialise(prepare_batch(batch), "batch")
+    present = rows.agg(*[F.count(a).alias(a) for a in ATTRIBUTES]).first().asDict()
     for k in range(stages):
-        state, rows = update_stage(state, rows, k, sink=sink, trace=trace)
+        state, rows = update_stage(state, rows, k, sink=sink, trace=trace, present=present[ATTRIBUTES[k]])
     if trace is not None:
         trace["rows"] = rows
     return state

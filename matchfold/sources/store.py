@@ -27,6 +27,7 @@ COMMIT_SCHEMA = T.StructType(
         T.StructField("version", T.LongType(), False),
         T.StructField("last_id", T.LongType(), False),
         T.StructField("batch_id", T.LongType(), True),
+        T.StructField("sizes", T.MapType(T.StringType(), T.LongType()), True),
     ]
 )
 
@@ -45,13 +46,19 @@ class StateStore:
         except AnalysisException:
             return None
 
-    def latest(self) -> tuple[int, int, int | None] | None:
-        """(version, last_id, batch_id) of the newest committed version."""
+    def _head(self, version: int | None = None):
         c = self.commits()
         if c is None:
             return None
+        if version is not None:
+            c = c.where(F.col("version") == version)
         row = c.orderBy(F.col("version").desc()).limit(1).collect()
-        return (row[0].version, row[0].last_id, row[0].batch_id) if row else None
+        return row[0] if row else None
+
+    def latest(self) -> tuple[int, int, int | None] | None:
+        """(version, last_id, batch_id) of the newest committed version."""
+        row = self._head()
+        return (row.version, row.last_id, row.batch_id) if row else None
 
     def exists(self) -> bool:
         return self.latest() is not None
@@ -60,21 +67,15 @@ class StateStore:
         return self.spark.read.schema(MAPPING_SCHEMA).parquet(f"{self._vdir(version)}/{attr}")
 
     def load(self, version: int | None = None) -> MappingState:
-        if version is None:
-            head = self.latest()
-            if head is None:
-                raise FileNotFoundError(f"no committed state under {self.root}")
-            version, last_id, batch_id = head
-        else:
-            row = self.commits().where(F.col("version") == version).collect()
-            if not row:
-                raise FileNotFoundError(f"version {version} is not committed under {self.root}")
-            last_id, batch_id = row[0].last_id, row[0].batch_id
-        tables = {a: self._read_table(version, a) for a in ATTRIBUTES}
-        return MappingState(tables, last_id, version, {"batch_id": batch_id, "root": self.root})
-
-    def _commit(self, version: int, last_id: int, batch_id: int | None) -> None:
-        row = self.spark.createDataFrame([(version, last_id, batch_id)], COMMIT_SCHEMA)
+        row = self._head(version)
+        if row is None:
+            raise FileNotFoundError(f"version {version if version is not None else '(latest)'} not committed under {self.root}")
+        tables = {a: self._read_table(row.version, a) for a in ATTRIBUTES}
+        sizes = dict(row.sizes) if row.sizes is not None else None
+        return MappingState(tables, row.last_id, row.version, {"batch_id": row.batch_id, "root": self.root}, sizes)
+
+    def _commit(self, version: int, last_id: int, batch_id: int | None, sizes: dict | None = None) -> None:
+        row = self.spark.createDataFrame([(version, last_id, batch_id, sizes)], COMMIT_SCHEMA)
         row.coalesce(1).write.mode("overwrite").parquet(f"{self._vdir(version)}/commit")
 
     def create(self, reset: bool = False) -> MappingState:
@@ -85,7 +86,8 @@ class StateStore:
         version = 0 if head is None else head[0] + 1
         for a in ATTRIBUTES:
             empty_mapping(self.spark).write.mode("overwrite").parquet(f"{self._vdir(version)}/{a}")
-        self._commit(version, 0 if head is None else head[1], None)  # ids are never reused
+        # ids are never reused, so a reset keeps the high-water mark
+        self._commit(version, 0 if head is None else head[1], None, {a: 0 for a in ATTRIBUTES})
         return self.load(version)
 
     def sink_for(self, version: int):
@@ -103,5 +105,5 @@ class StateStore:
             return base  # already applied (at-least-once replay of a micro-batch)
         version = base.version + 1
         new = update_mappings(base, batch, sink=self.sink_for(version), trace=trace)
-        self._commit(version, new.last_id, batch_id)
+        self._commit(version, new.last_id, batch_id, new.sizes)
         return self.load(version)
