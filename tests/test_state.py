@@ -94,3 +94,14 @@ def test_match_invariants(spark):
     assert sorted(tuple(r) for r in store.load().long().collect()) == before
     detail = F.col("similarity")
     assert match(s, probe).where(detail.rlike("^[01]{6}$")).count() == len(rows)
+
+
+def test_reset_keeps_id_high_water_mark(spark):
+    store = StateStore(spark, scratch_path(spark, "t-reset"))
+    store.create()
+    s = store.update(_norm(spark, [("inc", "AB000001"), ("inc", "AB000002")]), batch_id=0)
+    assert s.last_id == 2
+    fresh = store.create(reset=True)
+    assert fresh.long().count() == 0 and fresh.last_id == 2 and store.exists()
+    s2 = store.update(_norm(spark, [("inc", "AB000003")]), batch_id=1)
+    assert [r.match_id for r in s2.long().collect()] == [3]
