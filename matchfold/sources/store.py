@@ -40,7 +40,17 @@ class StateStore:
     def _vdir(self, version: int) -> str:
         return f"{self.root}/v{version:08d}"
 
+    def _any_commit(self) -> bool:
+        """Whether any committed version exists (a file-system glob, no Spark job)."""
+        jvm = self.spark.sparkContext._jvm
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.root}/v*/commit")
+        fs = pattern.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = fs.globStatus(pattern)
+        return found is not None and len(found) > 0
+
     def commits(self) -> DataFrame | None:
+        if not self._any_commit():
+            return None
         try:
             return self.spark.read.schema(COMMIT_SCHEMA).parquet(f"{self.root}/v*/commit")
         except AnalysisException:
