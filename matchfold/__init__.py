@@ -9,6 +9,7 @@ Public API (lazy DataFrames unless stated):
 * ``MappingState`` / ``empty_state``     -- the state value
 * ``StateStore``                         -- versioned Parquet state
 * ``stream_updates``                     -- Structured Streaming driver
+* ``resolve``                            -- one request: validate, update and/or match
 """
 
 from matchfold.schema import ATTRIBUTES, DESCRIPTION_SCHEMA, MAPPING_SCHEMA
@@ -19,6 +20,7 @@ from matchfold.operators.update import update_mappings
 from matchfold.operators.match import match
 from matchfold.sources.store import StateStore
 from matchfold.streaming.stream import stream_updates
+from matchfold.plans.api import resolve
 
 __all__ = [
     "ATTRIBUTES",
@@ -34,4 +36,5 @@ __all__ = [
     "match",
     "StateStore",
     "stream_updates",
+    "resolve",
 ]
