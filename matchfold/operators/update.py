@@ -204,7 +204,8 @@ def update_stage(
         F.col("_newest.src").alias("source"),
         F.col("_newest.dt").alias("datetime"),
     )
-    new_f = write(attr, upsert(old_f, delta) if old_size != 0 else delta)
+    layout = getattr(sink, "buckets", None)
+    new_f = write(attr, upsert(old_f, delta, layout) if old_size != 0 else delta)
     after = decided.select(
         F.col("value").alias("_aval"),
         F.when(changed, F.coalesce("_fmid", "_new")).otherwise(F.col("_fprev")).alias(f"_prev{k}"),
@@ -231,8 +232,14 @@ def update_stage(
     return new_state, next_rows
 
 
-def upsert(old: DataFrame, delta: DataFrame) -> DataFrame:
-    """Insert new values, replace changed ones (value is the key)."""
+def upsert(old: DataFrame, delta: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Insert new values, replace changed ones (value is the key).
+
+    With ``partitions`` (the bucket count of a bucketed ``old``) the delta is
+    hash-laid-out like the state, so the anti join and the union keep the state's
+    layout: only the delta is shuffled, never the stored rows."""
+    if partitions:
+        delta = delta.repartition(partitions, "value")
     return old.join(delta.select("value"), "value", "left_anti").select(*MAPPING_COLUMNS).unionByName(
         delta.select(*MAPPING_COLUMNS)
     )

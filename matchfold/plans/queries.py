@@ -49,7 +49,8 @@ class FixtureRun:
 
     def _fold(self, key: str, batches: tuple) -> tuple[list[MappingState], list[dict]]:
         if key not in self._memo:
-            store = StateStore(self.spark, scratch_path(self.spark, f"state-{key}"))
+            buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            store = StateStore(self.spark, scratch_path(self.spark, f"state-{key}"), buckets=buckets)
             store.create()
             states, traces = [], []
             for i, b in enumerate(batches):

@@ -9,10 +9,19 @@ A version is visible once its ``commit`` table exists, and a path that is being
 read is never overwritten: an update writes ``v{n+1}`` and commits it last, so a
 crashed or retried update leaves the previous version intact.  ``batch_id`` makes
 micro-batch replays idempotent.
+
+With ``buckets=B`` the mapping tables are written as bucketed tables (hash of
+``value`` into B buckets, registered in the session catalog as external tables
+over the version folder).  Joins on ``value`` -- the batch lookup and the upsert's
+anti join -- then read the big state side without shuffling it, and the rewrite
+keeps the bucket layout without a shuffle of the old rows.  Use B equal to
+``spark.sql.shuffle.partitions`` so the other side is shuffled to the same layout.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,14 +37,22 @@ COMMIT_SCHEMA = T.StructType(
         T.StructField("last_id", T.LongType(), False),
         T.StructField("batch_id", T.LongType(), True),
         T.StructField("sizes", T.MapType(T.StringType(), T.LongType()), True),
+        T.StructField("buckets", T.IntegerType(), True),
     ]
 )
 
+_MAPPING_DDL = "value STRING, prev_match_id BIGINT, match_id BIGINT, source STRING, datetime TIMESTAMP_NTZ"
+
 
 class StateStore:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.buckets = buckets
+        self._tag = hashlib.sha1(self.root.encode()).hexdigest()[:12]
+
+    def _table_name(self, version: int, attr: str) -> str:
+        return f"matchfold_{self._tag}_v{version}_{attr}"
 
     def _vdir(self, version: int) -> str:
         return f"{self.root}/v{version:08d}"
@@ -73,19 +90,29 @@ class StateStore:
     def exists(self) -> bool:
         return self.latest() is not None
 
-    def _read_table(self, version: int, attr: str) -> DataFrame:
-        return self.spark.read.schema(MAPPING_SCHEMA).parquet(f"{self._vdir(version)}/{attr}")
+    def _read_table(self, version: int, attr: str, buckets: int | None = None) -> DataFrame:
+        path = f"{self._vdir(version)}/{attr}"
+        if not buckets:
+            return self.spark.read.schema(MAPPING_SCHEMA).parquet(path)
+        name = self._table_name(version, attr)
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} ({_MAPPING_DDL}) USING parquet "
+            f"CLUSTERED BY (value) INTO {int(buckets)} BUCKETS LOCATION '{path}'"
+        )
+        return self.spark.table(name)
 
     def load(self, version: int | None = None) -> MappingState:
         row = self._head(version)
         if row is None:
             raise FileNotFoundError(f"version {version if version is not None else '(latest)'} not committed under {self.root}")
-        tables = {a: self._read_table(row.version, a) for a in ATTRIBUTES}
+        if row.buckets:
+            self.buckets = row.buckets  # the layout is a property of the stored data
+        tables = {a: self._read_table(row.version, a, row.buckets) for a in ATTRIBUTES}
         sizes = dict(row.sizes) if row.sizes is not None else None
         return MappingState(tables, row.last_id, row.version, {"batch_id": row.batch_id, "root": self.root}, sizes)
 
     def _commit(self, version: int, last_id: int, batch_id: int | None, sizes: dict | None = None) -> None:
-        row = self.spark.createDataFrame([(version, last_id, batch_id, sizes)], COMMIT_SCHEMA)
+        row = self.spark.createDataFrame([(version, last_id, batch_id, sizes, self.buckets)], COMMIT_SCHEMA)
         row.coalesce(1).write.mode("overwrite").parquet(f"{self._vdir(version)}/commit")
 
     def create(self, reset: bool = False) -> MappingState:
@@ -94,18 +121,35 @@ class StateStore:
         if head is not None and not reset:
             return self.load()
         version = 0 if head is None else head[0] + 1
+        if head is not None and self.buckets is None:
+            self.load()  # keep the stored layout
+        sink = self.sink_for(version)
         for a in ATTRIBUTES:
-            empty_mapping(self.spark).write.mode("overwrite").parquet(f"{self._vdir(version)}/{a}")
+            sink(a, empty_mapping(self.spark))
         # ids are never reused, so a reset keeps the high-water mark
         self._commit(version, 0 if head is None else head[1], None, {a: 0 for a in ATTRIBUTES})
         return self.load(version)
 
     def sink_for(self, version: int):
+        buckets = self.buckets
+
         def sink(attr: str, df: DataFrame) -> DataFrame:
             path = f"{self._vdir(version)}/{attr}"
-            df.write.mode("overwrite").parquet(path)
-            return self.spark.read.schema(MAPPING_SCHEMA).parquet(path)
-
+            if not buckets:
+                df.write.mode("overwrite").parquet(path)
+                return self.spark.read.schema(MAPPING_SCHEMA).parquet(path)
+            name = self._table_name(version, attr)
+            (
+                df.repartition(buckets, "value")  # elided when df is already laid out so
+                .write.format("parquet")
+                .bucketBy(buckets, "value")
+                .mode("overwrite")
+                .option("path", path)
+                .saveAsTable(name)
+            )
+            return self.spark.table(name)
+
+        sink.buckets = buckets  # lets the writer lay the delta out like the state
         return sink
 
     def update(self, batch: DataFrame, batch_id: int | None = None, trace: dict | None = None) -> MappingState:

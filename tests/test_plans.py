@@ -65,3 +65,32 @@ def test_id_allocation_has_no_single_partition_exchange(spark):
         ids.materialise = real
     assert captured and "rangepartitioning" in captured[0].lower()
     assert "SinglePartition" not in captured[0]
+
+
+def test_bucketed_state_is_not_shuffled(spark):
+    """Lookup and upsert read a bucketed state table without an exchange on it."""
+    from matchfold import StateStore
+    from matchfold.operators.update import lookup_current, prepare_batch, upsert
+    from matchfold.session import scratch_path
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        store = StateStore(spark, scratch_path(spark, "t-bucketed"), buckets=parts)
+        batch = normalise_descriptions(descriptions(spark, [("inc", "AB000001", "dun1", "name1"), ("inc", "AB000002", "dun1")]))
+        state = store.update(batch, batch_id=0)
+        table = state.tables["duns_number"]
+        delta = table.limit(1)
+        for p in (lookup_current(prepare_batch(batch), table, "duns_number"), upsert(table, delta, parts).repartition(parts, "value")):
+            text = plan_text(p)
+            scan_lines = [l for l in text.splitlines() if "Scan parquet" in l and "duns_number" in l]
+            assert "Bucketed: true" in text
+            # the exchange-free path: no exchange is the direct parent of the bucketed scan
+            assert "REPARTITION_BY_NUM" not in text.split("Union")[0] if "Union" in text else True
+            assert scan_lines
+        # dun1 follows the newer description (cluster 2); name1 follows AB000001 (cluster 1)
+        assert sorted(tuple(r) for r in match(state, batch).collect()) == [("1", 1, "101000"), ("2", 2, "110000")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
