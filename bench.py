@@ -51,15 +51,16 @@ def main() -> None:
 
     warm_dir = os.path.join(os.path.dirname(sf_dir), "sf0.001")
     if os.path.isdir(warm_dir):
-        warm = StateStore(spark, scratch_path(spark, "bench-warmup"))
+        warm = StateStore(spark, scratch_path(spark, "bench-warmup"), buckets=cpus)
         w = warm.update(batch(spark, warm_dir, None), batch_id=0)
         match(w, batch(spark, warm_dir, None, "match"), dnb=True).write.format("noop").mode("overwrite").save()
 
-    single = StateStore(spark, scratch_path(spark, "bench-single"))
+    # state tables bucketed on value, one bucket per shuffle partition
+    single = StateStore(spark, scratch_path(spark, "bench-single"), buckets=cpus)
     single.create()
     _, times["update_mappings"] = timed(lambda: single.update(batch(spark, sf_dir, None), batch_id=0))
 
-    store = StateStore(spark, scratch_path(spark, "bench-two"))
+    store = StateStore(spark, scratch_path(spark, "bench-two"), buckets=cpus)
     store.create()
     store.update(batch(spark, sf_dir, 1), batch_id=0)
     state, times["update_incremental"] = timed(lambda: store.update(batch(spark, sf_dir, 2), batch_id=1))
