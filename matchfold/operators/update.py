@@ -56,24 +56,46 @@ def _h(j: int) -> str:
     return f"_h{j}"
 
 
-def lookup_current(rows: DataFrame, mapping: DataFrame, attr: str) -> DataFrame:
-    """Batch rows left-joined to ``attr``'s mapping (NULL values never match).
+def mapping_lookup(mapping: DataFrame, rows: DataFrame, attr: str) -> DataFrame:
+    """The mapping rows of the batch's distinct values: ``(_fval, _fprev, _fmid)``.
 
-    The mapping is first reduced to the batch's distinct values with a semi join
-    (the optimizer broadcasts the value list when its size allows)."""
+    A semi join against the distinct values: the value list is broadcast when its
+    size allows, and a bucketed mapping is read without a shuffle.  The result is
+    batch-sized, one row per value."""
     vals = rows.where(F.col(attr).isNotNull()).select(F.col(attr).alias("value")).distinct()
-    look = mapping.join(vals, "value", "left_semi").select(
+    return mapping.join(vals, "value", "left_semi").select(
         F.col("value").alias("_fval"),
         F.col("prev_match_id").alias("_fprev"),
         F.col("match_id").alias("_fmid"),
     )
+
+
+def lookup_current(rows: DataFrame, mapping: DataFrame, attr: str) -> DataFrame:
+    """J1 at row level: batch rows left-joined to ``attr``'s mapping (NULL never
+    matches).  The fold itself never needs this row-level join (see
+    ``impact_keys``); it is the operator's inspectable form."""
+    look = mapping_lookup(mapping, rows, attr)
     return rows.join(look, F.col(attr) == F.col("_fval"), "left").drop("_fval")
 
 
-def impact_keys(to_match: DataFrame, k: int) -> DataFrame:
-    """Cluster ids whose existing members of attribute k must be re-decided."""
-    key = F.coalesce(F.col("_fmid"), *[F.col(f"_prev{j}") for j in reversed(range(k))])
-    return to_match.select(key.alias("_key")).where(F.col("_key").isNotNull()).distinct()
+def impact_keys(rows: DataFrame, look: DataFrame, k: int) -> DataFrame:
+    """Cluster ids whose existing members of attribute k must be re-decided:
+    per batch row ``coalesce(current id of its value, prev id of H[k-1], ..., H[0])``.
+
+    Built without joining every row to the lookup: stored values give their own
+    id (from the per-value lookup); rows without a value give their prev-id
+    coalesce; rows whose value is not stored are found per distinct
+    ``(value, prev-id coalesce)`` pair, so a hot value is pre-aggregated away."""
+    attr = ATTRIBUTES[k]
+    cprev = F.coalesce(*[F.col(f"_prev{j}") for j in reversed(range(k))])
+    stored = look.select(F.col("_fmid").alias("_key"))
+    no_value = rows.where(F.col(attr).isNull()).select(cprev.alias("_key"))
+    pairs = rows.where(F.col(attr).isNotNull()).select(F.col(attr).alias("_fval"), cprev.alias("_key")).where(
+        F.col("_key").isNotNull()
+    ).distinct()
+    unknown = pairs.join(look.select("_fval"), "_fval", "left_anti").select("_key")
+    keys = stored.unionByName(no_value).unionByName(unknown)
+    return keys.where(F.col("_key").isNotNull()).distinct()
 
 
 def best_dependents(tables: dict[str, DataFrame], keys: DataFrame, k: int) -> DataFrame:
@@ -112,12 +134,15 @@ def existing_impacted(old_f: DataFrame, new_tables: dict[str, DataFrame], keys:
     return ex.join(best, F.col("_fmid") == F.col("_pj"), "left").drop("_pj")
 
 
-def batch_candidates(to_match: DataFrame, k: int) -> DataFrame:
+def batch_candidates(rows: DataFrame, k: int) -> DataFrame:
+    """Batch rows with a value for attribute k.  The value's stored ids are not
+    attached per row: they arrive with the impacted existing rows (or, for the
+    first attribute, per value after aggregation)."""
     attr = ATTRIBUTES[k]
-    return to_match.where(F.col(attr).isNotNull()).select(
+    return rows.where(F.col(attr).isNotNull()).select(
         F.col(attr).alias("value"),
-        "_fmid",
-        "_fprev",
+        F.lit(None).cast("long").alias("_fmid"),
+        F.lit(None).cast("long").alias("_fprev"),
         F.struct(F.col("datetime").alias("dt"), F.col("source").alias("src")).alias("_newest"),
         *[
             F.when(
@@ -152,6 +177,7 @@ def update_stage(
     sink: TableSink | None = None,
     trace: dict | None = None,
     present: int | None = None,
+    rows_materialised: bool = False,
 ) -> tuple[MappingState, DataFrame]:
     """Fold one attribute.  ``rows`` must carry ``_prev{j}, _mid{j}`` for j < k
     (the post-update lookups of earlier stages).  Returns the new state and the
@@ -173,18 +199,29 @@ def update_stage(
         )
         nulls = [F.lit(None).cast("long").alias(f"_prev{k}"), F.lit(None).cast("long").alias(f"_mid{k}")]
         return new_state, rows.select("*", *nulls)
-    if old_size == 0:
-        looked = rows.select("*", F.lit(None).cast("long").alias("_fprev"), F.lit(None).cast("long").alias("_fmid"))
+    if not rows_materialised:
+        rows = materialise(rows, f"rows-{attr}")
+    cands = batch_candidates(rows, k)
+    keys = look = None
+    if old_size != 0:
+        look = mapping_lookup(old_f, rows, attr)
+    if k > 0 and look is not None:
+        # Every stored batch value's id is an impact key, so its own row is among
+        # the impacted existing rows and brings _fmid/_fprev into the aggregate.
+        keys = impact_keys(rows, look, k)
+        cands = cands.unionByName(existing_impacted(old_f, state.tables, keys, k))
+        latest = latest_values(cands, k)
+    elif look is not None:
+        # First attribute: no dependents; attach stored ids per value (1:1 join).
+        latest = (
+            latest_values(cands, k)
+            .drop("_fmid", "_fprev")
+            .join(look, F.col("value") == F.col("_fval"), "left")
+            .drop("_fval")
+        )
     else:
-        looked = lookup_current(rows, old_f, attr)
-    to_match = materialise(looked, f"rows-{attr}")
-    cands = batch_candidates(to_match, k)
-    keys = None
-    if k > 0 and old_size != 0:
-        keys = impact_keys(to_match, k)
-        ex = existing_impacted(old_f, state.tables, keys, k)
-        cands = cands.unionByName(ex)
-    latest = latest_values(cands, k).withColumn("_cand", chosen_cluster(k))
+        latest = latest_values(cands, k)
+    latest = latest.withColumn("_cand", chosen_cluster(k))
     # New ids in order of the value's latest datetime (then value).
     ided, n_new, n_inserted = assign_dense_ids(
         latest,
@@ -211,11 +248,13 @@ def update_stage(
         F.when(changed, F.coalesce("_fmid", "_new")).otherwise(F.col("_fprev")).alias(f"_prev{k}"),
         F.col("_new").alias(f"_mid{k}"),
     )
-    # Lazy: the next stage materialises it together with its own lookup.
-    next_rows = to_match.drop("_fmid", "_fprev").join(after, F.col(attr) == F.col("_aval"), "left").drop("_aval")
+    # Lazy: materialised as the next stage's input.  Both sides are shuffled, so
+    # adaptive execution can split a hot value's partition of the batch rows.
+    next_rows = rows.join(after, F.col(attr) == F.col("_aval"), "left").drop("_aval")
     if trace is not None:
         trace[attr] = {
-            "to_match": to_match,
+            "rows": rows,
+            "look": look,
             "keys": keys,
             "candidates": cands,
             "latest": latest,
@@ -260,7 +299,9 @@ def update_mappings(
     rows = materialise(prepare_batch(batch), "batch")
     present = rows.agg(*[F.count(a).alias(a) for a in ATTRIBUTES]).first().asDict()
     for k in range(stages):
-        state, rows = update_stage(state, rows, k, sink=sink, trace=trace, present=present[ATTRIBUTES[k]])
+        state, rows = update_stage(
+            state, rows, k, sink=sink, trace=trace, present=present[ATTRIBUTES[k]], rows_materialised=(k == 0)
+        )
     if trace is not None:
         trace["rows"] = rows
     return state

@@ -17,7 +17,7 @@ from matchfold.functions import normalise as N
 from matchfold.functions.matching import priority_coalesce, similarity_string
 from matchfold.operators.match import MID_COLS, latest_duns_per_cluster, match, match_detail
 from matchfold.operators.state import MAPPING_COLUMNS, MappingState
-from matchfold.operators.update import best_dependents, upsert
+from matchfold.operators.update import best_dependents, lookup_current, upsert
 from matchfold.operators.validate import split_valid, validate_descriptions
 from matchfold.operators import validate as V
 from matchfold.schema import ATTRIBUTES
@@ -237,9 +237,9 @@ def _trace_cols(df: DataFrame, k: int) -> list:
 
 
 def q_lookup_left_join(spark, sf_dir):
-    t = run_for(spark, sf_dir).trace2()
+    r = run_for(spark, sf_dir)
     k = ATTRIBUTES.index(TRACE_STAGE)
-    tm = t["to_match"]
+    tm = lookup_current(r.trace2()["rows"], r.state1().tables[TRACE_STAGE], TRACE_STAGE)
     return tm.select(
         "id", F.col(TRACE_STAGE).alias("value"), F.col("_fprev").alias("f_prev"), F.col("_fmid").alias("f_mid"),
         *_trace_cols(tm, k),
@@ -261,10 +261,13 @@ def q_impacted_dependents(spark, sf_dir):
 
 
 def q_union_candidates(spark, sf_dir):
-    c = run_for(spark, sf_dir).trace2()["candidates"]
+    """A3: batch rows and impacted existing rows; each candidate's stored id is the
+    value's id (what the per-value aggregate carries)."""
+    t = run_for(spark, sf_dir).trace2()
     k = ATTRIBUTES.index(TRACE_STAGE)
+    c = t["candidates"].join(t["look"].select("_fval", F.col("_fmid").alias("_lmid")), F.col("value") == F.col("_fval"), "left")
     return c.select(
-        "value", F.col("_fmid").alias("f_mid"), F.col("_newest.dt").alias("f_dt"), F.col("_newest.src").alias("f_src"),
+        "value", F.coalesce("_fmid", "_lmid").alias("f_mid"), F.col("_newest.dt").alias("f_dt"), F.col("_newest.src").alias("f_src"),
         *[x for j in range(k) for x in (F.col(f"_h{j}.dt").alias(f"h{j}_dt"), F.col(f"_h{j}.mid").alias(f"h{j}_mid"))],
     )
 
