@@ -208,7 +208,8 @@ def update_stage(
     if k > 0 and look is not None:
         # Every stored batch value's id is an impact key, so its own row is among
         # the impacted existing rows and brings _fmid/_fprev into the aggregate.
-        keys = impact_keys(rows, look, k)
+        # Small (impacted cluster ids) but used by several branches: written once.
+        keys = materialise(impact_keys(rows, look, k), f"keys-{attr}")
         cands = cands.unionByName(existing_impacted(old_f, state.tables, keys, k))
         latest = latest_values(cands, k)
     elif look is not None:
