@@ -22,7 +22,7 @@ from matchfold.operators.validate import split_valid, validate_descriptions
 from matchfold.operators import validate as V
 from matchfold.schema import ATTRIBUTES
 from matchfold.session import scratch_path
-from matchfold.sources.fixtures import derived_descriptions, load_table
+from matchfold.sources.fixtures import derived_descriptions
 from matchfold.sources.payload import expand_payloads, match_json, parse_description_text
 from matchfold.sources.store import StateStore
 from matchfold.streaming.stream import stream_updates

@@ -1,7 +1,6 @@
 """Attribute normalisation: quirks that must be kept (strict/general name rules)."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from matchfold.functions import normalise as N
 
