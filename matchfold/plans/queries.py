@@ -101,10 +101,6 @@ def q_normalise_descriptions(spark, sf_dir):
 
 # --- validation -------------------------------------------------------------------
 
-def _has(errors_col: str, needle: str):
-    return F.exists(F.col(errors_col), lambda e: e["message"].contains(needle))
-
-
 def _val_query(mode: str, flag):
     def q(spark, sf_dir):
         d = validate_descriptions(run_for(spark, sf_dir).raw(), mode)
@@ -124,8 +120,9 @@ def _path_has(suffixes):
 
 
 def q_val_required_match(spark, sf_dir):
-    return _val_query("match", lambda d: _has("errors", "' is a required property") & F.exists(
-        F.col("errors"), lambda e: e["message"] == F.lit("'id' is a required property")))(spark, sf_dir)
+    d = validate_descriptions(run_for(spark, sf_dir).raw(), "match")
+    missing_id = F.lit("'id' is a required property")
+    return d.select("id", F.exists(F.col("errors"), lambda e: e["message"] == missing_id).alias("violates"))
 
 
 def q_val_required_update(spark, sf_dir):
