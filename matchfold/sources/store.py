@@ -38,6 +38,7 @@ COMMIT_SCHEMA = T.StructType(
         T.StructField("batch_id", T.LongType(), True),
         T.StructField("sizes", T.MapType(T.StringType(), T.LongType()), True),
         T.StructField("buckets", T.IntegerType(), True),
+        T.StructField("stream", T.StringType(), True),
     ]
 )
 
@@ -109,10 +110,13 @@ class StateStore:
             self.buckets = row.buckets  # the layout is a property of the stored data
         tables = {a: self._read_table(row.version, a, row.buckets) for a in ATTRIBUTES}
         sizes = dict(row.sizes) if row.sizes is not None else None
-        return MappingState(tables, row.last_id, row.version, {"batch_id": row.batch_id, "root": self.root}, sizes)
+        meta = {"batch_id": row.batch_id, "stream": row.stream, "root": self.root}
+        return MappingState(tables, row.last_id, row.version, meta, sizes)
 
-    def _commit(self, version: int, last_id: int, batch_id: int | None, sizes: dict | None = None) -> None:
-        row = self.spark.createDataFrame([(version, last_id, batch_id, sizes, self.buckets)], COMMIT_SCHEMA)
+    def _commit(
+        self, version: int, last_id: int, batch_id: int | None, sizes: dict | None = None, stream: str | None = None
+    ) -> None:
+        row = self.spark.createDataFrame([(version, last_id, batch_id, sizes, self.buckets, stream)], COMMIT_SCHEMA)
         row.coalesce(1).write.mode("overwrite").parquet(f"{self._vdir(version)}/commit")
 
     def create(self, reset: bool = False) -> MappingState:
@@ -152,12 +156,19 @@ class StateStore:
         sink.buckets = buckets  # lets the writer lay the delta out like the state
         return sink
 
-    def update(self, batch: DataFrame, batch_id: int | None = None, trace: dict | None = None) -> MappingState:
-        """Fold a normalised batch into the newest version and commit the result."""
+    def update(
+        self, batch: DataFrame, batch_id: int | None = None, trace: dict | None = None, stream: str | None = None
+    ) -> MappingState:
+        """Fold a normalised batch into the newest version and commit the result.
+
+        ``(stream, batch_id)`` identifies a micro-batch: one that the same stream
+        already committed is skipped (at-least-once replay), while a different
+        stream -- e.g. a new checkpoint whose ids restart at 0 -- is applied."""
         base = self.create()
-        if batch_id is not None and base.meta.get("batch_id") is not None and base.meta["batch_id"] >= batch_id:
-            return base  # already applied (at-least-once replay of a micro-batch)
+        done = base.meta.get("batch_id")
+        if batch_id is not None and done is not None and base.meta.get("stream") == stream and done >= batch_id:
+            return base
         version = base.version + 1
         new = update_mappings(base, batch, sink=self.sink_for(version), trace=trace)
-        self._commit(version, new.last_id, batch_id, new.sizes)
+        self._commit(version, new.last_id, batch_id, new.sizes, stream)
         return self.load(version)

@@ -2,8 +2,9 @@
 
 Each micro-batch of descriptions is validated, normalised and folded into the
 versioned state inside ``foreachBatch``.  The state commit records the micro-batch
-id, so a micro-batch that is re-delivered after a failure (at-least-once) is
-skipped instead of being applied twice.  Arrival order matters for the result
+id and the stream's checkpoint location, so a micro-batch that is re-delivered
+after a failure (at-least-once) is skipped instead of being applied twice, while
+a new stream over the same store is not mistaken for a replay.  Arrival order matters for the result
 (a batch and the same rows as a sequence can differ), so the source is read in
 file order with a bounded number of files per trigger.
 """
@@ -45,7 +46,7 @@ def stream_updates(
         valid, rejected = split_valid(batch, "update")
         if rejects_dir:
             rejected.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(rejects_dir)
-        store.update(normalise_descriptions(valid), batch_id=batch_id)
+        store.update(normalise_descriptions(valid), batch_id=batch_id, stream=checkpoint_location)
 
     writer = (
         description_stream(spark, source_dir, files_per_trigger)

@@ -30,3 +30,15 @@ def test_stream_equals_sequence(spark, tmp_path):
     assert state.meta["batch_id"] == 2  # the invalid third row was rejected, the batch still committed
     probe = normalise_descriptions(descriptions(spark, [(day(3), None, None, "name1")]))
     assert [tuple(r) for r in match(state, probe).collect()] == [("1", 2, "001000")]
+
+
+def test_new_stream_on_existing_store_is_applied(spark, tmp_path):
+    """A second stream (own checkpoint, batch ids from 0 again) is not a replay."""
+    store = StateStore(spark, scratch_path(spark, "t-stream2"))
+    for n, (step, name) in enumerate([([(day(1), "CH000001")], "a"), ([(day(2), "CH000002")], "b")]):
+        src = tmp_path / f"src-{name}"
+        src.mkdir()
+        (src / "batch.json").write_text("\n".join(_lines(spark, step)) + "\n")
+        stream_updates(spark, str(src), store, str(tmp_path / f"ckpt-{name}"))
+    state = store.load()
+    assert sorted(r.value for r in state.tables["companies_house_id"].collect()) == ["ch000001", "ch000002"]
