@@ -22,8 +22,9 @@ PAYLOAD_ERROR = "Unable to read JSON payload"
 
 
 def typed_datetime(c: Column) -> Column:
-    """Text timestamp -> TIMESTAMP_NTZ; unparsable text becomes NULL (then fails V2)."""
-    return F.try_to_timestamp(c, F.lit("yyyy-MM-dd HH:mm:ss[.SSSSSS]")).cast("timestamp_ntz")
+    """Text timestamp -> TIMESTAMP_NTZ without any time zone (a DST gap in the
+    session zone cannot shift it); unparsable text becomes NULL (then fails V2)."""
+    return c.try_cast("timestamp_ntz")
 
 
 def parse_description_text(df: DataFrame, text_col: str = "value") -> DataFrame:
