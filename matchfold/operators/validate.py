@@ -28,7 +28,16 @@ class ValidationError(ValueError):
 
 
 def _quoted(c: Column) -> Column:
-    return F.concat(F.lit("'"), c, F.lit("'"))
+    """Python ``repr`` of a string as used in the messages: single quotes, or double
+    quotes when the text holds a single quote and no double quote; backslash and
+    the common control characters escaped."""
+    esc = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+    for ch, rep in (("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
+        esc = F.replace(esc, F.lit(ch), F.lit(rep))
+    double = c.contains("'") & ~c.contains('"')
+    return F.when(double, F.concat(F.lit('"'), esc, F.lit('"'))).otherwise(
+        F.concat(F.lit("'"), F.replace(esc, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    )
 
 
 def _err(cond: Column, path: Column, message: Column) -> Column:

@@ -24,6 +24,9 @@ CASES = [
     ("update", row(source=None, ch="11111111"), "'source' is a required property"),
     ("update", row(), "'company_name' is a required property"),
     ("update", row(name=""), "'' is too short"),
+    ("update", row(ch="a'b"), '"a\'b" is too short'),
+    ("update", row(ch='a"\'b'), "'a\"\\'b' is too short"),
+    ("update", row(email="x\ty"), "'x\\ty' does not match '[^@]+@[^@]+\\\\.[^@]+'"),
 ]
 
 
