@@ -1,7 +1,7 @@
 """Operator 8: toxicity by nearest labelled examples.
 
 A bounded sample of labelled rows (``max_examples`` of each class, by smallest hash of
-the id) gives the examples.  Terms are words and word starts of four letters; those most tied to the
+the id) gives the examples.  Terms are words and word starts of four letters (with levels of count); those most tied to the
 label in the sample (chi-square, at most ``max_terms``) span the space, with TF-IDF
 weights from the sample.  Examples are held as posting lists in blocks, with the
 largest weight of each term in each block.  For a text, blocks are visited in order of
@@ -35,22 +35,33 @@ from matchfold.llm.qda import labelled
 #: Labelled rows of each class that the examples are drawn from.
 MAX_EXAMPLES = 2000
 MAX_TERMS = 1024
-MIN_CHI2 = 30.0
-MIN_ROWS = 5
+MIN_CHI2 = 40.0
+MIN_ROWS = 8
 NEIGHBOURS = 15
 BLOCK = 64
-PRIOR_WEIGHT = 0.2
+PRIOR_WEIGHT = 0.3
+#: A vote's weight is its cosine to this power: chance likeness on one weak term counts for little.
+POWER = 3
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def terms(text: str | None) -> Counter:
-    """Words in lower case, and "^" with the first four letters of longer ones."""
+    """Words in lower case, and "^" with the first four letters of longer ones.
+
+    A word start met 2, 4 or 8 times is one more term for each level: the cosine of a
+    text with one term would not show how often it occurs.
+    """
     out: Counter = Counter()
+    starts: Counter = Counter()
     for w, n in Counter(_WORD.findall((text or "").lower())).items():
         out[w] += n
-        if len(w) > 4:
-            out["^" + w[:4]] += n
+        starts["^" + w[:4]] += n
+    out.update(starts)
+    for level in (2, 4, 8):
+        for w, n in starts.items():
+            if n >= level:
+                out[f"{w}*{level}"] = 1
     return out
 
 
@@ -110,7 +121,7 @@ class Examples:
         return [(s, -i) for s, i in sorted(best, reverse=True)]
 
     def score(self, near: list[tuple[float, int]]) -> float:
-        votes = [(s * self.stands_for[self.labels[i]], self.labels[i]) for s, i in near]
+        votes = [(s**POWER * self.stands_for[self.labels[i]], self.labels[i]) for s, i in near]
         weight = sum(w for w, _ in votes)
         return float((sum(w for w, y in votes if y) + PRIOR_WEIGHT * self.prior) / (weight + PRIOR_WEIGHT))
 
