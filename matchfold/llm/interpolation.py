@@ -33,6 +33,8 @@ from matchfold.llm.common import cuts, materialise, mix, planes, shuffle_partiti
 START, END = np.uint64(0x5B8D1F02A3C4E697), np.uint64(0xC2E1974D60B5A38F)
 BUCKETS = 40
 STEPS = 4  # histogram steps per power of two
+#: A chunk's tokens and their keys are in one Python worker's memory at a time.
+CHUNKS_PER_PARTITION = 2
 SPAN = 64  # powers of two a ratio may span
 
 
@@ -81,10 +83,10 @@ class Chunk:
                 a[-1] = END
                 words.append(a)
         self.lengths = np.array([len(a) for a in words], np.int64)
-        self.doc = np.repeat(np.arange(len(words)), self.lengths)
+        self.doc = np.repeat(np.arange(len(words), dtype=np.int32), self.lengths)
         self.train = np.array(train, bool)[self.doc]
         self.word = np.concatenate(words) if words else np.zeros(0, np.uint64)
-        del words
+        del words, hashes
         context = np.empty_like(self.word)
         context[1:] = self.word[:-1]
         context[np.cumsum(self.lengths)[:-1]] = START
@@ -221,14 +223,15 @@ def interpolated_scores(docs: DataFrame, train: Column, tune: Column) -> DataFra
     ``train`` and ``tune`` are conditions on the input columns; tune rows must be train rows.
     """
     spark = docs.sparkSession
-    chunks = shuffle_partitions(spark)
+    blocks = shuffle_partitions(spark)
+    chunks = CHUNKS_PER_PARTITION * blocks
     deal = F.xxhash64("doc_id", F.xxhash64("text"))
     own = F.when(tune, chunks + F.pmod(deal, F.lit(max(1, chunks // 6)))).otherwise(F.pmod(deal, F.lit(chunks))).cast("int")
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", train.alias("train"), own.alias("chunk"))
     packed = lambda d: d.mapInArrow(pack, "chunk int, blob binary")
 
-    asked = packed(rows).groupBy("chunk").applyInPandas(requests(chunks), "kind int, block int, chunk int, keys binary, counts binary")
+    asked = packed(rows).groupBy("chunk").applyInPandas(requests(blocks), "kind int, block int, chunk int, keys binary, counts binary")
     told = asked.groupBy("kind", "block").applyInPandas(totals, "chunk int, kind int, block int, totals binary, n long, v long")
     told = materialise(told, "lm-totals")
     size = told.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
