@@ -32,14 +32,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchfold.llm.common import cuts, keys_join, materialise, mix, planes, shuffle_partitions, unplanes
+from matchfold.llm.common import cuts, frames, keys_join, materialise, mix, planes, shuffle_partitions, unplanes
 from matchfold.llm.interpolation import Hashes
 
 WIDTH = 5
 THRESHOLD = 75  # percent
+ROWS = 2000  # documents that a worker turns into columns at a time
 EXTRA = 5  # percent of a document's shingles that the first cut takes beyond the least
 
 
@@ -53,7 +54,7 @@ def extra(n, share: int = EXTRA):
 
 
 class Shingler:
-    def __init__(self, width: int = WIDTH, cached: int = 400_000):
+    def __init__(self, width: int = WIDTH, cached: int = 200_000):
         self.width, self.cached, self.hashes = width, cached, Hashes()
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -82,7 +83,7 @@ def first_cut(blocks: int, threshold: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles, turn = Shingler(), 0
-        for pdf in batches:
+        for pdf in frames(batches, ROWS):
             ids, keys, digests, sizes, hits, cols, rows, place = [], [], [], [], {}, [], [], {}
             for doc_id, key, text in zip(pdf["doc_id"], pdf["key"], pdf["text"]):
                 h = shingles(text)
@@ -147,7 +148,7 @@ def meetings(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     shingles = Shingler()
-    for pdf in batches:
+    for pdf in frames(batches, ROWS):
         seen: dict = {}
         for text in pdf["text"]:
             h = shingles(text)
@@ -249,11 +250,10 @@ def link_classes(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame
     cols = sets.mapInPandas(columns_of(blocks), "block int, cols binary, rows binary")
     shared = cols.groupBy("block").applyInPandas(shared_entries, "digest long, col long, df int")
     least = F.ceil(F.lit(threshold) * F.col("n") / 100)
-    ordered = shared.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("df", "col"))).alias("cols"))
-    ordered = ordered.join(sets.select("digest", "n"), "digest").where(F.size("cols") >= least)
-    kept = F.greatest(F.lit(0), (F.size("cols") - least + 1).cast("int"))
-    ordered = ordered.select("digest", "n", F.posexplode(F.slice("cols", 1, kept)).alias("i", "c"), F.size("cols").alias("m"))
-    entries = ordered.select("digest", "n", (F.col("n") - F.col("m") + F.col("i")).cast("int").alias("pos"), F.col("c.col").alias("col"))
+    own = Window.partitionBy("digest")
+    ordered = shared.withColumn("m", F.count("*").over(own)).withColumn("i", F.row_number().over(own.orderBy("df", "col")) - 1)
+    ordered = ordered.join(sets.select("digest", "n"), "digest").where((F.col("m") >= least) & (F.col("i") <= F.col("m") - least))
+    entries = ordered.select("digest", "n", (F.col("n") - F.col("m") + F.col("i")).cast("int").alias("pos"), "col")
     entries = materialise(entries, "jac-entries")
 
     def may_link(na, pa, nb, pb) -> Column:
