@@ -78,3 +78,16 @@ def frames(batches: Iterable, rows: int) -> Iterator:
     for pdf in batches:
         for i in range(0, len(pdf), rows):
             yield pdf.iloc[i : i + rows]
+
+
+def release() -> None:
+    """Give memory that this worker has freed back to the system: idle workers live on beside the JVM's heap."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchfold.llm.common import cuts, materialise, mix, planes, shuffle_partitions, unplanes
+from matchfold.llm.common import cuts, materialise, mix, planes, release, shuffle_partitions, unplanes
 
 START, END = np.uint64(0x5B8D1F02A3C4E697), np.uint64(0xC2E1974D60B5A38F)
 BUCKETS = 40
@@ -53,6 +53,7 @@ def pack(batches: Iterator) -> Iterator:
 
     options = pa.ipc.IpcWriteOptions(compression="zstd")
     for b in batches:
+        release()
         t = pa.Table.from_batches([b])
         t = t.take(pc.sort_indices(t["chunk"]))
         chunk = t["chunk"].to_numpy()
@@ -103,6 +104,7 @@ class Chunk:
 
 def requests(blocks: int):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        release()
         c, out = Chunk(pdf["blob"]), []
         for kind in (0, 1):
             keys, place = c.distinct(kind)
@@ -115,6 +117,7 @@ def requests(blocks: int):
 
 def totals(pdf: pd.DataFrame) -> pd.DataFrame:
     """Corpus totals of a block's keys, returned to each chunk in the order of its request."""
+    release()
     keys = [unplanes(b, np.uint64) for b in pdf["keys"]]
     own = np.concatenate([unplanes(b, np.uint32) for b in pdf["counts"]]).astype(np.int64)
     distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
@@ -169,6 +172,7 @@ def evidence(n: int, v: int, n_docs: int):
     """How often each (bucket, pair step, word step) occurs in a chunk, each token out of its own counts."""
 
     def run(key, blobs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        release()
         c = Chunk(blobs["blob"])
         word, context, pair = (np.maximum(x - 1, 0) for x in counted(c, answers, n_docs))
         p2, p1, p0 = parts(word, context, pair, n - 1, v)
@@ -203,6 +207,7 @@ def weights_by_em(code: np.ndarray, count: np.ndarray, rounds: int = 60) -> np.n
 
 def scores(n: int, v: int, n_docs: int, lam: np.ndarray):
     def run(key, blobs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        release()
         c = Chunk(blobs["blob"])
         word, context, pair = counted(c, answers, n_docs)
         p2, p1, p0 = parts(word, context, pair, n, v)

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchfold.llm.common import cuts, frames, keys_join, materialise, mix, planes, shuffle_partitions, unplanes
+from matchfold.llm.common import cuts, frames, keys_join, materialise, mix, planes, release, shuffle_partitions, unplanes
 from matchfold.llm.interpolation import Hashes
 
 WIDTH = 5
@@ -116,6 +116,8 @@ def first_cut(blocks: int, threshold: int):
             turn = (turn + 1) % blocks
             out.append((turn, None, None, ids, keys, digests, sizes, counts))
             yield pd.DataFrame(out, columns=["block", "cols", "rows", "ids", "keys", "digests", "sizes", "hits"])
+            del pdf, out, col, row, cols, rows, order
+            release()
 
     return run
 
@@ -126,6 +128,7 @@ MEMBER = "doc_id string, key long, digest long, n int, hits long"
 
 def meetings(pdf: pd.DataFrame) -> pd.DataFrame:
     """One block of the product: for each document the entries that meet another document."""
+    release()
     parts = []
     entries = pdf[pdf["cols"].notna()]
     if len(entries):
@@ -155,6 +158,8 @@ def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(h):
                 seen.setdefault(digest(h), h)
         yield pd.DataFrame({"digest": list(seen), "n": [len(h) for h in seen.values()], "cols": [h.tobytes() for h in seen.values()]})
+        del pdf, seen
+        release()
 
 
 def columns_of(blocks: int):
@@ -173,6 +178,7 @@ def columns_of(blocks: int):
 
 def shared_entries(pdf: pd.DataFrame) -> pd.DataFrame:
     """Entries of a block whose column has two or more documents: (digest, column, documents)."""
+    release()
     col = np.concatenate([unplanes(b, np.uint64) for b in pdf["cols"]])
     row = np.concatenate([np.frombuffer(b, np.int64) for b in pdf["rows"]])
     _, place, n = np.unique(col, return_inverse=True, return_counts=True)
