@@ -54,7 +54,7 @@ def description_errors(df: DataFrame, mode: str = "match", index_col: str | None
         return F.col(name) if name in cols else F.lit(None).cast("string")
 
     idx = F.col(index_col).cast("string") if index_col else F.lit("")
-    base = F.concat(F.lit("/descriptions/"), idx)
+    base = F.concat(F.lit("/descriptions/"), idx) if index_col else F.lit("/descriptions")
     checks = []
     for name in REQUIRED[mode]:
         checks.append(_err(col(name).isNull(), base, F.lit(f"'{name}' is a required property")))
@@ -77,7 +77,14 @@ def description_errors(df: DataFrame, mode: str = "match", index_col: str | None
                     F.concat(_quoted(c), F.lit(f" does not match {P.EMAIL_PATTERN!r}")),
                 )
             )
-    return F.filter(F.array(*checks), lambda e: e.isNotNull())
+    found = F.filter(F.array(*checks), lambda e: e.isNotNull())
+    if "type_errors" in cols:  # V4, as found in the JSON before values became text
+        typed = F.transform(
+            F.coalesce("type_errors", F.array().cast("array<struct<field:string,message:string>>")),
+            lambda e: F.struct(F.concat(base, F.lit("/"), e["field"]).alias("path"), e["message"].alias("message")),
+        )
+        found = F.concat(found, typed)
+    return found
 
 
 def validate_descriptions(df: DataFrame, mode: str = "match", index_col: str | None = None) -> DataFrame:
@@ -95,7 +102,8 @@ def split_valid(df: DataFrame, mode: str = "match", index_col: str | None = None
 def assert_valid(df: DataFrame, mode: str = "match", index_col: str | None = None) -> DataFrame:
     """All-or-nothing: raise ``ValidationError`` with the first error, else return df."""
     _, rejected = split_valid(df, mode, index_col)
-    first = rejected.select(F.col("errors")[0].alias("e")).limit(1).collect()
+    position = F.col(index_col) if index_col else F.lit(0)
+    first = rejected.agg(F.min(F.struct(position.alias("i"), F.col("errors")[0].alias("e"))).alias("f")).first()["f"]
     if first:
-        raise ValidationError(first[0].e.message, first[0].e.path)
+        raise ValidationError(first.e.message, first.e.path)
     return df

@@ -398,8 +398,8 @@ def q_stream_update(spark, sf_dir):
     store = StateStore(spark, scratch_path(spark, "stream-state"))
     store.create()
     for b in (1, 2):
-        _description_json(r.raw(b)).write.mode("append").text(src)
-        stream_updates(spark, src, store, ckpt, files_per_trigger=10_000)
+        _description_json(r.raw(b)).write.text(f"{src}/batch={b}")
+        stream_updates(spark, src, store, ckpt)
     return store.load().long()
 
 

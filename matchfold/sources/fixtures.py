@@ -21,7 +21,7 @@ DERIVED_COLUMNS = [
     'CAST(o.o_orderkey AS STRING) AS id',
     "CASE o.o_orderkey % 4 WHEN 0 THEN 'dit.datahub' WHEN 1 THEN 'dit.export-wins' WHEN 2 THEN 'companies_house.companies' ELSE 'dnb.companies.uk' END AS source",
     'timestampadd(MICROSECOND, o.o_orderkey, CAST(o.o_orderdate AS TIMESTAMP_NTZ)) AS datetime',
-    "CASE WHEN o.o_custkey % 11 = 0 THEN 'NotRegis' WHEN o.o_orderkey % 3 = 0 THEN concat('AB', lpad(CAST(o.o_custkey AS STRING), 6, '0')) END AS companies_house_id",
+    "CASE WHEN o.o_custkey % 11 = 0 THEN 'NotRegis' WHEN o.o_orderkey % 3 = 0 THEN concat('AB', lpad(CAST(o.o_custkey AS STRING), CAST(greatest(6, length(CAST(o.o_custkey AS STRING))) AS INT), '0')) END AS companies_house_id",
     "CASE WHEN o.o_orderkey % 4 = 1 THEN concat('D', CAST((o.o_custkey + o.o_orderkey % 2) AS STRING)) END AS duns_number",
     "CASE WHEN o.o_orderkey % 5 <> 4 THEN concat('The ', p.p_name, ' ', CAST(o.o_custkey % 997 AS STRING), CASE o.o_orderkey % 6 WHEN 0 THEN ' Ltd.' WHEN 1 THEN ' LIMITED' WHEN 2 THEN ' (UK) & Co. plc' WHEN 3 THEN ' - duplicate' WHEN 4 THEN ' t/a Shop' ELSE '' END) END AS company_name",
     "CASE WHEN o.o_orderkey % 7 < 3 THEN concat('u', CAST(o.o_orderkey AS STRING), '@C', CAST(o.o_custkey % 800 AS STRING), '.example.com') END AS contact_email",

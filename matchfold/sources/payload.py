@@ -27,8 +27,12 @@ def typed_datetime(c: Column) -> Column:
     return c.try_cast("timestamp_ntz")
 
 
-def parse_description_text(df: DataFrame, text_col: str = "value") -> DataFrame:
-    """S1 (JSON-lines form): one description object per row of text."""
+def parse_description_text(df: DataFrame, text_col: str = "value", type_errors: bool = False) -> DataFrame:
+    """S1 (JSON-lines form): one description object per row of text.
+
+    ``type_errors`` adds the V4 column of that name, which validation rejects rows by."""
+    if type_errors:
+        df = df.withColumn("type_errors", field_type_errors(F.try_parse_json(F.col(text_col))))
     parsed = df.select(F.from_json(F.col(text_col), RAW_DESCRIPTION).alias("_d"), *[c for c in df.columns if c != text_col])
     return parsed.select(
         *[c for c in parsed.columns if c != "_d"],
@@ -56,6 +60,11 @@ def parse_payload_text(df: DataFrame, text_col: str = "value") -> DataFrame:
     return df.withColumn("payload", parsed).withColumn("payload_error", error)
 
 
+def _python_word(json: Column) -> Column:
+    """JSON's null, true and false as the messages print them."""
+    return F.when(json == "null", "None").when(json == "true", "True").when(json == "false", "False").otherwise(json)
+
+
 def field_type_errors(element: Column) -> Column:
     """V4 on raw JSON: every present description key must be a JSON string."""
     checks = []
@@ -67,7 +76,7 @@ def field_type_errors(element: Column) -> Column:
                 raw.isNotNull() & (kind != F.lit("STRING")),
                 F.struct(
                     F.lit(f).alias("field"),
-                    F.concat(F.to_json(raw), F.lit(" is not of type 'string'")).alias("message"),
+                    F.concat(_python_word(F.to_json(raw)), F.lit(" is not of type 'string'")).alias("message"),
                 ),
             )
         )

@@ -38,7 +38,8 @@ COMMIT_SCHEMA = T.StructType(
         T.StructField("batch_id", T.LongType(), True),
         T.StructField("sizes", T.MapType(T.StringType(), T.LongType()), True),
         T.StructField("buckets", T.IntegerType(), True),
-        T.StructField("stream", T.StringType(), True),
+        # last batch folded, by stream ("" for updates that name none)
+        T.StructField("marks", T.MapType(T.StringType(), T.LongType()), True),
     ]
 )
 
@@ -110,13 +111,13 @@ class StateStore:
             self.buckets = row.buckets  # the layout is a property of the stored data
         tables = {a: self._read_table(row.version, a, row.buckets) for a in ATTRIBUTES}
         sizes = dict(row.sizes) if row.sizes is not None else None
-        meta = {"batch_id": row.batch_id, "stream": row.stream, "root": self.root}
+        meta = {"batch_id": row.batch_id, "marks": dict(row.marks or {}), "root": self.root}
         return MappingState(tables, row.last_id, row.version, meta, sizes)
 
     def _commit(
-        self, version: int, last_id: int, batch_id: int | None, sizes: dict | None = None, stream: str | None = None
+        self, version: int, last_id: int, batch_id: int | None, sizes: dict | None = None, marks: dict | None = None
     ) -> None:
-        row = self.spark.createDataFrame([(version, last_id, batch_id, sizes, self.buckets, stream)], COMMIT_SCHEMA)
+        row = self.spark.createDataFrame([(version, last_id, batch_id, sizes, self.buckets, marks)], COMMIT_SCHEMA)
         row.coalesce(1).write.mode("overwrite").parquet(f"{self._vdir(version)}/commit")
 
     def create(self, reset: bool = False) -> MappingState:
@@ -131,7 +132,7 @@ class StateStore:
         for a in ATTRIBUTES:
             sink(a, empty_mapping(self.spark))
         # ids are never reused, so a reset keeps the high-water mark
-        self._commit(version, 0 if head is None else head[1], None, {a: 0 for a in ATTRIBUTES})
+        self._commit(version, 0 if head is None else head[1], None, {a: 0 for a in ATTRIBUTES}, {})
         return self.load(version)
 
     def sink_for(self, version: int):
@@ -161,14 +162,16 @@ class StateStore:
     ) -> MappingState:
         """Fold a normalised batch into the newest version and commit the result.
 
-        ``(stream, batch_id)`` identifies a micro-batch: one that the same stream
-        already committed is skipped (at-least-once replay), while a different
-        stream -- e.g. a new checkpoint whose ids restart at 0 -- is applied."""
+        ``(stream, batch_id)`` identifies a batch.  Each commit carries the last batch of
+        every stream, so a batch that was folded before is skipped, whatever other
+        streams have committed since (at-least-once replay)."""
         base = self.create()
-        done = base.meta.get("batch_id")
-        if batch_id is not None and done is not None and base.meta.get("stream") == stream and done >= batch_id:
+        marks, key = dict(base.meta.get("marks") or {}), stream or ""
+        if batch_id is not None and marks.get(key, batch_id - 1) >= batch_id:
             return base
         version = base.version + 1
         new = update_mappings(base, batch, sink=self.sink_for(version), trace=trace)
-        self._commit(version, new.last_id, batch_id, new.sizes, stream)
+        if batch_id is not None:
+            marks[key] = batch_id
+        self._commit(version, new.last_id, batch_id, new.sizes, marks)
         return self.load(version)

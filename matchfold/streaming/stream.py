@@ -1,12 +1,14 @@
 """Structured Streaming driver for incremental updates.
 
-Each micro-batch of descriptions is validated, normalised and folded into the
-versioned state inside ``foreachBatch``.  The state commit records the micro-batch
-id and the stream's checkpoint location, so a micro-batch that is re-delivered
-after a failure (at-least-once) is skipped instead of being applied twice, while
-a new stream over the same store is not mistaken for a replay.  Arrival order matters for the result
-(a batch and the same rows as a sequence can differ), so the source is read in
-file order with a bounded number of files per trigger.
+The result of an update depends on batch boundaries (a batch and the same rows as a
+sequence can differ), so a batch is declared by its producer: all files below
+``source_dir/batch=<n>/`` are batch n, however many files that is and whichever
+micro-batches deliver them together.  A producer publishes a batch by moving its
+finished folder into place.  Batches of one micro-batch are folded in ascending order.
+
+The commit of a version keeps, for each source folder, the number of the last batch
+folded; a batch up to that number is a replay (at-least-once delivery, a new
+checkpoint over the same folder) and is skipped.
 """
 
 from __future__ import annotations
@@ -16,18 +18,14 @@ from pyspark.sql import functions as F
 
 from matchfold.functions.normalise import normalise_descriptions
 from matchfold.operators.validate import split_valid
-from matchfold.sources.payload import RAW_DESCRIPTION, typed_datetime
+from matchfold.sources.payload import parse_description_text
 from matchfold.sources.store import StateStore
 
 
-def description_stream(spark: SparkSession, source_dir: str, files_per_trigger: int = 1) -> DataFrame:
-    """Streaming DataFrame of raw descriptions from JSON-lines files."""
-    raw = (
-        spark.readStream.schema(RAW_DESCRIPTION)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .json(source_dir)
-    )
-    return raw.withColumn("datetime", typed_datetime(F.col("datetime")))
+def description_stream(spark: SparkSession, source_dir: str) -> DataFrame:
+    """Streaming DataFrame of raw descriptions from JSON-lines files, with their ``batch``."""
+    lines = spark.readStream.schema("value string, batch long").format("text").load(source_dir)
+    return parse_description_text(lines, type_errors=True)
 
 
 def stream_updates(
@@ -35,21 +33,25 @@ def stream_updates(
     source_dir: str,
     store: StateStore,
     checkpoint_location: str,
-    files_per_trigger: int = 1,
     rejects_dir: str | None = None,
     available_now: bool = True,
 ):
     """Run (or start) the update stream.  With ``available_now`` the call returns
-    after every file present at start has been folded in."""
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        valid, rejected = split_valid(batch, "update")
-        if rejects_dir:
-            rejected.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(rejects_dir)
-        store.update(normalise_descriptions(valid), batch_id=batch_id, stream=checkpoint_location)
+    after every batch present at start has been folded in."""
+
+    def apply(micro_batch: DataFrame, micro_batch_id: int) -> None:
+        # one number per arrival
+        numbers = sorted(r.batch if r.batch is not None else -1 for r in micro_batch.select("batch").distinct().collect())
+        if numbers and numbers[0] < 0:
+            raise ValueError(f"files outside a batch=<n> folder below {source_dir}")
+        for n in numbers:
+            valid, rejected = split_valid(micro_batch.where(F.col("batch") == n), "update")
+            if rejects_dir:
+                rejected.withColumn("batch_id", F.lit(n)).write.mode("append").parquet(rejects_dir)
+            store.update(normalise_descriptions(valid), batch_id=n, stream=source_dir)
 
     writer = (
-        description_stream(spark, source_dir, files_per_trigger)
+        description_stream(spark, source_dir)
         .writeStream.foreachBatch(apply)
         .option("checkpointLocation", checkpoint_location)
     )

@@ -24,7 +24,8 @@ def test_stream_equals_sequence(spark, tmp_path):
     store = StateStore(spark, scratch_path(spark, "t-stream"))
     ckpt = str(tmp_path / "ckpt")
     for i, step in enumerate(steps):
-        (src / f"batch-{i}.json").write_text("\n".join(_lines(spark, step)) + "\n")
+        (src / f"batch={i}").mkdir()
+        (src / f"batch={i}" / "part.json").write_text("\n".join(_lines(spark, step)) + "\n")
         stream_updates(spark, str(src), store, ckpt)
     state = store.load()
     assert state.meta["batch_id"] == 2  # the invalid third row was rejected, the batch still committed
@@ -37,8 +38,45 @@ def test_new_stream_on_existing_store_is_applied(spark, tmp_path):
     store = StateStore(spark, scratch_path(spark, "t-stream2"))
     for n, (step, name) in enumerate([([(day(1), "CH000001")], "a"), ([(day(2), "CH000002")], "b")]):
         src = tmp_path / f"src-{name}"
-        src.mkdir()
-        (src / "batch.json").write_text("\n".join(_lines(spark, step)) + "\n")
+        (src / "batch=0").mkdir(parents=True)
+        (src / "batch=0" / "part.json").write_text("\n".join(_lines(spark, step)) + "\n")
         stream_updates(spark, str(src), store, str(tmp_path / f"ckpt-{name}"))
     state = store.load()
     assert sorted(r.value for r in state.tables["companies_house_id"].collect()) == ["ch000001", "ch000002"]
+
+
+def test_result_does_not_follow_the_number_of_files(spark, tmp_path):
+    rows = [(day(1 + i % 3), f"CH{i % 7:06d}", f"dun{i % 5}", f"name{i % 4}") for i in range(24)]
+    states = []
+    for files in (1, 12):
+        src = tmp_path / f"src-{files}"
+        for b in (0, 1):
+            (src / f"batch={b}").mkdir(parents=True)
+            lines = _lines(spark, rows[b * 12 : b * 12 + 12])
+            for k in range(files):
+                (src / f"batch={b}" / f"part-{k}.json").write_text("\n".join(lines[k::files]) + "\n")
+        store = StateStore(spark, scratch_path(spark, f"t-files-{files}"))
+        stream_updates(spark, str(src), store, str(tmp_path / f"ckpt-{files}"))
+        states.append(sorted(tuple(r) for r in store.load().long().collect()))
+    assert states[0] == states[1] and len(states[0]) > 0
+
+
+def test_values_that_are_no_text_are_rejected(spark, tmp_path):
+    src = tmp_path / "src"
+    (src / "batch=0").mkdir(parents=True)
+    good = {"id": "1", "source": "s", "datetime": "2020-01-01 00:00:00", "duns_number": "d1"}
+    bad = [{**good, "duns_number": 5}, {**good, "company_name": True}, {**good, "postcode": None}]
+    (src / "batch=0" / "part.json").write_text("\n".join(map(json.dumps, [good, *bad])) + "\n")
+    store = StateStore(spark, scratch_path(spark, "t-types"))
+    rejects = str(tmp_path / "rejects")
+    stream_updates(spark, str(src), store, str(tmp_path / "ckpt"), rejects_dir=rejects)
+    assert [r.value for r in store.load().long().collect()] == ["d1"]
+    found = {e.message for r in spark.read.parquet(rejects).collect() for e in r.errors}
+    assert found == {"5 is not of type 'string'", "True is not of type 'string'", "None is not of type 'string'"}
+
+
+def test_replays_are_known_by_stream(spark):
+    store = StateStore(spark, scratch_path(spark, "t-marks"))
+    batch = normalise_descriptions(descriptions(spark, [(day(1), "CH000001", "dun1")]))
+    versions = [store.update(batch, batch_id=0, stream=s).version for s in "ABA"]
+    assert versions == [1, 2, 2]
