@@ -32,6 +32,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchfold.llm.common import release
+
 #: A space between two non-space characters always starts a new match of the GPT-2 style pattern.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -49,7 +51,7 @@ def _packed(ids: list[int]) -> bytes:
 class MergeTransducer:
     START = 0
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 60_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 40_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
@@ -215,7 +217,7 @@ class TextEncoder:
     ``max_cached`` each; the older one is forgotten when the younger is full.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_cached: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_cached: int = 100_000):
         import regex
 
         self.machine, self.pattern, self.max_cached = MergeTransducer(ranks), regex.compile(pattern), max_cached
@@ -247,7 +249,7 @@ class TextEncoder:
 class Utf8Machine:
     """Token ids to text; arcs (unfinished bytes, id) -> (unfinished bytes, text) are made when first met."""
 
-    def __init__(self, bytes_of: dict[int, bytes], max_arcs: int = 400_000):
+    def __init__(self, bytes_of: dict[int, bytes], max_arcs: int = 100_000):
         self.bytes_of, self.max_arcs = bytes_of, max_arcs
         self._arcs: dict[tuple[bytes, int], tuple[bytes, str]] = {}
         #: tokens that lead from the empty state back to it, and their text
@@ -325,6 +327,8 @@ def encoded(spark: SparkSession, text: Column, vocabulary: str, pattern: str) ->
         enc = _per_worker(("encode", vocabulary, pattern), lambda: TextEncoder(ranks.value, pattern))
         for s in batches:
             yield pd.Series([enc.encode(t) for t in s], dtype=object)
+            del s
+            release()
 
     return run(text)
 
@@ -338,6 +342,8 @@ def decoded(spark: SparkSession, ids: Column, vocabulary: str) -> Column:
         dec = _per_worker(("decode", vocabulary), lambda: Utf8Machine({v: k for k, v in ranks.value.items()}))
         for s in batches:
             yield pd.Series([dec.decode(np.frombuffer(b or b"", "<u4")) for b in s], dtype=object)
+            del s
+            release()
 
     return run(ids)
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchfold.llm.common import keys_join, materialise
+from matchfold.llm.common import keys_join, materialise, release
 
 MAX_ROWS = 600
 ROUNDS = 4
@@ -179,6 +179,8 @@ def identified(text: Column, model: Languages, spark) -> Column:
         m = sent.value
         for s in batches:
             yield pd.DataFrame([m.predict(t) for t in s], columns=["lang_pred", "score"])
+            del s
+            release()
 
     return run(text)
 

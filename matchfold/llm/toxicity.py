@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchfold.llm.common import materialise
+from matchfold.llm.common import materialise, release
 from matchfold.llm.qda import labelled
 
 #: Labelled rows of each class that the examples are drawn from.
@@ -175,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
 SCHEMA = "score double, neighbours array<string>, similarities array<double>"
 
 
-def toxicity(text: Column, index: Examples, ids: list, spark, k: int = NEIGHBOURS, cached: int = 50_000) -> Column:
+def toxicity(text: Column, index: Examples, ids: list, spark, k: int = NEIGHBOURS, cached: int = 20_000) -> Column:
     """score, and the nearest examples (ids as text, cosines) as evidence."""
     sent = spark.sparkContext.broadcast((index, [str(i) for i in ids]))
 
@@ -195,6 +195,8 @@ def toxicity(text: Column, index: Examples, ids: list, spark, k: int = NEIGHBOUR
                     known[key] = (idx.score(near), [names[i] for _, i in near], [c for c, _ in near])
                 out.append(known[key])
             yield pd.DataFrame(out, columns=["score", "neighbours", "similarities"])
+            del s, out
+            release()
 
     return run(text)
 
