@@ -51,7 +51,7 @@ def _packed(ids: list[int]) -> bytes:
 class MergeTransducer:
     START = 0
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 60_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 80_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
@@ -217,7 +217,7 @@ class TextEncoder:
     ``max_cached`` each; the older one is forgotten when the younger is full.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_cached: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_cached: int = 250_000):
         import regex
 
         self.machine, self.pattern, self.max_cached = MergeTransducer(ranks), regex.compile(pattern), max_cached
