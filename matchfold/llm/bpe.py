@@ -23,7 +23,7 @@ costs memory in proportion to itself only.
 from __future__ import annotations
 
 import base64
-import re
+import gc
 import struct
 from collections.abc import Iterator
 
@@ -34,9 +34,6 @@ from pyspark.sql import functions as F
 
 from matchfold.llm.common import release
 
-#: A space between two non-space characters always starts a new match of the GPT-2 style pattern.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """A tiktoken rank file: base64 token, space, rank."""
@@ -50,13 +47,19 @@ def _packed(ids: list[int]) -> bytes:
 
 class MergeTransducer:
     START = 0
+    ARC_AFTER = 32
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 80_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 30_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
         self._parts: dict[bytes, tuple[bytes, bytes]] = {}
         self._edges: dict[tuple[bytes, int], list[tuple[bytes, float]]] = {}
+        #: tokens and their prefixes: the token's id, or -1
+        self._known = dict.fromkeys(self.prefixes, -1) | ranks
+        self._length = {t: len(b) for t, b in self.bytes_of.items()}
+        self._byte = [ranks.get(bytes((i,)), -1) for i in range(256)]
+        self._less: dict[int, int] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -66,7 +69,7 @@ class MergeTransducer:
         self._number: dict[tuple[int, bytes], int] = {(-1, b""): 0}
         self._next: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
         self._end: dict[int, tuple[int, ...]] = {}
-        self._wanted: set[int] = set()
+        self._wanted: dict[int, int] = {}
 
     def merged(self, piece: bytes, below: float = float("inf")) -> list[bytes]:
         """Merges of rank under ``below``, one by one, lowest rank and leftmost first."""
@@ -152,54 +155,78 @@ class MergeTransducer:
         _, s, last, _ = self._states[state]
         return tuple([last[i] for i in self._chain(last, len(s))[-2::-1]]) if s else ()
 
+    def _shorter(self, token: int) -> int:
+        """The longest token that is a proper prefix of this one, or -1."""
+        out = self._less.get(token)
+        if out is None:
+            b = self.bytes_of[token]
+            out = self._less[token] = next((t for n in range(len(b) - 1, 0, -1) if (t := self.ranks.get(b[:n])) is not None), -1)
+        return out
+
     def _straight(self, state: int, rest: bytes) -> list[int]:
-        """The tokens still to come after ``state`` if ``rest`` ends the piece, without making states."""
-        prev, s, last_of, live_of = self._states[state]
-        start, s = len(s) + 1, s + rest
-        last, live, get, prefixes, pairs = list(last_of), list(live_of), self.ranks.get, self.prefixes, self._pairs
-        for j in range(start, len(s) + 1):
-            found, go_on = None, []
-            for i in live:
-                part = s[i:j]
-                if found is None:
-                    t = get(part)
-                    if t is not None:
-                        left = last[i] if i else prev
-                        good = pairs.get((left, t))
-                        if good or good is None and self._fits(left, t):
-                            found = t
-                if part in prefixes:
-                    go_on.append(i)
-            last.append(found)
-            go_on.append(j)
-            live = go_on
-        out, at = [], len(s)
-        while at:
-            out.append(last[at])
-            at -= len(self.bytes_of[last[at]])
-        return out[::-1]
+        """The tokens still to come after ``state`` if ``rest`` ends the piece, without making states.
+
+        At each place the longest token that fits the one before is taken; where none
+        does, the place is dead and the token before is shortened.  A place is reached
+        by one token sequence only, so dead places stay dead and the work is linear.
+        """
+        prev, pending = self._states[state][:2]
+        s, known, pairs, length, byte = pending + rest, self._known.get, self._pairs, self._length, self._byte
+        size, at, left, fresh = len(s), 0, prev, True
+        out: list[int] = []
+        dead: set[int] = set()
+        while at < size:
+            if fresh:
+                t, j = byte[s[at]], at + 2
+                while j <= size:
+                    v = known(s[at:j])
+                    if v is None:
+                        break
+                    if v >= 0:
+                        t = v
+                    j += 1
+            while t >= 0:
+                end = at + length[t]
+                if not dead or end not in dead:
+                    good = pairs.get((left, t))
+                    if good or good is None and self._fits(left, t):
+                        break
+                t = self._shorter(t)
+            fresh = t >= 0
+            if fresh:
+                out.append(t)
+                left, at = t, end
+            else:
+                dead.add(at)
+                t = out.pop()
+                at -= length[t]
+                left, t = out[-1] if out else prev, self._shorter(t)
+        return out
 
     def encode(self, piece: bytes) -> list[int]:
         """Token ids of one piece; a piece that is a token is that token.
 
-        An arc is made when it is wanted a second time; before that the rest of the
-        piece is worked out from the state reached.
+        An arc is made when it has been wanted ``ARC_AFTER`` times; before that the rest
+        of the piece is worked out from the state reached.
         """
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self._states) > self.max_states or len(self._pairs) > 4 * self.max_states:
+        if len(self._states) > self.max_states:
             self._reset()
+        if len(self._pairs) > 4 * self.max_states:
+            self._pairs.clear()
         state, out, table, wanted = self.START, [], self._next, self._wanted
         for k, b in enumerate(piece):
             arc = table[state].get(b)
             if arc is None:
                 key = state << 8 | b
-                if key not in wanted:
+                times = wanted[key] = wanted.get(key, 0) + 1
+                if times < self.ARC_AFTER:
                     if len(wanted) > 2 * self.max_states:
                         wanted.clear()
-                    wanted.add(key)
                     return out + self._straight(state, piece[k:])
+                del wanted[key]
                 arc = table[state][b] = self._step(state, b)
             state, emitted = arc
             if emitted:
@@ -210,40 +237,38 @@ class MergeTransducer:
         return out + list(tail)
 
 
-class TextEncoder:
-    """Whole texts to packed ids (little-endian unsigned 32-bit), piece by piece of a pattern.
+class _Remembered(dict):
+    """Values of ``make`` for short keys, in two generations of at most ``most``; the older is forgotten when the younger is full."""
 
-    Ids of stretches between single spaces are remembered in two generations of at most
-    ``max_cached`` each; the older one is forgotten when the younger is full.
-    """
+    LONGEST = 64
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_cached: int = 250_000):
-        import regex
+    def __init__(self, make, most: int):
+        self.make, self.most, self.old = make, most, {}
 
-        self.machine, self.pattern, self.max_cached = MergeTransducer(ranks), regex.compile(pattern), max_cached
-        self._young: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
-
-    def _stretch(self, s: str) -> bytes:
-        if s in self._old:
-            self._young[s] = out = self._old[s]
-            return out
-        ids: list[int] = []
-        for piece in self.pattern.findall(s):
-            ids += self.machine.encode(piece.encode("utf-8", "replace"))
-        out = _packed(ids)
-        if len(s) <= 64:
-            if len(self._young) >= self.max_cached:
-                self._old, self._young = self._young, {}
-            self._young[s] = out
+    def __missing__(self, key: str) -> bytes:
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+            if len(key) > self.LONGEST:
+                return out
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = out
         return out
 
+
+class TextEncoder:
+    """Whole texts to packed ids (little-endian unsigned 32-bit), match by match of a pattern."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_cached: int = 200_000):
+        import regex
+
+        self.machine, self.pattern = MergeTransducer(ranks), regex.compile(pattern)
+        self.ids = _Remembered(lambda piece: _packed(self.machine.encode(piece.encode("utf-8", "replace"))), max_cached)
+
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        parts, get = _CUT.split(text), self._young.get
-        parts[1:] = [" " + p for p in parts[1:]]
-        return b"".join([x if (x := get(p)) is not None else self._stretch(p) for p in parts])
+        return b"".join(map(self.ids.__getitem__, self.pattern.findall(text))) if text else b""
 
 
 class Utf8Machine:
@@ -315,6 +340,7 @@ def _per_worker(key, make):
     if key not in _LOCAL:
         _LOCAL.clear()
         _LOCAL[key] = make()
+        gc.freeze()  # the tables stay: the collector need not walk them again and again
     return _LOCAL[key]
 
 

@@ -23,10 +23,11 @@ def reference(ranks):
     return tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-@pytest.mark.parametrize("size", [60_000, 40])
-def test_random_texts_encode_like_the_library(ranks, reference, size):
+@pytest.mark.parametrize("size, arc_after", [(60_000, 32), (60_000, 1), (40, 1), (40, 2)])
+def test_random_texts_encode_like_the_library(ranks, reference, size, arc_after):
     enc = bpe.TextEncoder(ranks, P.PATTERN, max_cached=50)
     enc.machine.max_states = size  # small tables are emptied often
+    enc.machine.ARC_AFTER = arc_after  # 1: no piece is worked out without arcs
     rng = random.Random(3)
     for _ in range(1500):
         t = "".join(rng.choice(PIECES) for _ in range(rng.randint(0, 25)))
@@ -36,6 +37,7 @@ def test_random_texts_encode_like_the_library(ranks, reference, size):
 
 def test_lookahead_is_bounded(ranks):
     m = bpe.MergeTransducer(ranks)
+    m.ARC_AFTER = 1
     for _ in range(2):
         assert [x for x in m.encode(b"anonandthtiondthrelyes" * 40)]
     longest = max(map(len, ranks))
