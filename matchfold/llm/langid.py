@@ -49,47 +49,66 @@ def pieces(model_file: str) -> list[str]:
 
 
 class Lattice:
-    """All segmentations of a word into pieces; a letter that is no piece is an unknown one."""
+    """All segmentations of words into pieces; a letter that is no piece is an unknown one."""
 
     def __init__(self, vocabulary: list[str]):
         self.number = {x: i for i, x in enumerate(vocabulary)}
         self.longest = max(map(len, vocabulary), default=1)
-
-    def arcs(self, word: str) -> list[list[tuple[int, int]]]:
-        """For each end, (start, piece number or -1)."""
-        w, get = "▁" + word, self.number.get
-        out = [[] for _ in range(len(w) + 1)]
-        for j in range(1, len(w) + 1):
-            for i in range(max(0, j - self.longest), j):
-                n = get(w[i:j])
-                if n is not None:
-                    out[j].append((i, n))
-                elif j - i == 1:
-                    out[j].append((i, -1))
-        return out
+        #: numbers of "no piece" and of the unknown piece, after those of the vocabulary
+        self.none, self.unknown = len(vocabulary), len(vocabulary) + 1
+
+    def spans(self, letters: int) -> list[tuple[int, int]]:
+        """Every (start, end) that a piece may take in a word of so many letters, by end."""
+        return [(i, j) for j in range(1, letters + 2) for i in range(max(0, j - self.longest), j)]
+
+    def arcs(self, words: list[str]) -> np.ndarray:
+        """For words of equal length: the piece number of each span (rows) of each word (columns)."""
+        spans, get = self.spans(len(words[0])), self.number.get
+        missing = [self.unknown if j - i == 1 else self.none for i, j in spans]
+        slices = [slice(i, j) for i, j in spans]
+        out = np.empty((len(words), len(spans)), np.int32)
+        for k, word in enumerate(words):
+            w = "▁" + word
+            out[k] = [get(w[x], m) for x, m in zip(slices, missing)]
+        return np.ascontiguousarray(out.T)
+
+
+def equal_lengths(words: list[str], most: int = 4096) -> Iterator[list[int]]:
+    """Positions of words of the same length, at most so many at a time."""
+    by_length: dict[int, list[int]] = {}
+    for k, w in enumerate(words):
+        by_length.setdefault(len(w), []).append(k)
+    for _, at in sorted(by_length.items()):
+        for k in range(0, len(at), most):
+            yield at[k : k + most]
+
+
+def forward(spans: list[tuple[int, int]], arcs: np.ndarray, prob: np.ndarray) -> np.ndarray:
+    """Probability of each start of each word, all its segmentations summed; ``prob`` holds a column per language."""
+    fwd = np.zeros((spans[-1][1] + 1, arcs.shape[1], prob.shape[1]))
+    fwd[0] = 1.0
+    for (i, j), x in zip(spans, arcs):
+        fwd[j] += fwd[i] * prob[x]
+    return fwd
 
 
 def learn_pieces(counts: list[tuple[str, int]], lattice: Lattice, size: int, rounds: int = ROUNDS, alpha: float = ALPHA) -> np.ndarray:
     """Piece probabilities of one language by expectation-maximisation over word counts."""
     p = np.full(size, 1.0 / size)
-    known = [(lattice.arcs(w), n) for w, n in counts]
+    groups = []
+    for at in equal_lengths([w for w, _ in counts]):
+        groups.append((lattice.spans(len(counts[at[0]][0])), lattice.arcs([counts[k][0] for k in at]), np.array([counts[k][1] for k in at], float)))
     for _ in range(rounds):
-        prob, want = p.tolist() + [UNKNOWN], [0.0] * (size + 1)
-        for arcs, n in known:
-            last = len(arcs) - 1
-            fwd = [1.0] + [0.0] * last
-            for j in range(1, last + 1):
-                fwd[j] = sum([fwd[i] * prob[x] for i, x in arcs[j]])
-            if not fwd[last]:
-                continue
-            back = [0.0] * last + [n / fwd[last]]
-            for j in range(last, 0, -1):
-                b = back[j]
-                for i, x in arcs[j]:
-                    flow = b * prob[x]
-                    back[i] += flow
-                    want[x] += fwd[i] * flow
-        got = np.array(want[:-1]) + alpha
+        prob, want = np.append(p, [0.0, UNKNOWN]), np.zeros(size + 2)
+        for spans, arcs, n in groups:
+            fwd = forward(spans, arcs, prob[:, None])[:, :, 0]
+            back = np.zeros_like(fwd)
+            back[-1] = np.divide(n, fwd[-1], out=np.zeros_like(n), where=fwd[-1] > 0)
+            for (i, j), x in zip(reversed(spans), arcs[::-1]):
+                flow = back[j] * prob[x]
+                back[i] += flow
+                np.add.at(want, x, fwd[i] * flow)
+        got = want[:size] + alpha
         p = got / got.sum()
     return p
 
@@ -97,48 +116,68 @@ def learn_pieces(counts: list[tuple[str, int]], lattice: Lattice, size: int, rou
 class Languages:
     def __init__(self, names: list[str], shares: list[float], table: np.ndarray, vocabulary: list[str], cached: int = 250_000):
         self.names, self.log_share = names, np.log(np.array(shares))
-        self.lattice, self.rows, self.cached = Lattice(vocabulary), table, cached
-        self.unknown = np.full(len(names), UNKNOWN)
+        self.lattice, self.cached = Lattice(vocabulary), cached
+        self.prob = np.concatenate([table, np.zeros((1, len(names))), np.full((1, len(names)), UNKNOWN)])
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
-    def forward(self, word: str) -> np.ndarray:
-        """Log probability of a word in each language, all segmentations summed."""
-        arcs, rows, unknown = self.lattice.arcs(word), self.rows, self.unknown
-        fwd = [np.ones(len(self.names))]
-        for ends in arcs[1:]:
-            fwd.append(sum([fwd[i] * (rows[x] if x >= 0 else unknown) for i, x in ends]))
-        return np.log(np.maximum(fwd[-1], 1e-300))
+    def log_probability(self, words: list[str]) -> np.ndarray:
+        """Log probability of each word (rows) in each language, all segmentations summed."""
+        out = np.empty((len(words), len(self.names)))
+        for at in equal_lengths(words):
+            same = [words[k] for k in at]
+            fwd = forward(self.lattice.spans(len(same[0])), self.lattice.arcs(same), self.prob)
+            out[at] = np.log(np.maximum(fwd[-1], 1e-300))
+        return out
 
-    def _table(self) -> tuple[dict[str, int], np.ndarray]:
+    def _remember(self, words: set[str]) -> None:
+        """Log probabilities of words not met before; the table starts anew when it is full."""
         if not hasattr(self, "_seen") or len(self._seen) > self.cached:
             self._seen: dict[str, int] = {}
             self._logs = np.zeros((1024, len(self.names)))
-        return self._seen, self._logs
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        ws = letter_words(text)
-        if not self.names or not any(any(map(str.isalpha, w)) for w in ws):
-            return "und", 0.0
-        seen, logs = self._table()
-        at = []
-        for w, n in Counter(ws).items():
-            for k in range(0, len(w), CUT):
-                part = w[k : k + CUT]
-                i = seen.get(part)
-                if i is None:
-                    i = seen[part] = len(seen)
-                    if i == len(logs):
-                        logs = self._logs = np.concatenate([logs, np.zeros_like(logs)])
-                    logs[i] = self.forward(part)
-                at += [i] * n
-        total = self.log_share + logs[at].sum(0)
+        new = sorted(words.difference(self._seen))
+        size = len(self._seen)
+        self._seen.update(zip(new, range(size, size + len(new))))
+        if len(self._seen) > len(self._logs):
+            more = np.zeros((max(len(self._logs), len(new)), len(self.names)))
+            self._logs = np.concatenate([self._logs, more])
+        self._logs[size : size + len(new)] = self.log_probability(new)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        cut = []
+        for text in texts:
+            ws = letter_words(text)
+            if not self.names or not any(any(map(str.isalpha, w)) for w in ws):
+                ws = []
+            elif max(map(len, ws)) > CUT:
+                ws = [w[k : k + CUT] for w in ws for k in range(0, len(w), CUT)]
+            cut.append(ws)
+        if any(cut):
+            self._remember(set().union(*cut))
+        return [self._best(ws) if ws else ("und", 0.0) for ws in cut]
+
+    def _best(self, ws: list[str]) -> tuple[str, float]:
+        total = self.log_share + self._logs[list(map(self._seen.__getitem__, ws))].sum(0)
         post = np.exp(total - total.max())
         best = int(total.argmax())
         return self.names[best], float(post[best] / post.sum())
 
 
+def by_size(texts: pd.Series, most: int = 1_000_000) -> Iterator[list[str | None]]:
+    """Runs of texts of about so many characters in all."""
+    run: list[str | None] = []
+    size = 0
+    for t in texts:
+        run.append(t)
+        size += len(t or "")
+        if size > most:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 def fit(docs: DataFrame, learn: Column, vocabulary: list[str], lang: str = "lang", max_rows: int = MAX_ROWS) -> Languages:
     rows = docs.where(F.col(lang).isNotNull() & learn & F.col("text").isNotNull())
     rows = rows.select(F.col(lang).alias("_lang"), "text", F.xxhash64("doc_id").alias("_h"))
@@ -178,7 +217,7 @@ def identified(text: Column, model: Languages, spark) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = sent.value
         for s in batches:
-            yield pd.DataFrame([m.predict(t) for t in s], columns=["lang_pred", "score"])
+            yield pd.DataFrame([x for run in by_size(s) for x in m.predict(run)], columns=["lang_pred", "score"])
             del s
             release()
 

@@ -42,7 +42,7 @@ def test_forward_sums_all_segmentations():
         return sum([(table[vocabulary.index(s[:k])] if s[:k] in vocabulary else np.full(2, langid.UNKNOWN) * (k == 1)) * every(s[k:]) for k in range(1, len(s) + 1)])
 
     for w in ("a", "ab", "abab", "bca", "ccc"):
-        assert np.allclose(m.forward(w), np.log(every("▁" + w)))
+        assert np.allclose(m.log_probability([w])[0], np.log(every("▁" + w)))
 
 
 def test_em_raises_the_likelihood():
@@ -52,7 +52,7 @@ def test_em_raises_the_likelihood():
     for rounds in (1, 2, 4, 8):
         p = langid.learn_pieces(counts, lattice, len(vocabulary), rounds, alpha=1e-9)
         m = langid.Languages(["x"], [1.0], p[:, None], vocabulary)
-        value.append(sum(n * m.forward(w)[0] for w, n in counts))
+        value.append(sum(n * m.log_probability([w])[0][0] for w, n in counts))
     assert value == sorted(value)
 
 
