@@ -8,7 +8,8 @@ new byte, which earlier positions a token may still start from, and emits every
 token that all of these agree on.  Pending bytes never exceed the longest token
 (bounded lookahead).  States and transitions are made when first met and kept
 (lazy determinisation); at ``max_states`` the tables are emptied and grow again, so
-memory is bounded and results do not change.
+memory is bounded and results do not change.  Where an arc is still missing, the rest
+of the piece is found by longest fitting tokens from the state reached.
 
 Decoding.  ``Utf8Machine`` reads token ids; its state is the unfinished UTF-8
 sequence (at most three bytes).  Text appears as soon as its bytes are whole, and
@@ -49,8 +50,8 @@ class MergeTransducer:
     START = 0
     ARC_AFTER = 32
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 30_000):
-        self.ranks, self.max_states = ranks, max_states
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 30_000, max_pairs: int = 200_000):
+        self.ranks, self.max_states, self.max_pairs = ranks, max_states, max_pairs
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
         self._parts: dict[bytes, tuple[bytes, bytes]] = {}
@@ -214,7 +215,7 @@ class MergeTransducer:
             return [whole]
         if len(self._states) > self.max_states:
             self._reset()
-        if len(self._pairs) > 4 * self.max_states:
+        if len(self._pairs) > self.max_pairs:
             self._pairs.clear()
         state, out, table, wanted = self.START, [], self._next, self._wanted
         for k, b in enumerate(piece):

@@ -26,7 +26,7 @@ def reference(ranks):
 @pytest.mark.parametrize("size, arc_after", [(60_000, 32), (60_000, 1), (40, 1), (40, 2)])
 def test_random_texts_encode_like_the_library(ranks, reference, size, arc_after):
     enc = bpe.TextEncoder(ranks, P.PATTERN, max_cached=50)
-    enc.machine.max_states = size  # small tables are emptied often
+    enc.machine.max_states = enc.machine.max_pairs = size  # small tables are emptied often
     enc.machine.ARC_AFTER = arc_after  # 1: no piece is worked out without arcs
     rng = random.Random(3)
     for _ in range(1500):
