@@ -181,9 +181,13 @@ def by_size(texts: pd.Series, most: int = 1_000_000) -> Iterator[list[str | None
 def fit(docs: DataFrame, learn: Column, vocabulary: list[str], lang: str = "lang", max_rows: int = MAX_ROWS) -> Languages:
     rows = docs.where(F.col(lang).isNotNull() & learn & F.col("text").isNotNull())
     rows = rows.select(F.col(lang).alias("_lang"), "text", F.xxhash64("doc_id").alias("_h"))
-    # the k smallest hashes of each language: a window limit, applied before the shuffle as well
-    ranked = rows.select("_lang", "_h").withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_h")))
-    top = materialise(ranked.where(F.col("_n") <= max_rows).groupBy("_lang").agg(F.max("_h").alias("_top")), "lang-limits")
+    # the k smallest hashes of each language, first within each of 256 shares of the tasks: no
+    # task sorts more than its share of a hot language, and the last step has 256 * k rows of it
+    share = F.spark_partition_id() % 256
+    ranked = rows.select("_lang", "_h", share.alias("_share"))
+    for keys in (["_lang", "_share"], ["_lang"]):
+        ranked = ranked.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_h"))).where(F.col("_n") <= max_rows)
+    top = materialise(ranked.groupBy("_lang").agg(F.max("_h").alias("_top")), "lang-limits")
     shares = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
     sample = keys_join(rows, top, ["_lang"], "inner").where("_h <= _top")
 
