@@ -24,7 +24,6 @@ costs memory in proportion to itself only.
 from __future__ import annotations
 
 import base64
-import gc
 import struct
 from collections.abc import Iterator
 
@@ -33,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchfold.llm.common import release
+from matchfold.llm.common import release, worker_tables
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -265,8 +264,9 @@ class TextEncoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str, max_cached: int = 200_000):
         import regex
 
-        self.machine, self.pattern = MergeTransducer(ranks), regex.compile(pattern)
-        self.ids = _Remembered(lambda piece: _packed(self.machine.encode(piece.encode("utf-8", "replace"))), max_cached)
+        self.machine = machine = MergeTransducer(ranks)
+        self.pattern = regex.compile(pattern)
+        self.ids = _Remembered(lambda piece: _packed(machine.encode(piece.encode("utf-8", "replace"))), max_cached)
 
     def encode(self, text: str | None) -> bytes:
         return b"".join(map(self.ids.__getitem__, self.pattern.findall(text))) if text else b""
@@ -333,29 +333,17 @@ class Utf8Machine:
         return "".join(out)
 
 
-_LOCAL: dict = {}
-
-
-def _per_worker(key, make):
-    """One machine per Python worker, kept while the worker lives."""
-    if key not in _LOCAL:
-        _LOCAL.clear()
-        _LOCAL[key] = make()
-        gc.freeze()  # the tables stay: the collector need not walk them again and again
-    return _LOCAL[key]
-
-
 def encoded(spark: SparkSession, text: Column, vocabulary: str, pattern: str) -> Column:
     """Ids of a text column as binary: little-endian unsigned 32-bit integers."""
     ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))
 
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = _per_worker(("encode", vocabulary, pattern), lambda: TextEncoder(ranks.value, pattern))
+        enc = worker_tables(("encode", vocabulary, pattern), lambda: TextEncoder(ranks.value, pattern))
         for s in batches:
             yield pd.Series([enc.encode(t) for t in s], dtype=object)
             del s
-            release()
+            release(keep=True)
 
     return run(text)
 
@@ -366,11 +354,11 @@ def decoded(spark: SparkSession, ids: Column, vocabulary: str) -> Column:
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        dec = _per_worker(("decode", vocabulary), lambda: Utf8Machine({v: k for k, v in ranks.value.items()}))
+        dec = worker_tables(("decode", vocabulary), lambda: Utf8Machine({v: k for k, v in ranks.value.items()}))
         for s in batches:
             yield pd.Series([dec.decode(np.frombuffer(b or b"", "<u4")) for b in s], dtype=object)
             del s
-            release()
+            release(keep=True)
 
     return run(ids)
 

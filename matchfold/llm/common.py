@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -80,12 +81,30 @@ def frames(batches: Iterable, rows: int) -> Iterator:
             yield pdf.iloc[i : i + rows]
 
 
-def release() -> None:
-    """Give memory that this worker has freed back to the system: idle workers live on beside the JVM's heap."""
+_TABLES: dict = {}
+
+
+def worker_tables(key, make):
+    """Tables that a Python worker keeps from task to task, one set at a time."""
+    if key not in _TABLES:
+        _TABLES.clear()
+        _TABLES[key] = make()
+        gc.freeze()  # they stay: the collector need not walk them again and again
+    return _TABLES[key]
+
+
+def release(keep: bool = False) -> None:
+    """Give memory that this worker has freed back to the system: idle workers live on beside the JVM's heap.
+
+    Without ``keep`` the tables of another operator that ran in this worker go as well.
+    """
     import ctypes
 
     import pyarrow as pa
 
+    if _TABLES and not keep:
+        _TABLES.clear()
+        gc.unfreeze()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

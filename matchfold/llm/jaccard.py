@@ -82,6 +82,7 @@ def first_cut(blocks: int, threshold: int):
     """Entries of the cut by block, and one member row per document (carried in the same rows)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         shingles, turn = Shingler(), 0
         for pdf in frames(batches, ROWS):
             ids, keys, digests, sizes, hits, cols, rows, place = [], [], [], [], {}, [], [], {}
@@ -150,6 +151,7 @@ def meetings(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    release()
     shingles = Shingler()
     for pdf in frames(batches, ROWS):
         seen: dict = {}
@@ -172,6 +174,8 @@ def columns_of(blocks: int):
             order = np.argsort(col, kind="stable")
             col, row = col[order], row[order]
             yield pd.DataFrame([(b, planes(col[s]), row[s].tobytes()) for b, s in cuts(col, blocks)], columns=["block", "cols", "rows"])
+            del pdf, col, row, order
+            release()
 
     return run
 
@@ -202,6 +206,8 @@ def overlap(a: Column, b: Column) -> Column:
                 at[at == len(q)] = 0
                 out.append(int((q[at] == p).sum()) if len(q) else 0)
             yield pd.Series(out, dtype="int32")
+            del x, y
+            release()
 
     return run(a, b)
 

@@ -181,6 +181,7 @@ def toxicity(text: Column, index: Examples, ids: list, spark, k: int = NEIGHBOUR
 
     @F.pandas_udf(SCHEMA)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        release()
         idx, names = sent.value
         known: dict = {}
         for s in batches:
