@@ -372,3 +372,23 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str =
 def decode_documents(docs: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
     """Adds ``decoded``, the text of the ids."""
     return docs.withColumn("decoded", decoded(docs.sparkSession, F.col(ids), vocabulary))
+
+
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
+    """Adds ``ids``, ``n_tokens`` and ``decoded`` (the text of those ids) by one set of Python workers instead of two."""
+    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
+
+    @F.pandas_udf("ids binary, decoded string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        enc, dec = worker_tables(
+            ("both", vocabulary, pattern), lambda: (TextEncoder(ranks.value, pattern), Utf8Machine({v: k for k, v in ranks.value.items()}))
+        )
+        for s in batches:
+            ids = [enc.encode(t) for t in s]
+            yield pd.DataFrame({"ids": ids, "decoded": [dec.decode(np.frombuffer(b, "<u4")) for b in ids]}, dtype=object)
+            del s, ids
+            release(keep=True)
+
+    out = docs.withColumn("_bpe", run(F.col(text)))
+    out = out.withColumn("ids", F.col("_bpe.ids")).withColumn("decoded", F.col("_bpe.decoded")).drop("_bpe")
+    return out.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))

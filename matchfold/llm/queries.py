@@ -24,8 +24,7 @@ def pattern() -> str:
 
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
-    out = bpe.encode_documents(docs.select("doc_id", "text"), vocabulary(), pattern())
-    out = bpe.decode_documents(out.select("doc_id", "ids", "n_tokens"), vocabulary())
+    out = bpe.round_trip(docs.select("doc_id", "text"), vocabulary(), pattern())
     return out.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
     )

@@ -57,8 +57,10 @@ def test_utf8_machine_decodes_any_bytes_like_python(ranks):
 def test_rows_round_trip(spark, reference):
     path = P.path("byte_bpe_50k.tiktoken")
     out = bpe.decode_documents(bpe.encode_documents(docs(spark), path, P.PATTERN), path).collect()
-    assert len(out) == len(awkward())
-    for r in out:
+    both = bpe.round_trip(docs(spark), path, P.PATTERN)
+    assert str(both._jdf.queryExecution().executedPlan()).count("ArrowEvalPython") == 1
+    assert len(out) == both.count() == len(awkward())
+    for r in out + both.collect():
         ids = reference.encode_ordinary(r["text"] or "")
         assert bytes(r["ids"]) == struct.pack(f"<{len(ids)}I", *ids)
         assert r["n_tokens"] == len(ids) and r["decoded"] == (r["text"] or "")
@@ -67,6 +69,7 @@ def test_rows_round_trip(spark, reference):
 def test_empty_table_and_real_texts(spark, reference):
     path = P.path("byte_bpe_50k.tiktoken")
     assert bpe.encode_documents(docs(spark, []), path, P.PATTERN).count() == 0
+    assert bpe.round_trip(docs(spark, []), path, P.PATTERN).collect() == []
     d = spark.read.parquet(f"{SF}/documents.parquet").where(F.col("doc_id") % 7 == 0)
     for r in bpe.encode_documents(d, path, P.PATTERN).collect():
         assert np.frombuffer(bytes(r["ids"]), "<u4").tolist() == reference.encode_ordinary(r["text"])
