@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from matchfold.plans import duckdb_sql as D
-from matchfold.plans.duckdb_sql import Fold, _q
+from matchfold.plans.duckdb_sql import Fold, _q, mapping
 from matchfold.schema import ATTRIBUTES
 
 TRACE_K = ATTRIBUTES.index("company_name")
@@ -18,7 +18,7 @@ def _norm(raw: str, expr: str) -> str:
     return f"SELECT id, {raw} AS raw, {expr} AS value FROM {_desc()}"
 
 
-def _two() -> tuple[Fold, dict, dict, str, str]:
+def _two() -> tuple[Fold, str, str, str, str]:
     f = Fold()
     b1 = f.batch("b1", 1)
     b2 = f.batch("b2", 2)
@@ -28,7 +28,7 @@ def _two() -> tuple[Fold, dict, dict, str, str]:
     return f, t1, t2, s1, s2
 
 
-def _single() -> tuple[Fold, dict]:
+def _single() -> tuple[Fold, str]:
     f = Fold()
     b = f.batch("ball", None)
     t0, s0 = f.empty_state("e")
@@ -37,9 +37,7 @@ def _single() -> tuple[Fold, dict]:
 
 
 def _keys(f: Fold) -> str:
-    k = TRACE_K
-    key = "coalesce(" + ", ".join(["f_mid"] + [f"h{j}_prev" for j in reversed(range(k))]) + ")"
-    return f.add("keys", f"SELECT DISTINCT {key} AS key FROM u2_tm{k} WHERE {key} IS NOT NULL")
+    return f.add("keys", f"SELECT cluster AS key FROM u2_touched{TRACE_K}")
 
 
 def _best(f: Fold, table: str, keys: str, name: str) -> str:
@@ -63,8 +61,8 @@ def _match(tables_of) -> str:
 
 def _dnb(tables_of) -> str:
     f, tables = tables_of()
-    detail = f.match_rel("md", _match_batch(f), tables, keep_duns=True)
-    out = f.dnb_rel("dnb", detail, tables["duns_number"])
+    detail = f.match_rel("md", _match_batch(f), tables)
+    out = f.dnb_rel("dnb", detail, tables)
     return f.sql(f"SELECT id, match_id, similarity FROM {out}")
 
 
@@ -137,49 +135,54 @@ def oracle_sql() -> dict[str, str]:
 
     # operators of stage company_name, second batch
     k = TRACE_K
-    hcols = ", ".join([f"h{j}_prev" for j in range(k)] + [f"h{j}_mid" for j in range(k)])
     f, t1, t2, _, _ = _two()
-    q["lookup_left_join"] = f.sql(f"SELECT id, f AS value, f_prev, f_mid, {hcols} FROM u2_tm{k}")
+    q["lookup_left_join"] = f.sql(
+        f"SELECT id, max(value) FILTER (rank = {k}) AS value, max(prev_match_id) FILTER (rank = {k}) AS f_prev, "
+        f"max(match_id) FILTER (rank = {k}) AS f_mid, "
+        + ", ".join(f"max({c}_id) FILTER (rank = {j}) AS h{j}_{n}" for j in range(k) for c, n in (("prev_match", "prev"), ("match", "mid")))
+        + f" FROM b2 LEFT JOIN u2_known{k} USING (id) GROUP BY id"
+    )
     f, t1, t2, _, _ = _two()
     keys = _keys(f)
     q["impacted_existing"] = f.sql(
-        f"SELECT {D.MAP_COLS} FROM {t1['company_name']} WHERE match_id IN (SELECT key FROM {keys})"
+        f"SELECT {D.MAP_COLS} FROM {mapping(t1, 'company_name')} WHERE match_id IN (SELECT key FROM {keys})"
     )
     f, t1, t2, _, _ = _two()
     keys = _keys(f)
-    best = _best(f, t2["duns_number"], keys, "best1")
+    best = _best(f, mapping(t2, "duns_number"), keys, "best1")
     q["impacted_dependents"] = f.sql(f"SELECT * FROM {best}")
 
     f, t1, t2, _, _ = _two()
     keys = _keys(f)
-    bests = [_best(f, t2[ATTRIBUTES[j]], keys, f"best{j}") for j in range(k)]
+    bests = [_best(f, mapping(t2, ATTRIBUTES[j]), keys, f"best{j}") for j in range(k)]
     batch_part = (
-        "SELECT f AS value, f_mid, dt AS f_dt, src AS f_src, "
+        "SELECT own.value, own.match_id AS f_mid, own.datetime AS f_dt, own.source AS f_src, "
         + ", ".join(
-            f"CASE WHEN h{j} IS NOT NULL THEN dt END AS h{j}_dt, CASE WHEN h{j} IS NOT NULL THEN h{j}_mid END AS h{j}_mid"
+            f"max(other.datetime) FILTER (other.rank = {j}) AS h{j}_dt, max(other.match_id) FILTER (other.rank = {j}) AS h{j}_mid"
             for j in range(k)
         )
-        + f" FROM u2_tm{k} WHERE f IS NOT NULL"
+        + f" FROM u2_known{k} own JOIN u2_known{k} other USING (rid) WHERE own.rank = {k} GROUP BY rid, own.value, own.match_id, own.datetime, own.source"
     )
     ex_part = (
         "SELECT o.value, o.match_id AS f_mid, o.datetime AS f_dt, o.source AS f_src, "
         + ", ".join(f"x{j}.h_datetime AS h{j}_dt, x{j}.h_match_id AS h{j}_mid" for j in range(k))
-        + f" FROM {t1['company_name']} o "
+        + f" FROM {mapping(t1, 'company_name')} o "
         + " ".join(f"LEFT JOIN {bests[j]} x{j} ON x{j}.prev_match_id = o.match_id" for j in range(k))
         + f" WHERE o.match_id IN (SELECT key FROM {keys})"
     )
     q["union_candidates"] = f.sql(f"{batch_part}\nUNION ALL\n{ex_part}")
 
     f, *_ = _two()
-    q["latest_per_value"] = f.sql(f"SELECT f AS value, f_dt AS datetime, f_src AS source FROM u2_lv{k}")
+    q["latest_per_value"] = f.sql(f"SELECT value, newest.at AS datetime, newest.source AS source FROM u2_seen{k}")
     f, *_ = _two()
     q["first_value_priority"] = f.sql(
-        f"SELECT f AS value, " + ", ".join(f"h{j}_mid AS h{j}_match_id" for j in range(k)) + f" FROM u2_lv{k}"
+        "SELECT value, " + ", ".join(f"max(t.match_id) FILTER (by_rank = {j}) AS h{j}_match_id" for j in range(k))
+        + f" FROM u2_seen{k} LEFT JOIN u2_told{k} t USING (value) GROUP BY value"
     )
     f, *_ = _two()
     q["assign_new_ids"] = f.sql(
         "\nUNION ALL ".join(
-            f"SELECT f AS value, new_mid AS match_id, '{a}' AS attribute FROM u2_dec{i} WHERE cand IS NULL"
+            f"SELECT value, match_id, '{a}' AS attribute FROM u2_fresh{i}"
             for i, a in enumerate(ATTRIBUTES)
         )
     )
@@ -188,7 +191,7 @@ def oracle_sql() -> dict[str, str]:
         "\nUNION ALL ".join(f"SELECT {D.MAP_COLS}, '{a}' AS attribute FROM u2_delta{i}" for i, a in enumerate(ATTRIBUTES))
     )
     f, t1, t2, _, _ = _two()
-    q["upsert_mapping"] = f.sql(f"SELECT {D.MAP_COLS} FROM {t2['company_name']}")
+    q["upsert_mapping"] = f.sql(f"SELECT {D.MAP_COLS} FROM {mapping(t2, 'company_name')}")
     f, t1, t2, _, _ = _two()
     seeds = f.add(
         "seeds",
@@ -196,7 +199,7 @@ def oracle_sql() -> dict[str, str]:
         "CAST(0 AS BIGINT) AS match_id, source, datetime FROM b2 WHERE duns_number IS NOT NULL "
         "ORDER BY duns_number, datetime DESC, source DESC",
     )
-    dt = t1["duns_number"]
+    dt = mapping(t1, "duns_number")
     q["seed_insert_if_absent"] = f.sql(
         f"SELECT {D.MAP_COLS}, false AS created FROM {dt}\nUNION ALL\n"
         f"SELECT {D.MAP_COLS}, true AS created FROM {seeds} s WHERE NOT EXISTS (SELECT 1 FROM {dt} o WHERE o.value = s.value)"
@@ -206,7 +209,7 @@ def oracle_sql() -> dict[str, str]:
     q["state_scan"] = f.sql(Fold.state_long(t1))
     for i, a in enumerate(ATTRIBUTES):
         f, t1, t2, _, _ = _two()
-        q[f"update_{a}"] = f.sql(f"SELECT {D.MAP_COLS} FROM {t2[a]}")
+        q[f"update_{a}"] = f.sql(f"SELECT {D.MAP_COLS} FROM {mapping(t2, a)}")
     f, t = _single()
     q["update_mappings"] = f.sql(Fold.state_long(t))
     f, t1, t2, _, _ = _two()
@@ -232,7 +235,7 @@ def oracle_sql() -> dict[str, str]:
     q["similarity_string"] = f.sql(f"SELECT id, similarity FROM {detail}")
     f, t2 = _state2()
     q["latest_duns_per_match"] = f.sql(
-        f"SELECT DISTINCT ON (match_id) match_id, value AS duns_number, datetime FROM {t2['duns_number']} "
+        f"SELECT DISTINCT ON (match_id) match_id, value AS duns_number, datetime FROM {mapping(t2, 'duns_number')} "
         "ORDER BY match_id, datetime DESC, value"
     )
     q["stream_update"] = q["update_two_batches"]
