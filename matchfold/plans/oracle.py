@@ -5,6 +5,7 @@ from __future__ import annotations
 from matchfold.plans import duckdb_sql as D
 from matchfold.plans.duckdb_sql import Fold, _q, mapping
 from matchfold.schema import ATTRIBUTES
+from matchfold.sources.fixtures import JSON_MARKS, MARKED_COLUMNS
 
 TRACE_K = ATTRIBUTES.index("company_name")
 ATTR_LIST = ", ".join(ATTRIBUTES)
@@ -77,7 +78,7 @@ def _state2():
 
 
 def _errors_flag(cond: str) -> str:
-    return f"SELECT id, coalesce({cond}, false) AS violates FROM {_desc()}"
+    return f"SELECT n, coalesce({cond}, false) AS violates FROM ({D.flawed_sql()})"
 
 
 def _json_struct() -> str:
@@ -100,25 +101,41 @@ def oracle_sql() -> dict[str, str]:
     q["norm_postcode"] = _norm("postcode", D.norm_postcode_sql())
     q["normalise_descriptions"] = D.normalised_sql(_desc())
 
-    q["val_payload_shape"] = "SELECT DISTINCT CAST(floor(o_orderkey / 100) AS BIGINT) AS payload_id, true AS ok FROM orders"
+    q["val_payload_shape"] = (
+        "SELECT *, error IS NULL AS ok FROM (SELECT DISTINCT CAST(floor(o_orderkey / 100) AS BIGINT) AS payload_id, "
+        "['Unable to read JSON payload', 'payload is not an object', '{} is not of type ''array''', "
+        "'''descriptions'' is a required property', 'None is not of type ''array'''][1 + CAST(floor(o_orderkey / 100) AS BIGINT) % 7] AS error "
+        "FROM orders)"
+    )
     q["val_required_match"] = _errors_flag("id IS NULL")
     q["val_required_update"] = _errors_flag("id IS NULL OR datetime IS NULL OR source IS NULL")
     q["val_any_attribute"] = _errors_flag(f"coalesce({ATTR_LIST}) IS NULL")
+    text = f"CAST(json_merge_patch('{{}}', to_json({_json_struct()})) AS VARCHAR)"
+    for mark, value in JSON_MARKS.items():
+        text = f"replace({text}, '\"{mark}\"', '{value}')"
+    words = "CASE {0} WHEN 'null' THEN 'None' WHEN 'true' THEN 'True' ELSE {0} END || ' is not of type ''string'''"
+    found = ", ".join(
+        f"CASE WHEN json_type(j, '$.{c}') <> 'VARCHAR' THEN {words.format(f'CAST(json_extract(j, {_q(chr(36) + chr(46) + c)}) AS VARCHAR)')} END"
+        for c in ("id", *ATTRIBUTES)
+    )
+    marked = ", ".join(f"{e} AS {c}" for c, e in MARKED_COLUMNS.items())
     q["val_types"] = (
-        "SELECT id, coalesce("
-        + " OR ".join(f"json_type(j, '$.{c}') NOT IN ('VARCHAR', 'NULL')" for c in ("id", *ATTRIBUTES))
-        + f", false) AS violates FROM (SELECT id, to_json({_json_struct()}) AS j FROM {_desc()})"
+        "SELECT CAST(floor(n / 100) AS BIGINT) AS payload_id, "
+        "CAST(row_number() OVER (PARTITION BY CAST(floor(n / 100) AS BIGINT) ORDER BY n) - 1 AS INTEGER) AS pos, "
+        "len(m) > 0 AS violates, array_to_string(m, ' | ') AS messages "
+        f"FROM (SELECT n, list_filter([{found}], lambda x: x IS NOT NULL) AS m "
+        f"FROM (SELECT n, CAST({text} AS JSON) AS j FROM (SELECT * REPLACE ({marked}) FROM ({D.flawed_sql()}))))"
     )
     q["val_min_length"] = _errors_flag(
         " OR ".join(f"length({c}) < 1" for c in ("id", "company_name", "duns_number", "postcode", "cdms_ref"))
     )
     q["val_ch_length"] = _errors_flag("length(companies_house_id) <> 8")
     q["val_email"] = _errors_flag(f"NOT regexp_matches(contact_email, {_q(D.P.EMAIL_PATTERN)})")
-    errs = D.errors_sql("update", "id")
+    errs = D.errors_sql("update", "n")
     q["val_error_report"] = (
-        f"SELECT id, CAST(len(e) AS INTEGER) AS n_errors, "
+        f"SELECT n, CAST(len(e) AS INTEGER) AS n_errors, "
         "array_to_string(list_transform(e, lambda x: x.path || ': ' || x.message), ' | ') AS report "
-        f"FROM (SELECT id, {errs} AS e FROM {_desc()})"
+        f"FROM (SELECT n, {errs} AS e FROM ({D.flawed_sql()}))"
     )
 
     q["src_json_descriptions"] = f"SELECT id, source, datetime, {ATTR_LIST} FROM {_desc()}"

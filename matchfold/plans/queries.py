@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchfold.functions import normalise as N
+from matchfold.functions.patterns import EMAIL_PATTERN
 from matchfold.functions.matching import priority_coalesce, similarity_string
 from matchfold.operators.match import MID_COLS, latest_duns_per_cluster, match, match_detail
 from matchfold.operators.state import MAPPING_COLUMNS, MappingState
@@ -22,8 +23,8 @@ from matchfold.operators.validate import split_valid, validate_descriptions
 from matchfold.operators import validate as V
 from matchfold.schema import ATTRIBUTES
 from matchfold.session import scratch_path
-from matchfold.sources.fixtures import derived_descriptions
-from matchfold.sources.payload import expand_payloads, match_json, parse_description_text
+from matchfold.sources.fixtures import BROKEN_PAYLOADS, JSON_MARKS, MARKED_COLUMNS, derived_descriptions, flawed_descriptions
+from matchfold.sources.payload import expand_payloads, match_json, parse_description_text, parse_payload_text
 from matchfold.sources.store import StateStore
 from matchfold.streaming.stream import stream_updates
 
@@ -103,8 +104,8 @@ def q_normalise_descriptions(spark, sf_dir):
 
 def _val_query(mode: str, flag):
     def q(spark, sf_dir):
-        d = validate_descriptions(run_for(spark, sf_dir).raw(), mode)
-        return d.select("id", flag(d).alias("violates"))
+        d = validate_descriptions(flawed_descriptions(spark, sf_dir), mode)
+        return d.select("n", flag(d).alias("violates"))
 
     return q
 
@@ -120,23 +121,23 @@ def _path_has(suffixes):
 
 
 def q_val_required_match(spark, sf_dir):
-    d = validate_descriptions(run_for(spark, sf_dir).raw(), "match")
+    d = validate_descriptions(flawed_descriptions(spark, sf_dir), "match")
     missing_id = F.lit("'id' is a required property")
-    return d.select("id", F.exists(F.col("errors"), lambda e: e["message"] == missing_id).alias("violates"))
+    return d.select("n", F.exists(F.col("errors"), lambda e: e["message"] == missing_id).alias("violates"))
 
 
 def q_val_required_update(spark, sf_dir):
-    d = validate_descriptions(run_for(spark, sf_dir).raw(), "update")
+    d = validate_descriptions(flawed_descriptions(spark, sf_dir), "update")
     missing = [F.lit(f"'{c}' is a required property") for c in V.REQUIRED["update"]]
     return d.select(
-        "id", F.exists(F.col("errors"), lambda e: e["message"].isin(*missing)).alias("violates")
+        "n", F.exists(F.col("errors"), lambda e: e["message"].isin(*missing)).alias("violates")
     )
 
 
 def q_val_any_attribute(spark, sf_dir):
-    d = validate_descriptions(run_for(spark, sf_dir).raw(), "update")
+    d = validate_descriptions(flawed_descriptions(spark, sf_dir), "update")
     return d.select(
-        "id",
+        "n",
         F.exists(F.col("errors"), lambda e: e["message"] == F.lit(f"'{V.ANY_OF_FIRST}' is a required property")).alias(
             "violates"
         ),
@@ -154,13 +155,13 @@ def q_val_ch_length(spark, sf_dir):
 
 
 def q_val_email(spark, sf_dir):
-    return _val_query("update", _path_has([("/contact_email", "[^@]+\\.[^@]+'")]))(spark, sf_dir)
+    return _val_query("update", _path_has([("/contact_email", f" does not match {EMAIL_PATTERN!r}")]))(spark, sf_dir)
 
 
 def q_val_error_report(spark, sf_dir):
-    d = validate_descriptions(run_for(spark, sf_dir).raw(), "update", index_col="id")
+    d = validate_descriptions(flawed_descriptions(spark, sf_dir), "update", index_col="n")
     return d.select(
-        "id",
+        "n",
         F.size("errors").alias("n_errors"),
         F.array_join(F.transform("errors", lambda e: F.concat(e["path"], F.lit(": "), e["message"])), " | ").alias(
             "report"
@@ -182,42 +183,42 @@ def q_src_json_descriptions(spark, sf_dir):
     return parse_description_text(_description_json(run_for(spark, sf_dir).raw()))
 
 
-def q_src_expand_records(spark, sf_dir):
-    """Payload documents of up to 100 orders each (bounded groups), expanded again."""
-    d = run_for(spark, sf_dir).raw().withColumn("_k", F.col("id").cast("long"))
-    item = F.struct(
-        F.col("_k"),
-        F.struct(
-            *[
-                F.date_format("datetime", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("datetime") if c == "datetime" else F.col(c)
-                for c in ("id", "source", "datetime", *ATTRIBUTES)
-            ]
-        ).alias("d"),
-    )
-    docs = d.groupBy(F.floor(F.col("_k") / 100).alias("payload_id")).agg(
+def _payloads(d: DataFrame) -> DataFrame:
+    """Payload documents of the descriptions of up to 100 orders each (bounded groups), by the key ``n``."""
+    fields = [
+        F.date_format("datetime", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("datetime") if c == "datetime" else F.col(c)
+        for c in ("id", "source", "datetime", *ATTRIBUTES)
+    ]
+    item = F.struct("n", F.struct(*fields).alias("d"))
+    return d.groupBy(F.floor(F.col("n") / 100).alias("payload_id")).agg(
         F.to_json(
             F.struct(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["d"]).alias("descriptions"))
         ).alias("value")
     )
+
+
+def q_src_expand_records(spark, sf_dir):
+    docs = _payloads(run_for(spark, sf_dir).raw().withColumn("n", F.col("id").cast("long")))
     out = expand_payloads(docs, "value", key_col="payload_id")
     return out.select("payload_id", F.col("_pos").alias("pos"), "id", "source", "datetime", *ATTRIBUTES,
                       F.size("type_errors").alias("n_type_errors"))
 
 
 def q_val_types(spark, sf_dir):
-    out = q_src_expand_records(spark, sf_dir)
-    return out.select("id", (F.col("n_type_errors") > 0).alias("violates"))
+    """Payloads in which some values are numbers, true, null or lists."""
+    d = flawed_descriptions(spark, sf_dir).withColumns({c: F.expr(e) for c, e in MARKED_COLUMNS.items()})
+    value = reduce(lambda v, m: F.replace(v, F.lit(f'"{m[0]}"'), F.lit(m[1])), JSON_MARKS.items(), F.col("value"))
+    out = expand_payloads(_payloads(d).withColumn("value", value), "value", key_col="payload_id")
+    return out.select("payload_id", F.col("_pos").alias("pos"), (F.size("type_errors") > 0).alias("violates"),
+                      F.array_join("type_errors.message", " | ").alias("messages"))
 
 
 def q_val_payload_shape(spark, sf_dir):
-    from matchfold.sources.payload import parse_payload_text
-
-    d = run_for(spark, sf_dir).raw().withColumn("_k", F.col("id").cast("long"))
-    docs = d.groupBy(F.floor(F.col("_k") / 100).alias("payload_id")).agg(
-        F.to_json(F.struct(F.collect_list(F.struct("id")).alias("descriptions"))).alias("value")
-    )
-    parsed = parse_payload_text(docs, "value")
-    return parsed.select("payload_id", F.col("payload_error").isNull().alias("ok"))
+    """Payloads some of which are cut short, no object, or without a list of descriptions."""
+    docs = _payloads(run_for(spark, sf_dir).raw().withColumn("n", F.col("id").cast("long")))
+    cases = " ".join(f"WHEN {i} THEN {e}" for i, e in BROKEN_PAYLOADS.items())
+    parsed = parse_payload_text(docs.withColumn("value", F.expr(f"CASE payload_id % 7 {cases} ELSE value END")), "value")
+    return parsed.select("payload_id", F.col("payload_error").isNull().alias("ok"), F.col("payload_error").alias("error"))
 
 
 def q_sink_matches_json(spark, sf_dir):

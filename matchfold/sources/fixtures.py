@@ -46,3 +46,41 @@ def derived_descriptions(spark: SparkSession, sf_dir: str, batch: int | None = N
     joined = orders.join(part, F.col("p.p_partkey") == F.col("o.o_custkey"), "left")
     return joined.select(*[F.expr(e) for e in DERIVED_COLUMNS])
 
+
+# Flaws put into the derived descriptions, so that every validation rule meets
+# rows that break it (shared with the oracle).  ``n`` is the order's key.
+FLAWED_COLUMNS = [
+    "n",
+    "CASE WHEN n % 13 = 0 THEN NULL WHEN n % 17 = 0 THEN '' ELSE id END AS id",
+    "CASE WHEN n % 19 = 0 THEN NULL ELSE source END AS source",
+    "CASE WHEN n % 23 = 0 THEN NULL ELSE datetime END AS datetime",
+    "CASE WHEN n % 9 = 0 THEN substr(companies_house_id, 1, 7) WHEN n % 9 = 3 THEN concat('9', companies_house_id) WHEN n % 18 = 6 THEN concat('a', chr(39), chr(9)) ELSE companies_house_id END AS companies_house_id",
+    "CASE WHEN n % 12 = 5 THEN '' ELSE duns_number END AS duns_number",
+    "CASE WHEN n % 29 = 0 THEN '' ELSE company_name END AS company_name",
+    "CASE WHEN n % 14 = 1 THEN concat('x', chr(39), 'y', chr(34), 'z') WHEN n % 14 = 8 THEN concat('b', chr(92), 's', chr(10)) WHEN n % 21 = 2 THEN 'a@b' ELSE contact_email END AS contact_email",
+    "CASE WHEN n % 16 = 2 THEN '' ELSE cdms_ref END AS cdms_ref",
+    "CASE WHEN n % 10 = 4 THEN '' ELSE postcode END AS postcode",
+]
+
+# Texts that stand for JSON values which are no strings, and where they go.
+JSON_MARKS = {"#number": "5", "#true": "true", "#null": "null", "#list": "[1]"}
+MARKED_COLUMNS = {
+    "company_name": "CASE WHEN n % 31 = 0 THEN '#number' ELSE company_name END",
+    "duns_number": "CASE WHEN n % 37 = 0 THEN '#true' ELSE duns_number END",
+    "postcode": "CASE WHEN n % 41 = 0 THEN '#null' ELSE postcode END",
+    "cdms_ref": "CASE WHEN n % 43 = 0 THEN '#list' ELSE cdms_ref END",
+}
+
+# What becomes of a payload's text, by payload_id % 7 (others stay as they are).
+BROKEN_PAYLOADS = {
+    0: "substr(value, 1, length(value) - 2)",
+    1: "'[]'",
+    2: "'{\"descriptions\": {}}'",
+    3: "'{\"other\": []}'",
+    4: "'{\"descriptions\": null}'",
+}
+
+
+def flawed_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived descriptions with flaws, and their key ``n``."""
+    return derived_descriptions(spark, sf_dir).withColumn("n", F.col("id").cast("long")).select(*[F.expr(e) for e in FLAWED_COLUMNS])

@@ -49,13 +49,13 @@ def parse_payload_text(df: DataFrame, text_col: str = "value") -> DataFrame:
     v = F.try_parse_json(F.col(text_col))
     parsed = F.from_json(F.col(text_col), PAYLOAD_SCHEMA)
     is_object = F.schema_of_variant(v).startswith("OBJECT")
-    has_array = F.try_variant_get(v, "$.descriptions", "variant").isNotNull() & F.schema_of_variant(
-        F.try_variant_get(v, "$.descriptions", "variant")
-    ).startswith("ARRAY")
+    found = F.try_variant_get(v, "$.descriptions", "variant")
+    is_array = F.schema_of_variant(found).startswith("ARRAY")
     error = (
         F.when(v.isNull(), F.lit(PAYLOAD_ERROR))
         .when(~is_object, F.lit("payload is not an object"))
-        .when(~F.coalesce(has_array, F.lit(False)), F.lit("'descriptions' is a required property"))
+        .when(found.isNull(), F.lit("'descriptions' is a required property"))
+        .when(~is_array, F.concat(_python_word(F.to_json(found)), F.lit(" is not of type 'array'")))
     )
     return df.withColumn("payload", parsed).withColumn("payload_error", error)
 
