@@ -53,7 +53,9 @@ def exact_duplicates(docs: DataFrame, prefix_bytes: int = PREFIX_BYTES, digest_a
         F.max(F.struct(F.col("doc_id").isNotNull(), "doc_id", "_row")).alias("_top"), F.count("*").alias("group_size")
     )
     group = group.select("text_sha256", "group_size", F.col("_top.doc_id").alias("keep_id"), F.col("_top._row").alias("_keep"))
-    shared = numbered.join(group.where("group_size > 1"), "text_sha256", "left").select(
+    # stored first, so that the join is a stage of its own and a hot group of copies can be split
+    group = materialise(group.where("group_size > 1"), "exact-groups")
+    shared = keys_join(numbered, group, ["text_sha256"], "left", limit=200_000).select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
