@@ -20,8 +20,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: (bytes from, lowest ratio, highest ratio): short texts carry frame costs, long ones repeat more
-BANDS = ((0, 0.40, 2.6), (256, 1.00, 3.0), (1024, 1.20, 3.4), (4096, 1.35, 3.8), (16384, 1.45, 4.4), (65536, 1.50, 5.0))
+#: (bytes from, lowest ratio, highest ratio): short texts carry frame costs, long ones repeat more.  Each lower limit
+#: lies above random base64 or printable words of six letters of the band's largest size and below the 0.1 percentile
+#: of prose of its smallest.  Texts below 128 bytes are too short to tell the two apart.
+BANDS = (
+    (0, 0.40, 2.6), (128, 1.05, 2.6), (144, 1.08, 2.6), (176, 1.13, 2.6), (224, 1.19, 2.6),
+    (256, 1.23, 3.0), (384, 1.30, 3.0), (512, 1.35, 3.0), (768, 1.42, 3.0),
+    (1024, 1.50, 3.4), (2048, 1.60, 3.4), (4096, 1.65, 3.8), (16384, 1.70, 4.4), (65536, 1.75, 5.0),
+)
 CHUNK_BYTES = 4096
 BAD_CHUNKS = 0.25
 SYMBOLS = "#*$%&|<>"

@@ -174,6 +174,43 @@ def test_bands_keep_good_documents_and_reject_noise(spark):
     assert bands.compression_bands(docs(spark, [])).count() == 0
 
 
+def noise_words(rng, size, printable):
+    import base64
+
+    s = "".join(chr(rng.randint(33, 126)) for _ in range(size)) if printable else base64.b64encode(rng.randbytes(size)).decode()
+    return " ".join(s[i : i + 6] for i in range(0, len(s), 6))[:size]
+
+
+def test_bands_reject_noise_of_every_size_and_keep_prose(spark):
+    import random
+
+    import zstandard
+
+    rng, c = random.Random(4), zstandard.ZstdCompressor(level=3)
+    ends = [start - 1 for start, _, _ in bands.BANDS[2:]] + [220, 400, 1000, 2000, 3000, 4000, 8000, 12000, 30000, 200_000]
+    for size in ends:
+        for printable in (False, True):
+            assert not any(bands.judge(c, noise_words(rng, size, printable))[6] for _ in range(10)), (size, printable)
+    texts = [r["text"] for r in real(spark).join(real(spark, "labels"), "doc_id").where("quality = 1 and text is not null").collect()]
+    for start, low, _ in bands.BANDS[1:]:
+        cut = [t.encode()[:start] for t in texts if len(t.encode()) >= start]
+        assert not cut or np.mean([bands.ratio(c, x) >= low for x in cut]) > 0.99, start
+
+
+def test_bands_reject_long_documents_that_are_half_noise(spark):
+    import random
+
+    import zstandard
+
+    rng, c = random.Random(6), zstandard.ZstdCompressor(level=3)
+    long = [r["text"] for r in spark.read.parquet(f"{LARGER}/documents.parquet").where("length(text) between 9000 and 20000").orderBy("doc_id").limit(40).collect()]
+    long = [t for t in long if bands.judge(c, t)[6]]
+    assert len(long) >= 30
+    for t in long:
+        half = len(t) // 2
+        assert not bands.judge(c, t[:half] + " " + noise_words(rng, len(t.encode()) - half, False))[6]
+
+
 # toxicity
 
 
