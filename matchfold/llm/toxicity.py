@@ -1,16 +1,18 @@
 """Operator 8: toxicity by nearest labelled examples.
 
 A bounded sample of labelled rows (``max_examples`` of each class, by smallest hash of
-the id) gives the examples.  Terms are words and word starts of four letters (with levels of count); those most tied to the
-label in the sample (chi-square, at most ``max_terms``) span the space, with TF-IDF
-weights from the sample.  Examples are held as posting lists in blocks, with the
+the id) gives the examples.  Terms are words and word starts of four letters (with levels of count), all those of
+the sample, with TF-IDF weights times their tie to the label: the square of how far the
+log odds of the label given the term exceed one standard error of theirs.  A term of a
+few rows, all of one label, counts however large the sample is; one whose odds are those
+of chance weighs nothing.  Examples are held as posting lists in blocks, with the
 largest weight of each term in each block.  For a text, blocks are visited in order of
 their upper bound and the search ends when no unseen block can reach the k-th best
 cosine: the neighbours are exact.  Votes are weighted by similarity and by what a
 sampled example of its class stands for, with a share of the prior, so scores are
 calibrated to the labelled rows.  The neighbours are returned as evidence.
 
-Rows: null and empty texts, and texts without any term, have no neighbour and get the
+Rows: null and empty texts, and texts without any tied term, have no neighbour and get the
 prior.  Null labels are not used; several labels of an id count as its largest.  Ties
 in similarity go to the example that comes first by (id, text hash).  Whole texts are
 read.  Documents of any length and count are scored; only the sample is bounded.
@@ -19,7 +21,7 @@ Without labels the score is 0.
 
 from __future__ import annotations
 
-import heapq
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -34,9 +36,6 @@ from matchfold.llm.qda import labelled
 
 #: Labelled rows of each class that the examples are drawn from.
 MAX_EXAMPLES = 2000
-MAX_TERMS = 1024
-MIN_CHI2 = 40.0
-MIN_ROWS = 8
 NEIGHBOURS = 15
 BLOCK = 64
 PRIOR_WEIGHT = 0.3
@@ -52,73 +51,95 @@ def terms(text: str | None) -> Counter:
     A word start met 2, 4 or 8 times is one more term for each level: the cosine of a
     text with one term would not show how often it occurs.
     """
-    out: Counter = Counter()
-    starts: Counter = Counter()
-    for w, n in Counter(_WORD.findall((text or "").lower())).items():
-        out[w] += n
-        starts["^" + w[:4]] += n
+    out: dict[str, int] = dict(Counter(_WORD.findall((text or "").lower())))
+    starts: dict[str, int] = {}
+    for w, n in out.items():
+        w = "^" + w[:4]
+        starts[w] = starts.get(w, 0) + n
     out.update(starts)
-    for level in (2, 4, 8):
-        for w, n in starts.items():
+    for w, n in starts.items():
+        for level in (2, 4, 8):
             if n >= level:
                 out[f"{w}*{level}"] = 1
-    return out
+    return Counter(out)
 
 
 class Examples:
     """A block-max inverted index over the labelled examples."""
 
-    def __init__(self, vectors: list[Counter], labels: list[int], vocabulary: list[str], shares: dict[int, float], block: int = BLOCK):
+    def __init__(
+        self, vectors: list[Counter], labels: list[int], vocabulary: list[str], shares: dict[int, float], block: int = BLOCK, ties: list[float] | None = None
+    ):
         self.number = {t: i for i, t in enumerate(vocabulary)}
-        self.labels, self.block = np.array(labels, int), block
+        self.labels = np.array(labels, int)
         n = len(vectors)
         rows = Counter(t for v in vectors for t in v)
         self.idf = np.array([np.log((1 + n) / (1 + rows[t])) + 1 for t in vocabulary])
+        if ties is not None:
+            self.idf *= np.array(ties)
+        self.idf = self.idf.tolist()
         sampled = Counter(labels)
         self.prior = shares.get(1, 0.0)
         self.stands_for = np.array([shares.get(y, 0.0) * n / max(sampled.get(y, 0), 1) for y in (0, 1)])
-        postings: list[list[tuple[int, float]]] = [[] for _ in vocabulary]
-        for d, v in enumerate(vectors):
-            for t, w in self.weights(v).items():
-                postings[t].append((d, w))
-        blocks = -(-n // block) if n else 0
-        self.docs = [np.array([d for d, _ in p], int) for p in postings]
-        self.vals = [np.array([w for _, w in p]) for p in postings]
-        self.starts = [np.searchsorted(d, np.arange(blocks + 1) * block) for d in self.docs]
-        self.top = np.zeros((len(vocabulary), blocks))
-        for t, (d, w) in enumerate(zip(self.docs, self.vals)):
-            np.maximum.at(self.top[t], d // block, w)
+        found = [self.weights(v) for v in vectors]
+        term = np.array([t for v in found for t in v], np.int64)
+        doc = np.array([d for d, v in enumerate(found) for _ in v], np.int64)
+        val = np.array([w for v in found for w in v.values()], float)
+        order = np.lexsort((doc, term))
+        self.blocks = -(-n // block)
+        self.docs, self.vals = doc[order].astype(np.int32), val[order]
+        # postings of term t in block b: from starts[t * blocks + b] to the next start
+        cell = term[order] * self.blocks + self.docs // block
+        cells = len(vocabulary) * self.blocks
+        self.starts = np.searchsorted(cell, np.arange(cells + 1)).astype(np.int32)
+        top = np.zeros(cells, np.float32)
+        np.maximum.at(top, cell, self.vals.astype(np.float32))
+        self.top = top.reshape(len(vocabulary), self.blocks)
 
     def weights(self, counts: dict[str, int]) -> dict[int, float]:
         """Unit TF-IDF vector over the vocabulary."""
         number = self.number
-        v = {number[t]: (1 + np.log(c)) * self.idf[number[t]] for t, c in sorted(counts.items()) if t in number}
+        idf = self.idf
+        v = {number[t]: (1 + math.log(c)) * idf[number[t]] for t, c in sorted((t, c) for t, c in counts.items() if t in number)}
         norm = sum(w * w for w in v.values()) ** 0.5
         return {t: w / norm for t, w in v.items()}
 
     def nearest(self, q: dict[int, float], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
         """The k examples of largest positive cosine, ties to the smaller number."""
-        best: list[tuple[float, int]] = []  # heap of (similarity, -example)
         if not q:
             return []
-        ts = list(q)
-        bound = np.array([q[t] for t in ts]) @ self.top[ts]
-        for b in np.argsort(-bound, kind="stable").tolist():
-            # sums of floats may differ in the last digits: a block that could tie is still visited
-            if bound[b] <= 0 or (len(best) == k and bound[b] < best[0][0] - 1e-9):
-                break
-            acc = np.zeros(self.block)
-            for t in ts:
-                s, e = self.starts[t][b], self.starts[t][b + 1]
-                if s < e:
-                    acc[self.docs[t][s:e] - b * self.block] += q[t] * self.vals[t][s:e]
-            for i in np.flatnonzero(acc).tolist():
-                item = (round(float(acc[i]), 9), -(b * self.block + i))
-                if len(best) < k:
-                    heapq.heappush(best, item)
-                elif item > best[0]:
-                    heapq.heapreplace(best, item)
-        return [(s, -i) for s, i in sorted(best, reverse=True)]
+        ts, ws = np.fromiter(q, np.int64, len(q)), np.fromiter(q.values(), float, len(q))
+        bound = ws @ self.top[ts]
+        left = np.argsort(-bound, kind="stable")
+        left = left[bound[left] > 0]
+        first, rest = left[:4], left[4:]
+        sims, ids = self.gather((ts[:, None] * self.blocks + first).ravel(), 1, np.repeat(ws, len(first)), k)
+        if len(ids) == k:
+            # bounds are of single precision: a block that could tie is still visited
+            rest = rest[bound[rest] >= sims[-1] - 1e-6]
+        if len(rest) > self.blocks // 4:
+            # few blocks are out of reach: whole posting lists are read faster than cells of them
+            sims, ids = self.gather(ts * self.blocks, self.blocks, ws, k)
+        elif len(rest):
+            more = self.gather((ts[:, None] * self.blocks + rest).ravel(), 1, np.repeat(ws, len(rest)), k)
+            sims, ids = np.append(sims, more[0]), np.append(ids, more[1])
+            best = np.lexsort((ids, -sims))[:k]
+            sims, ids = sims[best], ids[best]
+        return list(zip(sims.tolist(), ids.tolist()))
+
+    def gather(self, cell: np.ndarray, span: int, ws: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best (cosines, examples) by the postings of ``span`` cells from each of ``cell``."""
+        start = self.starts[cell].astype(np.int64)
+        size = self.starts[cell + span] - start
+        at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+        acc = np.bincount(self.docs[at], np.repeat(ws, size) * self.vals[at], len(self.labels))
+        hit = np.flatnonzero(acc)
+        sims = np.round(acc[hit], 9)
+        if len(hit) > k:
+            least = sims >= np.partition(sims, len(sims) - k)[len(sims) - k]
+            hit, sims = hit[least], sims[least]
+        best = np.lexsort((hit, -sims))[:k]
+        return sims[best], hit[best]
 
     def score(self, near: list[tuple[float, int]]) -> float:
         votes = [(s**POWER * self.stands_for[self.labels[i]], self.labels[i]) for s, i in near]
@@ -126,7 +147,7 @@ class Examples:
         return float((sum(w for w, y in votes if y) + PRIOR_WEIGHT * self.prior) / (weight + PRIOR_WEIGHT))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> tuple[Examples, list]:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", max_examples: int = MAX_EXAMPLES) -> tuple[Examples, list]:
     """The index and the ids of its examples, from rows that ``learn`` (over doc_id) admits."""
     known = materialise(labelled(labels, label, learn), "tox-labels")
     size = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -154,10 +175,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
     by_term = rows.mapInPandas(bags, "term string, y int, n long").groupBy("term").agg(
         F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b")
     )
-    a, b, c, d = F.col("a"), F.col("b"), F.lit(pos) - F.col("a"), F.lit(neg) - F.col("b")
-    chi2 = F.try_divide(F.lit(float(pos + neg)) * F.pow(a * d - b * c, F.lit(2.0)), ((a + b) * (c + d)).cast("double") * F.lit(float(pos)) * F.lit(float(neg)))
-    tied = by_term.where(a + b >= MIN_ROWS).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2)
-    vocabulary = [r["term"] for r in tied.orderBy(F.desc("chi2"), "term").limit(max_terms).collect()]
+    ties: dict[str, float] = {}
+    if pos and neg:
+        # one row's worth of chance is added to each count; a single label ties no term
+        p = pos / (pos + neg)
+        a, b = F.col("a") + F.lit(p), F.col("b") + F.lit(1 - p)
+        excess = F.abs(F.log(a / b) - F.lit(float(np.log(pos / neg)))) - F.sqrt(1 / a + 1 / b)
+        # bounded: terms of the sample's rows
+        tied = by_term.withColumn("excess", excess).where("excess > 0").orderBy("term")
+        ties = {r["term"]: r["excess"] ** 2 for r in tied.select("term", "excess").collect()}
+    vocabulary = list(ties)
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = set(vocabulary)
@@ -169,13 +196,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
     # bounded: rows of the sample, terms of the vocabulary
     found = rows.mapInPandas(vectors, f"doc_id {kind}, y int, tf string").orderBy("tf", "doc_id").collect()
     bags_ = [Counter({t: int(n) for t, n in (x.split("=") for x in r["tf"].split(",") if x)}) for r in found]
-    return Examples(bags_, [r["y"] for r in found], vocabulary, shares), [r["doc_id"] for r in found]
+    return Examples(bags_, [r["y"] for r in found], vocabulary, shares, ties=list(ties.values())), [r["doc_id"] for r in found]
 
 
 SCHEMA = "score double, neighbours array<string>, similarities array<double>"
 
 
-def toxicity(text: Column, index: Examples, ids: list, spark, k: int = NEIGHBOURS, cached: int = 20_000) -> Column:
+def toxicity(text: Column, index: Examples, ids: list, spark, k: int = NEIGHBOURS) -> Column:
     """score, and the nearest examples (ids as text, cosines) as evidence."""
     sent = spark.sparkContext.broadcast((index, [str(i) for i in ids]))
 
@@ -183,18 +210,11 @@ def toxicity(text: Column, index: Examples, ids: list, spark, k: int = NEIGHBOUR
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         release()
         idx, names = sent.value
-        known: dict = {}
         for s in batches:
             out = []
             for text in s:
-                bag = {t: n for t, n in terms(text).items() if t in idx.number}
-                key = tuple(sorted(bag.items()))
-                if key not in known:
-                    if len(known) >= cached:
-                        known.clear()
-                    near = idx.nearest(idx.weights(bag), k)
-                    known[key] = (idx.score(near), [names[i] for _, i in near], [c for c, _ in near])
-                out.append(known[key])
+                near = idx.nearest(idx.weights(terms(text)), k)
+                out.append((idx.score(near), [names[i] for _, i in near], [c for c, _ in near]))
             yield pd.DataFrame(out, columns=["score", "neighbours", "similarities"])
             del s, out
             release()

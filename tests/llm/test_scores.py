@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from matchfold.llm import bands, interpolation, langid, qda, toxicity
 from matchfold.llm.common import fold
-from tests.llm.data import SF, awkward, crc, docs, labels
+from tests.llm.data import SF, awkward, crc, docs, labels, prose
 
 
 #: the smallest table with enough labels of every language to learn toxicity from
@@ -242,6 +242,30 @@ def test_toxicity_of_held_out_rows(spark):
     assert np.mean([a >= 0.5 for a, b in zip(s, y) if not b]) < 0.01
 
 
+@pytest.mark.parametrize("table, least_auc, least_right", [(LARGER, 0.97, 0.98), (SF, 0.97, 0.97)])
+def test_toxicity_learns_from_few_rows(spark, table, least_auc, least_right):
+    d, lab = (spark.read.parquet(f"{table}/{x}.parquet") for x in ("documents", "labels"))
+    out = toxicity.toxicity_scores(d.select("doc_id", "text"), lab, fold("doc_id", 5) != 0)
+    held = out.join(lab, "doc_id").where(fold("doc_id", 5) == 0).collect()
+    y, s = [r["toxic"] for r in held], [r["score"] for r in held]
+    assert auc(y, s) > least_auc
+    assert np.mean([(a >= 0.5) == b for a, b in zip(s, y)]) > least_right
+
+
+def test_toxicity_of_a_rare_group(spark):
+    """A word of 1% of the toxic rows, and of no other row, marks toxic texts."""
+    import random
+
+    rng = random.Random(3)
+    common = ["idiot", "scum", "moron", "trash"]
+    said = [(0, "")] * 2000 + [(1, None)] * 1980 + [(1, "zottel")] * 20 + [(0, "")] * 40 + [(1, "zottel")] * 40
+    rows = [(i, f"{prose(rng, 120)} {' '.join(rng.sample(common, 2)) if w is None else w}", y) for i, (y, w) in enumerate(said)]
+    d = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    lab = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    out = toxicity.toxicity_scores(d, lab, F.col("doc_id") < 4000).where("doc_id >= 4000").collect()
+    assert len(out) == 80 and np.mean([(r["score"] >= 0.5) == (r["doc_id"] >= 4040) for r in out]) > 0.95
+
+
 def test_awkward_rows_get_scores(spark):
     d, lab = docs(spark), labels(spark)
     for fit, column in ((toxicity.toxicity_scores, "score"), (qda.quality_scores, "score")):
