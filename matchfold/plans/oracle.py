@@ -89,6 +89,89 @@ def _json_struct() -> str:
     return "{" + fields + "}"
 
 
+def _stages_sql() -> dict[str, str]:
+    """The operators of the fold in all six stages of the second batch."""
+    q = {}
+    higher = range(len(ATTRIBUTES) - 1)
+    every = list(enumerate(ATTRIBUTES))
+
+    def union(f: Fold, parts) -> str:
+        return f.sql("\nUNION ALL\n".join(parts))
+
+    def cols(k: int, **named) -> str:
+        return "".join(
+            f", {e.format(j=j) if j < k else f'CAST(NULL AS {t})'} AS h{j}_{n}" for j in higher for n, (e, t) in named.items()
+        )
+
+    f, t1, t2, _, _ = _two()
+    q["lookup_left_join_stages"] = union(f, [
+        f"SELECT id, max(value) FILTER (rank = {k}) AS value, max(prev_match_id) FILTER (rank = {k}) AS f_prev, "
+        f"max(match_id) FILTER (rank = {k}) AS f_mid"
+        + cols(k, prev=("max(prev_match_id) FILTER (rank = {j})", "BIGINT"), mid=("max(match_id) FILTER (rank = {j})", "BIGINT"))
+        + f", '{a}' AS attribute FROM b2 LEFT JOIN u2_known{k} USING (id) GROUP BY id"
+        for k, a in every
+    ])
+    f, t1, t2, _, _ = _two()
+    q["impacted_existing_stages"] = union(f, [
+        f"SELECT {D.MAP_COLS}, '{a}' AS attribute FROM {mapping(t1, a)} WHERE match_id IN (SELECT cluster FROM u2_touched{k})"
+        for k, a in every[1:]
+    ])
+
+    def bests(f: Fold, t2: str, k: int) -> list[str]:
+        return [_best(f, mapping(t2, ATTRIBUTES[j]), f"(SELECT cluster AS key FROM u2_touched{k})", f"best{k}_{j}") for j in range(k)]
+
+    f, t1, t2, _, _ = _two()
+    q["impacted_dependents_stages"] = union(f, [
+        f"SELECT prev_match_id, '{ATTRIBUTES[j]}' AS higher, h_datetime, h_match_id, '{a}' AS attribute FROM {b}"
+        for k, a in every[1:] for j, b in enumerate(bests(f, t2, k))
+    ])
+    f, t1, t2, _, _ = _two()
+    parts = []
+    for k, a in every:
+        parts.append(
+            "SELECT own.value, own.match_id AS f_mid, own.datetime AS f_dt, own.source AS f_src"
+            + cols(k, dt=("max(other.datetime) FILTER (other.rank = {j})", "TIMESTAMP"), mid=("max(other.match_id) FILTER (other.rank = {j})", "BIGINT"))
+            + f", '{a}' AS attribute FROM u2_known{k} own JOIN u2_known{k} other USING (rid) WHERE own.rank = {k} "
+            "GROUP BY rid, own.value, own.match_id, own.datetime, own.source"
+        )
+        if k:
+            parts.append(
+                "SELECT o.value, o.match_id AS f_mid, o.datetime AS f_dt, o.source AS f_src"
+                + cols(k, dt=("x{j}.h_datetime", "TIMESTAMP"), mid=("x{j}.h_match_id", "BIGINT"))
+                + f", '{a}' AS attribute FROM {mapping(t1, a)} o "
+                + " ".join(f"LEFT JOIN {b} x{j} ON x{j}.prev_match_id = o.match_id" for j, b in enumerate(bests(f, t2, k)))
+                + f" WHERE o.match_id IN (SELECT cluster FROM u2_touched{k})"
+            )
+    q["union_candidates_stages"] = union(f, parts)
+    f, *_ = _two()
+    q["latest_per_value_stages"] = union(f, [
+        f"SELECT value, newest.at AS datetime, newest.source AS source, '{a}' AS attribute FROM u2_seen{k}" for k, a in every
+    ])
+    f, *_ = _two()
+    q["first_value_priority_stages"] = union(f, [
+        "SELECT value" + cols(k, match_id=("max(t.match_id) FILTER (by_rank = {j})", "BIGINT"))
+        + f", '{a}' AS attribute FROM u2_seen{k} LEFT JOIN u2_told{k} t USING (value) GROUP BY value"
+        for k, a in every
+    ])
+    f, t1, t2, _, _ = _two()
+    q["upsert_mapping_stages"] = union(f, [f"SELECT {D.MAP_COLS}, '{a}' AS attribute FROM {mapping(t2, a)}" for a in ATTRIBUTES])
+    f, t1, t2, _, _ = _two()
+    parts = []
+    for k, a in every:
+        seeds = f.add(
+            f"seeds{k}",
+            f"SELECT DISTINCT ON ({a}) {a} AS value, CAST(0 AS BIGINT) AS prev_match_id, "
+            f"CAST(0 AS BIGINT) AS match_id, source, datetime FROM b2 WHERE {a} IS NOT NULL ORDER BY {a}, datetime DESC, source DESC",
+        )
+        t = mapping(t1, a)
+        parts += [
+            f"SELECT {D.MAP_COLS}, false AS created, '{a}' AS attribute FROM {t}",
+            f"SELECT {D.MAP_COLS}, true AS created, '{a}' AS attribute FROM {seeds} s WHERE NOT EXISTS (SELECT 1 FROM {t} o WHERE o.value = s.value)",
+        ]
+    q["seed_insert_if_absent_stages"] = union(f, parts)
+    return q
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["norm_companies_house_id"] = _norm("companies_house_id", D.norm_ch_sql())
@@ -222,6 +305,8 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT {D.MAP_COLS}, true AS created FROM {seeds} s WHERE NOT EXISTS (SELECT 1 FROM {dt} o WHERE o.value = s.value)"
     )
 
+    q.update(_stages_sql())
+
     f, t1, t2, _, _ = _two()
     q["state_scan"] = f.sql(Fold.state_long(t1))
     for i, a in enumerate(ATTRIBUTES):

@@ -18,7 +18,7 @@ from matchfold.functions.patterns import EMAIL_PATTERN
 from matchfold.functions.matching import priority_coalesce, similarity_string
 from matchfold.operators.match import MID_COLS, latest_duns_per_cluster, match, match_detail
 from matchfold.operators.state import MAPPING_COLUMNS, MappingState
-from matchfold.operators.update import best_dependents, lookup_current, upsert
+from matchfold.operators.update import best_dependents, existing_impacted, lookup_current, upsert
 from matchfold.operators.validate import split_valid, validate_descriptions
 from matchfold.operators import validate as V
 from matchfold.schema import ATTRIBUTES
@@ -316,6 +316,89 @@ def q_seed_insert_if_absent(spark, sf_dir):
     return insert_if_absent(r.state1().tables["duns_number"], seeds)
 
 
+# --- the same operators in all six stages of the second batch ------------------------------
+
+
+def _stages(fn, first: int = 0):
+    """``fn(run, attribute, k)`` over the stages from ``first`` on, with an attribute column.  The first
+    attribute has no higher one, so it has no impacted rows and no dependents."""
+
+    def q(spark, sf_dir):
+        r = run_for(spark, sf_dir)
+        parts = [fn(r, a, k).withColumn("attribute", F.lit(a)) for k, a in enumerate(ATTRIBUTES) if k >= first]
+        return reduce(DataFrame.unionByName, parts)
+
+    return q
+
+
+def _higher(k: int, **cols) -> list:
+    """Columns of every higher attribute, null from the k-th on: name -> (expression of j, type)."""
+    return [
+        (F.col(e.format(j=j)) if j < k else F.lit(None)).cast(t).alias(f"h{j}_{n}")
+        for j in range(len(ATTRIBUTES) - 1)
+        for n, (e, t) in cols.items()
+    ]
+
+
+def _lookup_stage(r, a, k):
+    tm = lookup_current(r.trace2(a)["rows"], r.state1().tables[a], a)
+    return tm.select(
+        "id", F.col(a).alias("value"), F.col("_fprev").alias("f_prev"), F.col("_fmid").alias("f_mid"),
+        *_higher(k, prev=("_prev{j}", "long"), mid=("_mid{j}", "long")),
+    )
+
+
+def _existing_stage(r, a, k):
+    ex = existing_impacted(r.state1().tables[a], r.state2().tables, r.trace2(a)["keys"], k)
+    return ex.select(
+        "value", F.col("_fprev").alias("prev_match_id"), F.col("_fmid").alias("match_id"),
+        F.col("_newest.src").alias("source"), F.col("_newest.dt").alias("datetime"),
+    )
+
+
+def _dependents_stage(r, a, k):
+    best = best_dependents(r.state2().tables, r.trace2(a)["keys"], k)
+    parts = [
+        best.where(F.col(f"_h{j}").isNotNull()).select(
+            "prev_match_id", F.lit(ATTRIBUTES[j]).alias("higher"), F.col(f"_h{j}.dt").alias("h_datetime"), F.col(f"_h{j}.mid").alias("h_match_id")
+        )
+        for j in range(k)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _candidates_stage(r, a, k):
+    t = r.trace2(a)
+    c = t["candidates"].join(t["look"].select("_fval", F.col("_fmid").alias("_lmid")), F.col("value") == F.col("_fval"), "left")
+    return c.select(
+        "value", F.coalesce("_fmid", "_lmid").alias("f_mid"), F.col("_newest.dt").alias("f_dt"), F.col("_newest.src").alias("f_src"),
+        *_higher(k, dt=("_h{j}.dt", dict(r.state1().tables[a].dtypes)["datetime"]), mid=("_h{j}.mid", "long")),
+    )
+
+
+def _latest_stage(r, a, k):
+    return r.trace2(a)["latest"].select("value", F.col("_newest.dt").alias("datetime"), F.col("_newest.src").alias("source"))
+
+
+def _first_stage(r, a, k):
+    return r.trace2(a)["latest"].select("value", *_higher(k, match_id=("_h{j}.mid", "long")))
+
+
+def _upsert_stage(r, a, k):
+    return upsert(r.state1().tables[a], r.trace2(a)["delta"])
+
+
+def _seed_stage(r, a, k):
+    from matchfold.operators.seed import insert_if_absent
+
+    newest = r.batch(2).where(F.col(a).isNotNull()).groupBy(F.col(a).alias("value")).agg(F.max(F.struct("datetime", "source")).alias("_n"))
+    seeds = newest.select(
+        "value", F.lit(0).cast("long").alias("prev_match_id"), F.lit(0).cast("long").alias("match_id"),
+        F.col("_n.source").alias("source"), F.col("_n.datetime").alias("datetime"),
+    )
+    return insert_if_absent(r.state1().tables[a], seeds)
+
+
 # --- state, match and composites -----------------------------------------------------------
 
 def q_state_scan(spark, sf_dir):
@@ -436,6 +519,14 @@ QUERIES = {
     "delta_changed_only": q_delta_changed_only,
     "upsert_mapping": q_upsert_mapping,
     "seed_insert_if_absent": q_seed_insert_if_absent,
+    "lookup_left_join_stages": _stages(_lookup_stage),
+    "impacted_existing_stages": _stages(_existing_stage, 1),
+    "impacted_dependents_stages": _stages(_dependents_stage, 1),
+    "union_candidates_stages": _stages(_candidates_stage),
+    "latest_per_value_stages": _stages(_latest_stage),
+    "first_value_priority_stages": _stages(_first_stage),
+    "upsert_mapping_stages": _stages(_upsert_stage),
+    "seed_insert_if_absent_stages": _stages(_seed_stage),
     "state_scan": q_state_scan,
     **{f"update_{a}": q_update_attr(a) for a in ATTRIBUTES},
     "update_mappings": q_update_mappings,
