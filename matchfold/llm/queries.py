@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchfold.llm import bands, bpe, chat, exact, interpolation, jaccard, langid, mixing, qda, toxicity
+from matchfold.llm import bands, bpe, chat, exact, interpolation, jaccard, langid, mixing, qda, repair, toxicity
+from matchfold.llm import sql
 from matchfold.llm.common import fold, table
 
 
@@ -91,6 +92,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repair.damaged(table(spark, sf_dir, "conversations"))
+    return repair.repair_conversations(rows, F.col("live")).drop("repaired")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_language_id": op2_language_id,
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -146,4 +153,5 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT q.doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM q LEFT JOIN t ON q.doc_id = t.doc_id
     """,
+    "op11_conversation_repair": sql.CONVERSATION_REPAIR,
 }
