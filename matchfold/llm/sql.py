@@ -42,9 +42,8 @@ CONVERSATION_REPAIR = rf"""
                CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
         FROM hashed, range(2) AS c(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)
     ), placed AS (
-        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
-               row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS again
-        FROM rows
+        SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS again
+        FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM rows)
     ), marked AS (
         SELECT *, substr(role, 1, 1) AS x, lead(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS next_x,
                CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again > 1 THEN 'duplicate'
