@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchfold.llm import bands, bpe, chat, exact, interpolation, jaccard, langid, mixing, qda, repair, toxicity
+from matchfold.llm import bands, bpe, chat, exact, interpolation, jaccard, langid, mixing, qda, repair, toxicity, variants
 from matchfold.llm import sql
 from matchfold.llm.common import fold, table
 
@@ -97,6 +97,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_conversations(rows, F.col("live")).drop("repaired")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_language_id": op2_language_id,
@@ -109,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -154,4 +159,5 @@ ORACLE_SQL: dict[str, str] = {
         SELECT q.doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM q LEFT JOIN t ON q.doc_id = t.doc_id
     """,
     "op11_conversation_repair": sql.CONVERSATION_REPAIR,
+    "op12_spelling_variants": sql.SPELLING_VARIANTS,
 }

