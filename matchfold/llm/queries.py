@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchfold.llm import bands, bpe, chat, exact, interpolation, jaccard, langid, mixing, qda, repair, toxicity, variants
+from matchfold.llm import bands, bpe, chat, exact, interpolation, jaccard, langid, mixing, qda, repair, toxicity, variants, warc
 from matchfold.llm import sql
 from matchfold.llm.common import fold, table
 
@@ -101,6 +101,13 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # pages carry no time: one is captured each second, in order of their ids
+    captured = F.lit(1_577_836_800) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(10**9))
+    index = warc.archive_index(table(spark, sf_dir, "pages"), captured)
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_language_id": op2_language_id,
@@ -114,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_warc": op13_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -160,4 +168,12 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op11_conversation_repair": sql.CONVERSATION_REPAIR,
     "op12_spelling_variants": sql.SPELLING_VARIANTS,
+    "op13_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+        SELECT page_id, n AS payload_bytes, sha256(html) AS payload_digest,
+               CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
+        FROM f
+    """,
 }
