@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchfold.llm.common import materialise
+from matchfold.llm.common import materialise, release
 
 FEATURES = (
     "log_words", "word_length", "upper", "digits", "bangs", "symbols", "bars", "stops", "distinct",
@@ -68,6 +68,7 @@ def features(text: str | None) -> list[float]:
 def statistics(text: Column) -> Column:
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release()
         for s in batches:
             yield pd.Series([features(t) for t in s], dtype=object)
 
@@ -79,6 +80,7 @@ def moments(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
     d = len(FEATURES)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for pdf in batches:
             for y, g in pdf.groupby("y"):
                 x = np.stack(g["x"].to_numpy())

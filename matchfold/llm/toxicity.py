@@ -5,10 +5,11 @@ the id) gives the examples.  Terms are words and word starts of four letters (wi
 the sample, with TF-IDF weights times their tie to the label: the square of how far the
 log odds of the label given the term exceed one standard error of theirs.  A term of a
 few rows, all of one label, counts however large the sample is; one whose odds are those
-of chance weighs nothing.  Examples are held as posting lists in blocks, with the
-largest weight of each term in each block.  For a text, blocks are visited in order of
-their upper bound and the search ends when no unseen block can reach the k-th best
-cosine: the neighbours are exact.  Votes are weighted by similarity and by what a
+of chance weighs nothing.  Examples are held as posting lists, with the
+largest weight of each term in each block of examples.  For a text, lists are read from the
+term that can add most to a cosine downwards, until the block maxima of the terms not yet
+read leave few examples that can reach the k-th best sum; their cosines are finished from
+their own terms: the neighbours are exact.  Votes are weighted by similarity and by what a
 sampled example of its class stands for, with a share of the prior, so scores are
 calibrated to the labelled rows.  The neighbours are returned as evidence.
 
@@ -21,7 +22,6 @@ Without labels the score is 0.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -42,6 +42,9 @@ PRIOR_WEIGHT = 0.3
 #: A vote's weight is its cosine to this power: chance likeness on one weak term counts for little.
 POWER = 3
 
+#: A word start met so often is one more term.
+LEVELS = (2, 4, 8)
+
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -58,7 +61,7 @@ def terms(text: str | None) -> Counter:
         starts[w] = starts.get(w, 0) + n
     out.update(starts)
     for w, n in starts.items():
-        for level in (2, 4, 8):
+        for level in LEVELS:
             if n >= level:
                 out[f"{w}*{level}"] = 1
     return Counter(out)
@@ -77,7 +80,6 @@ class Examples:
         self.idf = np.array([np.log((1 + n) / (1 + rows[t])) + 1 for t in vocabulary])
         if ties is not None:
             self.idf *= np.array(ties)
-        self.idf = self.idf.tolist()
         sampled = Counter(labels)
         self.prior = shares.get(1, 0.0)
         self.stands_for = np.array([shares.get(y, 0.0) * n / max(sampled.get(y, 0), 1) for y in (0, 1)])
@@ -85,61 +87,83 @@ class Examples:
         term = np.array([t for v in found for t in v], np.int64)
         doc = np.array([d for d, v in enumerate(found) for _ in v], np.int64)
         val = np.array([w for v in found for w in v.values()], float)
+        # by example: finishes the cosine of a candidate
+        self.ends = np.searchsorted(doc, np.arange(n + 1))
+        self.terms, self.weight = term.astype(np.int32), val
+        # by term: posting lists, and the largest weight of a term in each block and in all
         order = np.lexsort((doc, term))
-        self.blocks = -(-n // block)
         self.docs, self.vals = doc[order].astype(np.int32), val[order]
-        # postings of term t in block b: from starts[t * blocks + b] to the next start
-        cell = term[order] * self.blocks + self.docs // block
-        cells = len(vocabulary) * self.blocks
-        self.starts = np.searchsorted(cell, np.arange(cells + 1)).astype(np.int32)
-        top = np.zeros(cells, np.float32)
-        np.maximum.at(top, cell, self.vals.astype(np.float32))
-        self.top = top.reshape(len(vocabulary), self.blocks)
+        self.starts = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
+        self.blocks = -(-n // block)
+        self.block_of = np.arange(n) // block
+        top = np.zeros((len(vocabulary), self.blocks), np.float32)
+        np.maximum.at(top, (term, doc // block), val.astype(np.float32))
+        self.top = top
+        self.most = top.max(1, initial=0).astype(float)
 
     def weights(self, counts: dict[str, int]) -> dict[int, float]:
         """Unit TF-IDF vector over the vocabulary."""
-        number = self.number
-        idf = self.idf
-        v = {number[t]: (1 + math.log(c)) * idf[number[t]] for t, c in sorted((t, c) for t, c in counts.items() if t in number)}
-        norm = sum(w * w for w in v.values()) ** 0.5
-        return {t: w / norm for t, w in v.items()}
+        known = sorted((self.number[t], c) for t, c in counts.items() if t in self.number)
+        return dict(zip([t for t, _ in known], self.unit(np.array([t for t, _ in known], np.int64), np.array([c for _, c in known], float)).tolist()))
+
+    def unit(self, ts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        v = (1 + np.log(counts)) * self.idf[ts]
+        return v / (v @ v) ** 0.5 if len(v) else v
 
     def nearest(self, q: dict[int, float], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
         """The k examples of largest positive cosine, ties to the smaller number."""
-        if not q:
-            return []
-        ts, ws = np.fromiter(q, np.int64, len(q)), np.fromiter(q.values(), float, len(q))
-        bound = ws @ self.top[ts]
-        left = np.argsort(-bound, kind="stable")
-        left = left[bound[left] > 0]
-        first, rest = left[:4], left[4:]
-        sims, ids = self.gather((ts[:, None] * self.blocks + first).ravel(), 1, np.repeat(ws, len(first)), k)
-        if len(ids) == k:
-            # bounds are of single precision: a block that could tie is still visited
-            rest = rest[bound[rest] >= sims[-1] - 1e-6]
-        if len(rest) > self.blocks // 4:
-            # few blocks are out of reach: whole posting lists are read faster than cells of them
-            sims, ids = self.gather(ts * self.blocks, self.blocks, ws, k)
-        elif len(rest):
-            more = self.gather((ts[:, None] * self.blocks + rest).ravel(), 1, np.repeat(ws, len(rest)), k)
-            sims, ids = np.append(sims, more[0]), np.append(ids, more[1])
-            best = np.lexsort((ids, -sims))[:k]
-            sims, ids = sims[best], ids[best]
+        sims, ids = self.search(np.fromiter(q, np.int64, len(q)), np.fromiter(q.values(), float, len(q)), k)
         return list(zip(sims.tolist(), ids.tolist()))
 
-    def gather(self, cell: np.ndarray, span: int, ws: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best (cosines, examples) by the postings of ``span`` cells from each of ``cell``."""
-        start = self.starts[cell].astype(np.int64)
-        size = self.starts[cell + span] - start
+    def search(self, ts: np.ndarray, ws: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Posting lists are read from the term that can add most to a cosine downwards.
+
+        After each helping the k-th best sum so far is a bound from below, and what the terms not yet
+        read can add in a block, by the block's largest weights, one from above.  Once few
+        examples can still be among the k best, their cosines are taken from their own terms.
+        """
+        n = len(self.labels)
+        if not len(ts) or not n:
+            return np.zeros(0), np.zeros(0, np.int64)
+        add = ws * self.most[ts]
+        order = np.argsort(-add, kind="stable")
+        ts, ws = ts[order], ws[order]
+        left = np.append(np.cumsum(add[order][::-1])[::-1], 0.0)
+        sums, done, share = np.zeros(n), 0, 0.4
+        while done < len(ts):
+            upto = len(ts) if share < 0.01 else max(done + 1, int(np.searchsorted(-left, -share * left[0])))
+            upto = min(upto, len(ts))
+            part = ts[done:upto]
+            start = self.starts[part]
+            size = self.starts[part + 1] - start
+            at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+            sums += np.bincount(self.docs[at], np.repeat(ws[done:upto], size) * self.vals[at], n)
+            done, share = upto, share / 2
+            if done < len(ts) and n > k:
+                least = np.partition(sums, n - k)[n - k]
+                if least > 0:
+                    # block maxima are of single precision: an example that could tie is still taken
+                    rest = (ws[done:] @ self.top[ts[done:]])[self.block_of]
+                    able = np.flatnonzero(sums + rest >= least - 1e-6)
+                    if len(able) <= max(4 * k, n // 32):
+                        return self.best(able, self.cosines(able, ts, ws), k)
+        hit = np.flatnonzero(sums)
+        return self.best(hit, sums[hit], k)
+
+    def cosines(self, examples: np.ndarray, ts: np.ndarray, ws: np.ndarray) -> np.ndarray:
+        q = np.zeros(len(self.most))
+        q[ts] = ws
+        start = self.ends[examples]
+        size = self.ends[examples + 1] - start
         at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-        acc = np.bincount(self.docs[at], np.repeat(ws, size) * self.vals[at], len(self.labels))
-        hit = np.flatnonzero(acc)
-        sims = np.round(acc[hit], 9)
-        if len(hit) > k:
-            least = sims >= np.partition(sims, len(sims) - k)[len(sims) - k]
-            hit, sims = hit[least], sims[least]
-        best = np.lexsort((hit, -sims))[:k]
-        return sims[best], hit[best]
+        return np.bincount(np.repeat(np.arange(len(examples)), size), self.weight[at] * q[self.terms[at]], len(examples))
+
+    @staticmethod
+    def best(examples: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        sims = np.round(sims, 9)
+        examples, sims = examples[sims > 0], sims[sims > 0]
+        first = np.lexsort((examples, -sims))[:k]
+        return sims[first], examples[first]
 
     def score(self, near: list[tuple[float, int]]) -> float:
         votes = [(s**POWER * self.stands_for[self.labels[i]], self.labels[i]) for s, i in near]
@@ -162,6 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
     rows = materialise(rows, "tox-examples")
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for pdf in batches:
             seen: Counter = Counter()
             for text, y in zip(pdf["text"], pdf["y"]):
@@ -187,6 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
     vocabulary = list(ties)
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         known = set(vocabulary)
         for pdf in batches:
             out = [{t: n for t, n in terms(text).items() if t in known} for text in pdf["text"]]
@@ -199,6 +225,53 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
     return Examples(bags_, [r["y"] for r in found], vocabulary, shares, ties=list(ties.values())), [r["doc_id"] for r in found]
 
 
+class Terms(dict):
+    """Terms of texts by their numbers in an index; each word is looked up once."""
+
+    MOST = 300_000
+
+    def __init__(self, index: Examples):
+        super().__init__()
+        self.index, self.starts = index, {}
+        self.word_term = np.zeros(1024, np.int32)
+        self.start_of = np.zeros(1024, np.int32)
+        self.start_terms = np.zeros((1024, 1 + len(LEVELS)), np.int32)
+
+    def __missing__(self, word: str) -> int:
+        i, number = len(self), self.index.number
+        if i == len(self.word_term):
+            self.word_term, self.start_of = np.append(self.word_term, self.word_term), np.append(self.start_of, self.start_of)
+        start = "^" + word[:4]
+        j = self.starts.get(start)
+        if j is None:
+            j = self.starts[start] = len(self.starts)
+            if j == len(self.start_terms):
+                self.start_terms = np.concatenate([self.start_terms, self.start_terms])
+            self.start_terms[j] = [number.get(t, -1) for t in (start, *(f"{start}*{level}" for level in LEVELS))]
+        self.word_term[i], self.start_of[i] = number.get(word, -1), j
+        self[word] = i
+        return i
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and weights of the terms of a text, as ``Examples.weights`` of ``terms``."""
+        if len(self) > self.MOST:
+            self.clear()
+            self.starts.clear()
+        words = _WORD.findall((text or "").lower())
+        found, n = np.unique(np.fromiter(map(self.__getitem__, words), np.int64, len(words)), return_counts=True)
+        starts, place = np.unique(self.start_of[found], return_inverse=True)
+        m = np.bincount(place, n, len(starts)) if len(found) else np.zeros(0)
+        st = self.start_terms[starts]
+        ts, counts = [self.word_term[found], st[:, 0]], [n, m]
+        for i, level in enumerate(LEVELS):
+            often = m >= level
+            ts.append(st[often, 1 + i])
+            counts.append(np.ones(often.sum()))
+        t, c = np.concatenate(ts).astype(np.int64), np.concatenate(counts).astype(float)
+        t, c = t[t >= 0], c[t >= 0]
+        return t, self.index.unit(t, c)
+
+
 SCHEMA = "score double, neighbours array<string>, similarities array<double>"
 
 
@@ -210,14 +283,18 @@ def toxicity(text: Column, index: Examples, ids: list, spark, k: int = NEIGHBOUR
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         release()
         idx, names = sent.value
+        known = Terms(idx)
         for s in batches:
             out = []
             for text in s:
-                near = idx.nearest(idx.weights(terms(text)), k)
-                out.append((idx.score(near), [names[i] for _, i in near], [c for c, _ in near]))
+                sims, near = idx.search(*known.vector(text), k)
+                sims, near = sims.tolist(), near.tolist()
+                out.append((idx.score(list(zip(sims, near))), [names[i] for i in near], sims))
             yield pd.DataFrame(out, columns=["score", "neighbours", "similarities"])
             del s, out
             release()
+        del known
+        release()
 
     return run(text)
 
