@@ -9,8 +9,8 @@ rows of each language with the smallest hash of the id.
 
 Rows: null texts and texts without a letter are ``und`` with score 0.  Rows of null
 language, or not admitted by ``learn``, are not learned from but are scored like all
-others.  Words are runs of letters in lower case; a word above 32 letters is scored in
-cuts of 32, each as a word.  Whole texts are read.  Repeated rows give repeated
+others.  Words are runs of letters in lower case; a word of any length is summed whole (above
+32 letters in logarithms).  Whole texts are read.  Repeated rows give repeated
 results; ties go to the first language by code point.  With nothing to learn from every
 text is ``und``.
 """
@@ -32,7 +32,8 @@ MAX_ROWS = 600
 ROUNDS = 4
 ALPHA = 0.02
 UNKNOWN = 1e-7
-CUT = 32
+#: Words of more letters are summed in logarithms, one at a time: their probabilities are below what a double holds.
+LONG = 32
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -92,10 +93,48 @@ def forward(spans: list[tuple[int, int]], arcs: np.ndarray, prob: np.ndarray) ->
     return fwd
 
 
+class LongWord:
+    """The lattice of one word in logarithms; columns of ``logs`` (log probabilities by piece number) are languages.
+
+    Holds one vector per letter, so a word may have any length.
+    """
+
+    def __init__(self, lattice: Lattice, word: str, logs: np.ndarray):
+        self.lattice, self.word, self.logs = lattice, "▁" + word, logs
+        self.ahead = np.full((len(self.word) + 1, logs.shape[1]), -np.inf)
+        self.ahead[0] = 0.0
+        for j in range(1, len(self.word) + 1):
+            starts, found = self.ending_at(j)
+            self.ahead[j] = np.logaddexp.reduce(self.ahead[starts] + logs[found], axis=0)
+
+    def ending_at(self, j: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and numbers of the pieces that end at j; a single letter that is none is the unknown piece."""
+        get, none, unknown = self.lattice.number.get, self.lattice.none, self.lattice.unknown
+        found = [(i, get(self.word[i:j], unknown if j - i == 1 else none)) for i in range(max(0, j - self.lattice.longest), j)]
+        found = [(i, x) for i, x in found if x != none]
+        return np.array([i for i, _ in found]), np.array([x for _, x in found])
+
+    def total(self) -> np.ndarray:
+        return self.ahead[-1]
+
+    def wanted(self, n: float, want: np.ndarray) -> None:
+        """Adds the expected number of each piece in n such words, of the first language."""
+        ahead, logs = self.ahead[:, 0], self.logs[:, 0]
+        back = np.full(len(ahead), -np.inf)
+        back[-1] = 0.0
+        for j in range(len(self.word), 0, -1):
+            starts, found = self.ending_at(j)
+            flow = logs[found] + back[j]
+            back[starts] = np.logaddexp(back[starts], flow)
+            np.add.at(want, found, n * np.exp(ahead[starts] + flow - ahead[-1]))
+
+
 def learn_pieces(counts: list[tuple[str, int]], lattice: Lattice, size: int, rounds: int = ROUNDS, alpha: float = ALPHA) -> np.ndarray:
     """Piece probabilities of one language by expectation-maximisation over word counts."""
     p = np.full(size, 1.0 / size)
     groups = []
+    long = [(w, n) for w, n in counts if len(w) > LONG]
+    counts = [(w, n) for w, n in counts if len(w) <= LONG]
     for at in equal_lengths([w for w, _ in counts]):
         groups.append((lattice.spans(len(counts[at[0]][0])), lattice.arcs([counts[k][0] for k in at]), np.array([counts[k][1] for k in at], float)))
     for _ in range(rounds):
@@ -108,6 +147,10 @@ def learn_pieces(counts: list[tuple[str, int]], lattice: Lattice, size: int, rou
                 flow = back[j] * prob[x]
                 back[i] += flow
                 np.add.at(want, x, fwd[i] * flow)
+        if long:
+            logs = np.log(np.maximum(prob, 1e-300))[:, None]
+            for word, n in long:
+                LongWord(lattice, word, logs).wanted(n, want)
         got = want[:size] + alpha
         p = got / got.sum()
     return p
@@ -125,7 +168,13 @@ class Languages:
     def log_probability(self, words: list[str]) -> np.ndarray:
         """Log probability of each word (rows) in each language, all segmentations summed."""
         out = np.empty((len(words), len(self.names)))
-        for at in equal_lengths(words):
+        short = [k for k, w in enumerate(words) if len(w) <= LONG]
+        logs = np.log(np.maximum(self.prob, 1e-300))
+        for k, w in enumerate(words):
+            if len(w) > LONG:
+                out[k] = LongWord(self.lattice, w, logs).total()
+        for at in equal_lengths([words[k] for k in short]):
+            at = [short[k] for k in at]
             same = [words[k] for k in at]
             fwd = forward(self.lattice.spans(len(same[0])), self.lattice.arcs(same), self.prob)
             out[at] = np.log(np.maximum(fwd[-1], 1e-300))
@@ -145,17 +194,15 @@ class Languages:
         self._logs[size : size + len(new)] = self.log_probability(new)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        cut = []
+        found = []
         for text in texts:
             ws = letter_words(text)
             if not self.names or not any(any(map(str.isalpha, w)) for w in ws):
                 ws = []
-            elif max(map(len, ws)) > CUT:
-                ws = [w[k : k + CUT] for w in ws for k in range(0, len(w), CUT)]
-            cut.append(ws)
-        if any(cut):
-            self._remember(set().union(*cut))
-        return [self._best(ws) if ws else ("und", 0.0) for ws in cut]
+            found.append(ws)
+        if any(found):
+            self._remember(set().union(*found))
+        return [self._best(ws) if ws else ("und", 0.0) for ws in found]
 
     def _best(self, ws: list[str]) -> tuple[str, float]:
         total = self.log_share + self._logs[list(map(self._seen.__getitem__, ws))].sum(0)
@@ -181,22 +228,27 @@ def by_size(texts: pd.Series, most: int = 1_000_000) -> Iterator[list[str | None
 def fit(docs: DataFrame, learn: Column, vocabulary: list[str], lang: str = "lang", max_rows: int = MAX_ROWS) -> Languages:
     rows = docs.where(F.col(lang).isNotNull() & learn & F.col("text").isNotNull())
     rows = rows.select(F.col(lang).alias("_lang"), "text", F.xxhash64("doc_id").alias("_h"))
-    # the k smallest hashes of each language, first within each of 256 shares of the tasks: no
-    # task sorts more than its share of a hot language, and the last step has 256 * k rows of it
-    share = F.spark_partition_id() % 256
-    ranked = rows.select("_lang", "_h", share.alias("_share"))
-    for keys in (["_lang", "_share"], ["_lang"]):
-        ranked = ranked.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_h"))).where(F.col("_n") <= max_rows)
-    top = materialise(ranked.groupBy("_lang").agg(F.max("_h").alias("_top")), "lang-limits")
+
+    def smallest(found: DataFrame, *order: str) -> DataFrame:
+        """The first rows of each language, first within each of 256 shares of the tasks: no task
+        sorts more than its share of a hot language, and the last step has at most 256 * max_rows rows of it."""
+        found = found.withColumn("_share", F.spark_partition_id() % 256)
+        for keys in (["_lang", "_share"], ["_lang"]):
+            found = found.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= max_rows)
+        return found.drop("_share", "_n")
+
+    top = smallest(rows.select("_lang", "_h"), "_h").groupBy("_lang").agg(F.max("_h").alias("_top"))
+    top = materialise(top, "lang-limits")
     shares = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
-    sample = keys_join(rows, top, ["_lang"], "inner").where("_h <= _top")
+    # rows that share the last id: the bound holds for them as well
+    sample = smallest(keys_join(rows, top, ["_lang"], "inner").where("_h <= _top"), "_h", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, g in pdf.groupby("_lang"):
                 c: Counter = Counter()
                 for text in g["text"]:
-                    c.update(w[k : k + CUT] for w in letter_words(text) for k in range(0, len(w), CUT))
+                    c.update(letter_words(text))
                 yield pd.DataFrame({"_lang": name, "word": list(c), "n": list(c.values())})
 
     by_word = sample.select("_lang", "text").mapInPandas(count, "_lang string, word string, n long").groupBy("_lang", "word").agg(F.sum("n").alias("n"))
@@ -219,6 +271,7 @@ def identified(text: Column, model: Languages, spark) -> Column:
 
     @F.pandas_udf("lang_pred string, score double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        release()
         m = sent.value
         for s in batches:
             yield pd.DataFrame([x for run in by_size(s) for x in m.predict(run)], columns=["lang_pred", "score"])

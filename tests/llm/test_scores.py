@@ -211,6 +211,44 @@ def test_bands_reject_long_documents_that_are_half_noise(spark):
         assert not bands.judge(c, t[:half] + " " + noise_words(rng, len(t.encode()) - half, False))[6]
 
 
+def test_long_words_are_summed_whole():
+    vocabulary = ["▁a", "a", "b", "ab", "aab", "▁"]
+    rng = np.random.default_rng(4)
+    table = rng.dirichlet(np.ones(len(vocabulary)), 2).T
+    m = langid.Languages(["x", "y"], [0.5, 0.5], table, vocabulary)
+    for word in ("ab" * 20, "aabbc" * 9, "a" * 33, "b" * 700, "abq" * 3000):
+        got = m.log_probability([word, "ab"])
+        # the plain forward sum, with numbers that hold any size
+        from fractions import Fraction
+
+        if len(word) < 60:
+            s, ahead = "▁" + word, [[Fraction(1)] * 2]
+            for j in range(1, len(s) + 1):
+                row = [Fraction(0)] * 2
+                for i in range(max(0, j - 3), j):
+                    x = s[i:j]
+                    p = table[vocabulary.index(x)] if x in vocabulary else [langid.UNKNOWN if j - i == 1 else 0] * 2
+                    row = [r + ahead[i][k] * Fraction(float(p[k])) for k, r in enumerate(row)]
+                ahead.append(row)
+            assert np.allclose(got[0], [float(np.log(float(x * 10**280))) - 280 * np.log(10) for x in ahead[-1]])
+        assert np.isfinite(got).all()
+
+
+def test_long_and_short_lattices_agree():
+    vocabulary = ["▁a", "a", "b", "ab", "aab", "▁", "ba"]
+    rng = np.random.default_rng(4)
+    counts = [("".join(rng.choice(list("abc"), rng.integers(1, 30))), int(rng.integers(1, 5))) for _ in range(30)]
+    lattice = langid.Lattice(vocabulary)
+    want = langid.learn_pieces(counts, lattice, len(vocabulary))
+    long = langid.LONG
+    try:
+        langid.LONG = 0
+        got = langid.learn_pieces(counts, lattice, len(vocabulary))
+    finally:
+        langid.LONG = long
+    assert np.allclose(got, want)
+
+
 # toxicity
 
 
