@@ -40,6 +40,11 @@ def keys_join(big: DataFrame, keys: DataFrame, on: list[str], how: str = "left_s
     return big.join(F.broadcast(keys) if few else keys.hint("merge"), on, how)
 
 
+def boxed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """Rows of ``docs`` whole in one column ``row``, so that helper columns beside it clash with no name of theirs."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
 def words(text: str | None) -> list[bytes]:
     """Maximal runs of characters other than space and U+0009..U+000D, as UTF-8."""
     return text.encode("utf-8", "replace").split() if text else []

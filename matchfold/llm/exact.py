@@ -13,10 +13,10 @@ Only ``doc_id`` and ``text`` are read, other columns are not looked at.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchfold.llm.common import keys_join, materialise
+from matchfold.llm.common import BROADCAST_KEYS, boxed, keys_join, materialise
 
 PREFIX_BYTES = 256
 
@@ -34,11 +34,10 @@ def exact_duplicates(docs: DataFrame, prefix_bytes: int = PREFIX_BYTES, digest_a
         F.octet_length(raw).alias("_len"),
         F.xxhash64(F.substring(raw, 1, prefix_bytes)).alias("_head"),
     )
-    heads = materialise(rows.groupBy("_len", "_head").agg(F.count("*").alias("_n")), "exact-heads")
-    # by length: groups of one row are over; the rest is refined by the hash of the prefix
-    by_len = heads.groupBy("_len").agg(F.sum("_n").alias("_m")).where("_m > 1")
-    twins = heads.where("_n > 1").join(by_len, "_len", "left_semi").select("_len", "_head", F.lit(True).alias("_twin"))
-    twins = materialise(twins, "exact-twins")
+    # lengths met once are over; prefixes are hashed only of the others
+    lengths = materialise(rows.groupBy("_len").agg(F.count("*").alias("_n")).where("_n > 1").select("_len"), "exact-lengths")
+    heads = keys_join(rows.select("_len", "_head"), lengths, ["_len"]).groupBy("_len", "_head").agg(F.count("*").alias("_n"))
+    twins = materialise(heads.where("_n > 1").select("_len", "_head", F.lit(True).alias("_twin")), "exact-twins")
     full = F.sha2("_raw", 256)
     hashed = keys_join(rows, twins, ["_len", "_head"], "left").select(
         "doc_id",
@@ -69,23 +68,27 @@ def exact_duplicates(docs: DataFrame, prefix_bytes: int = PREFIX_BYTES, digest_a
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, with all their columns, whatever their names.
 
-    One row of each group of equal texts, the one with the largest doc_id.  Texts go
-    through a shuffle only where several rows share both the text and that id.
+    One row of each group of equal texts, the one with the largest doc_id.  A row goes by its
+    id and the digest of its whole text; the digest is taken only of rows whose id is to go.
     """
-    seen = exact_duplicates(docs)
-    out = materialise(seen.where("not kept").select("doc_id", "keep_id", "text_sha256"), "exact-out")
-    # rows dropped in favour of another id go by id and text; rows that share the kept id are counted off
-    gone = out.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.xxhash64("doc_id", "text_sha256").alias("_gone")).distinct()
-    same = out.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.xxhash64("doc_id", "text_sha256").alias("_gone")).distinct()
-    key = F.xxhash64("doc_id", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    left = keys_join(docs.withColumn("_gone", key), materialise(gone, "exact-gone"), ["_gone"], "left_anti")
-    same = materialise(same, "exact-same")
+    out = materialise(exact_duplicates(docs).where("not kept").select("doc_id", "keep_id", "text_sha256"), "exact-out")
+    named = [F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_text")]
+    other = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    gone = materialise(out.where(~other).select(*named).distinct(), "exact-gone")
+    same = materialise(out.where(other).select(*named).distinct(), "exact-same")
+    digest = F.sha2(F.coalesce(F.col("row.text"), F.lit("")).cast("binary"), 256)
+
+    def by_digest(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        few = keys.limit(BROADCAST_KEYS // 8 + 1).count() <= BROADCAST_KEYS // 8
+        # not an equality, so that it is looked at only for rows of that id
+        same_text = F.array_contains(F.array("gone_text"), digest)
+        return rows.join(F.broadcast(keys) if few else keys.hint("merge"), F.col("id").eqNullSafe(F.col("gone_id")) & same_text, how)
+
+    left = by_digest(boxed(docs, id=F.col("doc_id")), gone, "left_anti")
     if same.isEmpty():
-        return left.select(*docs.columns)
-    lone = keys_join(left, same, ["_gone"], "left_anti")
-    again = keys_join(left, same, ["_gone"], "left_semi")
-    order = Window.partitionBy("_gone").orderBy(*[F.col(c) for c in docs.columns if c not in ("text", "doc_id")])
-    again = again.withColumn("_nth", F.row_number().over(order)).where("_nth = 1")
-    return lone.select(*docs.columns).unionByName(again.select(*docs.columns))
+        return left.select("row.*")
+    # rows that share the id that stays: the one of the smallest hash of all its columns
+    again = by_digest(left, same, "left_semi").groupBy("id", digest.alias("digest")).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return by_digest(left, same, "left_anti").select("row.*").unionByName(again.select("row.*"))
