@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchfold.llm.common import cuts, frames, keys_join, materialise, mix, planes, release, shuffle_partitions, unplanes
+from matchfold.llm.common import BROADCAST_KEYS, boxed, cuts, frames, keys_join, materialise, mix, planes, release, shuffle_partitions, unplanes
 from matchfold.llm.interpolation import Hashes
 
 WIDTH = 5
@@ -301,8 +301,12 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
     rows = members.select(F.col("doc_id").cast(kind).alias("doc_id"), "digest", F.col("n").cast("long").alias("n_shingles"))
     full = rows.where("n_shingles > 0").join(label.withColumnRenamed("id", "digest"), "digest", "left")
     full = materialise(full.select("doc_id", "n_shingles", F.coalesce("label", "digest").alias("label")), "jac-members")
-    smallest = full.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    out = full.join(smallest, "label").select("doc_id", "n_shingles", "component_id")
+    # stored first, so that the join is a stage of its own and a class of very many copies can be split
+    smallest = full.groupBy("label").agg(F.min("doc_id").alias("least"), F.count("*").alias("k")).where("k > 1")
+    smallest = materialise(smallest.select("label", "least"), "jac-least")
+    out = keys_join(full, smallest, ["label"], "left", limit=200_000)
+    # a class whose ids are all null has no smallest one
+    out = out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
     return out.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
@@ -315,15 +319,20 @@ def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFra
     full = full.join(label.withColumnRenamed("id", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     full = materialise(full, "jac-members")
     stay = full.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("s"), F.count("*").alias("k"))
-    stay = stay.where("k > 1").select("label", F.col("s.key").alias("stay"))
-    gone = full.join(stay, "label").where("key != stay").select(F.col("key").alias("_key")).distinct()
+    stay = materialise(stay.where("k > 1").select("label", F.col("s.key").alias("stay")), "jac-stay")
+    gone = keys_join(full, stay, ["label"], "inner", limit=200_000).where("key != stay").select("doc_id", "key").distinct()
     # rows that agree in id and text have one key: all but one go as well
-    again = full.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("k")).where("k > 1").select("_key")
-    marked = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    rows = keys_join(marked, materialise(gone, "jac-gone"), ["_key"], "left_anti")
-    again = materialise(again, "jac-again")
+    again = materialise(full.groupBy("doc_id", "key").agg(F.count("*").alias("k")).where("k > 1").select("doc_id", "key"), "jac-again")
+    rows = boxed(docs, id=F.col("doc_id"), key=F.xxhash64("doc_id", "text"))
+
+    def by_key(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        few = keys.limit(BROADCAST_KEYS // 2 + 1).count() <= BROADCAST_KEYS // 2
+        keys = keys.withColumnsRenamed({"doc_id": "key_id", "key": "key_of"})
+        # by id and hash: two texts of one id would have to share the hash
+        return rows.join(F.broadcast(keys) if few else keys.hint("merge"), F.col("id").eqNullSafe(F.col("key_id")) & (F.col("key") == F.col("key_of")), how)
+
+    rows = by_key(rows, materialise(gone, "jac-gone"), "left_anti")
     if again.isEmpty():
-        return rows.select(*docs.columns)
-    lone = keys_join(rows, again, ["_key"], "left_anti")
-    twice = keys_join(rows, again, ["_key"]).dropDuplicates(["_key"])
-    return lone.select(*docs.columns).unionByName(twice.select(*docs.columns))
+        return rows.select("row.*")
+    twice = by_key(rows, again, "left_semi").groupBy("id", "key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return by_key(rows, again, "left_anti").select("row.*").unionByName(twice.select("row.*"))
