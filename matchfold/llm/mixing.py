@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchfold.llm.common import materialise, shuffle_partitions
+from matchfold.llm.common import boxed, materialise, shuffle_partitions
 
 WEIGHTS = (3.0, 1.0, 2.0)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -117,13 +117,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         F.sum(F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("long")).otherwise(0)).alias("_times"), F.count("*").alias("_rows")
     )
     times = times.where("_times > 0").withColumnsRenamed({"doc_id": "_d", "source": "_s", "size": "_n"})
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n"))
+    sized = boxed(docs, _id=F.col("doc_id"), _source=F.col("source"), _size=word_count(F.col("text")))
+    on = F.col("_id").eqNullSafe(F.col("_d")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n"))
     joined = sized.join(times, on)
     # rows with the same id, source and size share their copies evenly, the first by text one more
-    rank = F.row_number().over(Window.partitionBy("_d", "_s", "_n").orderBy("text"))
+    rank = F.row_number().over(Window.partitionBy("_d", "_s", "_n").orderBy("row.text"))
     each, rest = F.floor(F.col("_times") / F.col("_rows")), F.col("_times") % F.col("_rows")
     one = joined.where("_rows = 1").withColumn("_k", F.col("_times"))
     several = joined.where("_rows > 1").withColumn("_k", each + (rank <= rest).cast("long"))
     rows = one.unionByName(several).where("_k > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_k")))).select(*docs.columns)
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_k")))).select("row.*")
