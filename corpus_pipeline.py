@@ -4,6 +4,13 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 Parquet and read again as the next stage's documents.  All but the last return the
 columns of documents; the last returns one row per document with its tokens' digests.
 A document that the mix takes twice is two rows from there on.
+
+Rows: columns of any name pass through unchanged; only doc_id, text and source are looked
+at.  A null text counts as empty: it gets the prior toxicity, is a copy of every other empty
+text, has no near copies, size 0 and so no place in the mix.  Whole texts are read.  Null
+and repeated ids are rows like any other: of equal texts the row with the largest id stays
+(null is the smallest) and of rows that agree in both one.  Among near copies the smallest
+id stays (null is the largest).  A null source is the last one.  An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -20,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     index, ids = toxicity.fit(docs, labels, fold("doc_id", 5) != 0)
     score = toxicity.toxicity(F.col("text"), index, ids, spark).getField("score")
-    return docs.withColumn("_score", score).where("_score < 0.5").select(*docs.columns)
+    return docs.where(score < 0.5)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
