@@ -20,7 +20,7 @@ from matchfold.operators.update import update_mappings
 from matchfold.operators.match import match
 from matchfold.sources.store import StateStore
 from matchfold.streaming.stream import stream_updates
-from matchfold.plans.api import resolve
+from matchfold.plans.api import resolve, resolve_requests
 
 __all__ = [
     "ATTRIBUTES",
@@ -37,4 +37,5 @@ __all__ = [
     "StateStore",
     "stream_updates",
     "resolve",
+    "resolve_requests",
 ]

@@ -1,20 +1,18 @@
 """Dense, gap-free id allocation in a global order without a single-partition sort.
 
 ``row_number()`` over an un-partitioned window would pull every row into one task.
-Instead rows are range-partitioned on ``(not need, order...)`` and sorted within
-each partition, so rows that need an id come first in every partition.  The low
-33 bits of ``monotonically_increasing_id()`` are the record's position within its
-partition (documented behaviour), i.e. its rank among the partition's id-needing
-rows.  A prefix sum over per-partition counts -- one row per partition, so its size
-is bounded by the partition count, never by the data -- shifts each partition
-into place.  Everything stays in the JVM.
+Instead the rows that need an id, and only they, are range-partitioned on the order and
+sorted within each partition.  The low 33 bits of ``monotonically_increasing_id()`` are
+the record's position within its partition (documented behaviour).  Running sums of the
+partitions' counts -- a table of one row per partition -- shift each partition into place
+by a join.  Everything stays in the JVM.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchfold.operators.materialise import materialise
@@ -30,44 +28,28 @@ def assign_dense_ids(
     out_col: str,
     num_partitions: int | None = None,
     name: str = "ids",
-    extra_count: Column | None = None,
-) -> tuple[DataFrame, int, int]:
+) -> DataFrame:
     """Give rows where ``need`` holds the ids ``start+1, start+2, ...`` in ``order``.
 
-    Rows where ``need`` is false get NULL in ``out_col``.  Returns the materialised
-    result, the number of ids handed out and the number of rows where
-    ``extra_count`` holds (0 if not given; counted in the same pass).  ``order``
-    must be a total order.
+    Other rows get NULL in ``out_col`` and are passed on as they are.  ``order`` must be a total order.  ``df`` is read
+    twice: it should be stored.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    staged = df.withColumn("_need", need.cast("boolean")).withColumn(
-        "_extra", (extra_count if extra_count is not None else F.lit(False)).cast("boolean")
-    )
-    keys = [(~F.col("_need")).alias("_notneed"), *order]
+    need = F.coalesce(need.cast("boolean"), F.lit(False))
     ranged = (
-        staged.repartitionByRange(n, *keys)
-        .sortWithinPartitions(*keys)
+        df.where(need)
+        .repartitionByRange(n, *order)
+        .sortWithinPartitions(*order)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_MASK)))
     )
     # Materialise: partition ids and positions must not change if a task is re-run.
     numbered = materialise(ranged, name)
-    # Per-partition counts: one row per partition (bounded by n), so collecting them
-    # is a fixed-size summary; the offsets become a literal lookup array.
-    summary = numbered.groupBy("_pid").agg(
-        F.sum(F.col("_need").cast("long")).alias("_n"), F.sum(F.col("_extra").cast("long")).alias("_x")
-    ).collect()
-    counts = {r["_pid"]: r["_n"] for r in summary}
-    extra = sum(int(r["_x"] or 0) for r in summary)
-    offsets, running = [], 0
-    for pid in range(max(counts, default=-1) + 1):
-        offsets.append(running)
-        running += int(counts.get(pid) or 0)
-    offset = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets] or [F.lit(0).cast("long")]),
-                          F.col("_pid") + 1)
-    out = numbered.withColumn(
-        out_col,
-        F.when(F.col("_need"), F.lit(start) + offset + F.col("_pos") + F.lit(1)).cast("long"),
-    )
-    return out.drop("_pid", "_pos", "_need", "_extra"), running, extra
+    # one row per partition, so this window and its broadcast are bounded by ``n``
+    counts = numbered.groupBy("_pid").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    with_id = numbered.join(F.broadcast(starts), "_pid").withColumn(out_col, F.lit(start) + F.col("_before") + F.col("_pos") + F.lit(1))
+    others = df.where(~need).withColumn(out_col, F.lit(None).cast("long"))
+    return with_id.drop("_pid", "_pos", "_before").unionByName(others)

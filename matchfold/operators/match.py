@@ -1,10 +1,10 @@
 """Read-only matching of descriptions against the state (P3) and the D&B variant.
 
-All six lookups run as ONE equi-join: the batch is unpivoted to
-``(row, attribute, value)`` and joined to the union of the six (batch-reduced)
-mapping tables on ``(attribute, value)``; hits are folded back per row with a
-grouped aggregate.  Row data is shuffled once instead of once per attribute,
-and a hot value is a single join key that adaptive skew handling can split.
+The state is probed where it lies: per attribute, the batch's distinct values meet the
+mapping table without an exchange of it (a bucketed table is laid out by value, a few values
+become a filter that reads only their buckets).  What is found is of the batch's size; it is
+united, joined to the batch's ``(row, attribute, value)`` pairs and folded back per row.
+Newest D&B numbers come from the cluster index, by the clusters that the batch met.
 """
 
 from __future__ import annotations
@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchfold.functions.matching import priority_coalesce, similarity_string
+from matchfold.operators.cluster_index import SMALL_BATCH
 from matchfold.operators.materialise import materialise
 from matchfold.operators.state import MappingState
+from matchfold.operators.update import mapping_lookup
 from matchfold.schema import ATTRIBUTES
 
 
@@ -35,22 +37,24 @@ def unpivot_values(rows: DataFrame) -> DataFrame:
     )
 
 
-def mapping_union(state: MappingState) -> DataFrame:
-    return reduce(
-        DataFrame.unionByName,
-        [state.tables[a].select(F.lit(i).alias("_attr"), "value", "match_id") for i, a in enumerate(ATTRIBUTES)],
-    )
+def found_values(state: MappingState, rows: DataFrame) -> DataFrame:
+    """``(_attr, value, match_id)`` of every value of the batch that the state knows."""
+    small = rows.limit(SMALL_BATCH + 1).count() <= SMALL_BATCH
+    parts = [
+        mapping_lookup(state.tables[a], rows, a, small).select(F.lit(i).alias("_attr"), F.col("_fval").alias("value"), F.col("_fmid").alias("match_id"))
+        for i, a in enumerate(ATTRIBUTES)
+        if state.size(a) != 0
+    ]
+    return reduce(DataFrame.unionByName, parts) if parts else rows.sparkSession.createDataFrame([], "_attr int, value string, match_id long")
 
 
-def lookup_all(state: MappingState, rows: DataFrame) -> DataFrame:
+def lookup_all(state: MappingState, rows: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """Per row, the cluster of each of its six attribute values (NULL if unknown).
 
-    An inner equi-join lets the planner broadcast whichever side its size check
-    admits (a small batch against a huge state, or a small state); otherwise both
-    sides are hash-partitioned on ``(_attr, value)`` and adaptive execution splits
-    a skewed (hot-value) partition."""
-    long = unpivot_values(rows)
-    hits = long.join(mapping_union(state), ["_attr", "value"], "inner")
+    ``rows`` should be stored.  The join with what was found is between batch-sized
+    sides; adaptive execution splits a hot value."""
+    found = found_values(state, rows) if found is None else found
+    hits = unpivot_values(rows).join(found, ["_attr", "value"], "inner")
     per_row = hits.groupBy("_rk").agg(
         *[F.max(F.when(F.col("_attr") == i, F.col("match_id"))).alias(MID_COLS[i]) for i in range(len(ATTRIBUTES))]
     )
@@ -65,30 +69,34 @@ def keyed_batch(batch: DataFrame) -> DataFrame:
     return materialise(batch.withColumn("_rk", F.monotonically_increasing_id()), "match-batch")
 
 
-def match_detail(state: MappingState, batch: DataFrame) -> DataFrame:
+def match_detail(state: MappingState, batch: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """Rows with all six cluster ids, the chosen cluster and the similarity string."""
-    looked = lookup_all(state, keyed_batch(batch))
+    looked = lookup_all(state, keyed_batch(batch), found)
     return looked.withColumn("aggr_match_id", priority_coalesce(*MID_COLS)).withColumn(
         "similarity", similarity_string(MID_COLS, "aggr_match_id")
     )
 
 
-def match(state: MappingState, batch: DataFrame, dnb: bool = False) -> DataFrame:
+def match(state: MappingState, batch: DataFrame, dnb: bool = False, request: str | None = None) -> DataFrame:
     """P3/P4 over a *normalised* batch.
 
     match: ``(id, match_id, similarity)``, one row per description (duplicate ids
     kept).  dnb: ``match_id`` is the description's own D&B number, else the newest
-    D&B number of its cluster; one row per id.
+    D&B number of its cluster; one row per id.  ``request`` names a column that tells
+    requests apart: it is carried to the result, and ids count within a request.
     """
-    detail = match_detail(state, batch)
+    keep, rows = [request] if request else [], keyed_batch(batch)
     if not dnb:
-        return detail.select("id", F.col("aggr_match_id").alias("match_id"), "similarity")
-    return dnb_choose(state, detail)
+        detail = match_detail(state, rows)
+        return detail.select(*keep, "id", F.col("aggr_match_id").alias("match_id"), "similarity")
+    found = materialise(found_values(state, rows), "match-found")
+    return dnb_choose(state, match_detail(state, rows, found), found.select("match_id").distinct(), keep)
 
 
 def latest_duns_per_cluster(state: MappingState, clusters: DataFrame) -> DataFrame:
-    """A2 helper: newest D&B number per cluster (ties: smallest number)."""
-    duns = state.tables["duns_number"].join(clusters, "match_id", "left_semi")
+    """A2 helper: newest D&B number per cluster (ties: smallest number), of the clusters asked for."""
+    k = ATTRIBUTES.index("duns_number")
+    duns = state.by_cluster().at(clusters.select("match_id"), k).where(F.col("now") & (F.col("attribute") == k))
     return duns.groupBy("match_id").agg(
         F.min(
             F.struct(
@@ -100,12 +108,12 @@ def latest_duns_per_cluster(state: MappingState, clusters: DataFrame) -> DataFra
     )
 
 
-def dnb_choose(state: MappingState, detail: DataFrame) -> DataFrame:
-    """J5 + A2: attach the cluster's newest D&B number; keep one row per id.
+def dnb_choose(state: MappingState, detail: DataFrame, clusters: DataFrame, keep: list[str]) -> DataFrame:
+    """J5 + A2: attach the cluster's newest D&B number; keep one row per id (of a request).
 
+    ``clusters`` are those that any value of the batch was found in.
     Among rows sharing an id the chosen one is: no cluster D&B row first, then the
     newest cluster D&B datetime, smallest number, newest description, attributes."""
-    clusters = detail.select(F.col("aggr_match_id").alias("match_id")).where(F.col("match_id").isNotNull()).distinct()
     dm = latest_duns_per_cluster(state, clusters).withColumnRenamed("match_id", "_dm_id")
     joined = detail.join(dm, F.col("aggr_match_id") == F.col("_dm_id"), "left")
     out_id = F.coalesce(F.col("duns_number"), F.col("_dm.duns"))
@@ -119,5 +127,5 @@ def dnb_choose(state: MappingState, detail: DataFrame) -> DataFrame:
         out_id.alias("match_id"),
         F.col("similarity").alias("similarity"),
     )
-    best = joined.groupBy("id").agg(F.min(ordering).alias("_b"))
-    return best.select("id", F.col("_b.match_id").alias("match_id"), F.col("_b.similarity").alias("similarity"))
+    best = joined.groupBy(*keep, "id").agg(F.min(ordering).alias("_b"))
+    return best.select(*keep, "id", F.col("_b.match_id").alias("match_id"), F.col("_b.similarity").alias("similarity"))

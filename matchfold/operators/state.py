@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchfold.operators.cluster_index import ClusterIndex
 from matchfold.schema import ATTRIBUTES, MAPPING_SCHEMA
 
 MAPPING_COLUMNS = [f.name for f in MAPPING_SCHEMA.fields]
@@ -19,7 +20,8 @@ class MappingState:
 
     ``tables[attr]`` has columns ``value, prev_match_id, match_id, source, datetime``
     with ``value`` unique.  ``last_id`` is the highest cluster id ever handed out
-    (ids of clusters that lost all members are never reused).
+    (ids of clusters that lost all members are never reused).  ``index`` is the same
+    by cluster; a state without one answers by scans of its tables.
     """
 
     tables: dict[str, DataFrame]
@@ -27,10 +29,14 @@ class MappingState:
     version: int | None = None
     meta: dict = field(default_factory=dict)
     sizes: dict[str, int] | None = None  # row count per table when known
+    index: ClusterIndex | None = None
 
     def table(self, attr: str) -> DataFrame:
         return self.tables[attr]
 
+    def by_cluster(self) -> ClusterIndex:
+        return self.index if self.index is not None else ClusterIndex.of(self.tables)
+
     def long(self) -> DataFrame:
         """All six tables as ``attribute, value, prev_match_id, match_id, source, datetime``."""
         parts = [
@@ -52,4 +58,4 @@ def empty_mapping(spark: SparkSession) -> DataFrame:
 
 
 def empty_state(spark: SparkSession) -> MappingState:
-    return MappingState({a: empty_mapping(spark) for a in ATTRIBUTES}, 0, 0, {}, {a: 0 for a in ATTRIBUTES})
+    return MappingState({a: empty_mapping(spark) for a in ATTRIBUTES}, 0, 0, {}, {a: 0 for a in ATTRIBUTES}, ClusterIndex())

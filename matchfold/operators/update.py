@@ -1,26 +1,27 @@
 """The update fold: assign every attribute value of a batch to a cluster.
 
-Attributes are processed in priority order.  Stage *k* (attribute ``F``, higher
-attributes ``H = ATTRIBUTES[:k]`` already updated by this batch):
+The batch is first reduced to its distinct attribute tuples, each with its newest
+(datetime, source): rows that agree in all six attributes decide alike.  Attributes are then
+processed in priority order.  Stage *k* (attribute ``F``, higher attributes
+``H = ATTRIBUTES[:k]`` already updated by this batch):
 
-1. **lookup** -- each batch row gets ``F``'s current cluster (``_fmid``).
+1. **lookup** -- the batch's distinct values get ``F``'s current cluster (``_fmid``).
 2. **impact keys** -- ``coalesce(_fmid, prev id of H[k-1], ..., prev id of H[0])``
    per batch row: clusters whose existing ``F`` members must be re-decided.
-3. **existing impacted** -- ``F`` mapping rows in those clusters.  Each carries,
-   per higher attribute, the newest ``H`` row that *was* in the same cluster
-   (``H.prev_match_id = F.match_id``).  That newest row is found by aggregating
-   ``H`` per ``prev_match_id`` first (one row per cluster), so the join is 1:1 --
-   the literal form joins all ``H`` tables at once and multiplies their members.
+3. **existing impacted** -- ``F`` rows in those clusters.  Each carries, per higher
+   attribute, the newest ``H`` row that *was* in the same cluster
+   (``H.prev_match_id = F.match_id``).  Both come from one lookup in the cluster index,
+   whose cost follows the clusters asked for; the newest ``H`` rows are aggregated per
+   cluster first (one row each), so the join is 1:1.
 4. **latest values** -- one ``groupBy(value)`` over batch rows and impacted rows:
    newest ``(datetime, source)`` and, per ``H``, the cluster of the newest row with
    a non-null ``H`` value.  Plain ``max(struct(...))`` aggregates: map-side partial
    aggregation absorbs hot values, and no window sorts a hot partition.
 5. **cluster** -- first non-null of the ``H`` clusters in priority order, then the
    value's own cluster, else a new id (dense, oldest latest-datetime first).
-6. **write** -- only new or changed values; an unchanged value keeps its row.
+6. **write** -- only new or changed values, as a delta; without any, nothing is written.
 
-Every stage materialises its inputs and outputs (batch rows with lookups, the
-per-value decision, the new mapping table) to the shared checkpoint folder,
+Every stage materialises its inputs and decisions to the shared checkpoint folder,
 cutting lineage and making a lost executor cost a re-read, not a re-run of
 earlier stages.
 """
@@ -28,42 +29,44 @@ earlier stages.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchfold.operators.cluster_index import SMALL_BATCH, ClusterIndex, entries, listed, pruned
 from matchfold.operators.ids import assign_dense_ids
 from matchfold.operators.materialise import materialise
 from matchfold.operators.state import MAPPING_COLUMNS, MappingState
 from matchfold.schema import ATTRIBUTES
 
-TableSink = Callable[[str, DataFrame], DataFrame]
+#: What a state is written through: (attribute, rows to write, their number) -> the stored rows, and the table they give.
+TableSink = Callable[[str, DataFrame, int], "_stored"]
 
 
 def prepare_batch(batch: DataFrame) -> DataFrame:
-    """Normalised batch -> the row layout the fold works on (row key added)."""
-    return batch.select(
-        F.monotonically_increasing_id().alias("_rk"),
-        "id",
-        "datetime",
-        "source",
-        *ATTRIBUTES,
-    )
+    """The row layout the fold works on: one row per distinct attribute tuple, with its newest (datetime, source)."""
+    newest = F.max(F.struct("datetime", "source")).alias("_n")
+    return batch.groupBy(*ATTRIBUTES).agg(newest).select("_n.datetime", "_n.source", *ATTRIBUTES)
 
 
 def _h(j: int) -> str:
     return f"_h{j}"
 
 
-def mapping_lookup(mapping: DataFrame, rows: DataFrame, attr: str) -> DataFrame:
+#: Batches of more rows get their newest dependents stored before the join, so that a hot cluster can be split.
+LARGE_BATCH = 200_000
+
+
+def mapping_lookup(mapping: DataFrame, rows: DataFrame, attr: str, small: bool = False) -> DataFrame:
     """The mapping rows of the batch's distinct values: ``(_fval, _fprev, _fmid)``.
 
     A semi join against the distinct values: the value list is broadcast when its
-    size allows, and a bucketed mapping is read without a shuffle.  The result is
+    size allows, and a bucketed mapping is read without a shuffle.  The values of a
+    ``small`` batch become a filter, which reads only their buckets.  The result is
     batch-sized, one row per value."""
     vals = rows.where(F.col(attr).isNotNull()).select(F.col(attr).alias("value")).distinct()
-    return mapping.join(vals, "value", "left_semi").select(
+    return pruned(mapping, "value", listed(vals, small)).join(vals, "value", "left_semi").select(
         F.col("value").alias("_fval"),
         F.col("prev_match_id").alias("_fprev"),
         F.col("match_id").alias("_fmid"),
@@ -98,40 +101,32 @@ def impact_keys(rows: DataFrame, look: DataFrame, k: int) -> DataFrame:
     return keys.where(F.col("_key").isNotNull()).distinct()
 
 
-def best_dependents(tables: dict[str, DataFrame], keys: DataFrame, k: int) -> DataFrame:
+def best_dependents(touched: DataFrame, k: int) -> DataFrame:
     """J2 (eager form): per impacted cluster id, for each higher attribute j < k the
     newest row whose *previous* cluster was that id -> ``(prev_match_id, _h0.._h{k-1})``.
 
-    The k tables are reduced to impacted ids, unioned and pivoted in ONE grouped
+    ``touched`` are the index entries of the impacted clusters.  ONE grouped
     aggregate (partial aggregation absorbs a hot cluster), so the literal
     product of all dependents per cluster never materialises."""
-    parts = [
-        tables[ATTRIBUTES[j]]
-        .join(keys.withColumnRenamed("_key", "prev_match_id"), "prev_match_id", "left_semi")
-        .select("prev_match_id", F.lit(j).alias("_j"), "datetime", "match_id")
-        for j in range(k)
-    ]
-    both = reduce(DataFrame.unionByName, parts)
-    return both.groupBy("prev_match_id").agg(
-        *[
-            F.max(
-                F.when(F.col("_j") == j, F.struct(F.col("datetime").alias("dt"), F.col("match_id").alias("mid")))
-            ).alias(_h(j))
-            for j in range(k)
-        ]
+    newest = F.struct(F.col("datetime").alias("dt"), F.col("match_id").alias("mid"))
+    return touched.where(F.col("was") & (F.col("attribute") < k)).groupBy(F.col("key").alias("prev_match_id")).agg(
+        *[F.max(F.when(F.col("attribute") == j, newest)).alias(_h(j)) for j in range(k)]
     )
 
 
-def existing_impacted(old_f: DataFrame, new_tables: dict[str, DataFrame], keys: DataFrame, k: int) -> DataFrame:
-    """J3 + J2: existing rows of attribute k in impacted clusters, one per value."""
-    ex = old_f.join(keys.withColumnRenamed("_key", "match_id"), "match_id", "left_semi").select(
+def existing_impacted(touched: DataFrame, best: DataFrame, k: int) -> DataFrame:
+    """J3 + J2: existing rows of attribute k in impacted clusters, one per value.
+
+    Of a large batch ``touched`` and ``best`` are stored: the join is then between two exchanges,
+    and adaptive execution can split a hot cluster; a smaller ``best`` is broadcast after
+    Spark's own check."""
+    ex = touched.where(F.col("now") & (F.col("attribute") == k)).select(
         "value",
         F.col("match_id").alias("_fmid"),
         F.col("prev_match_id").alias("_fprev"),
         F.struct(F.col("datetime").alias("dt"), F.col("source").alias("src")).alias("_newest"),
     )
-    best = best_dependents(new_tables, keys, k).withColumnRenamed("prev_match_id", "_pj")
-    return ex.join(best, F.col("_fmid") == F.col("_pj"), "left").drop("_pj")
+    return ex.join(best.withColumnRenamed("prev_match_id", "_pj"), F.col("_fmid") == F.col("_pj"), "left").drop("_pj")
 
 
 def batch_candidates(rows: DataFrame, k: int) -> DataFrame:
@@ -178,39 +173,40 @@ def update_stage(
     trace: dict | None = None,
     present: int | None = None,
     rows_materialised: bool = False,
+    size: int = LARGE_BATCH + 1,
 ) -> tuple[MappingState, DataFrame]:
     """Fold one attribute.  ``rows`` must carry ``_prev{j}, _mid{j}`` for j < k
     (the post-update lookups of earlier stages).  Returns the new state and the
     rows extended with ``_prev{k}, _mid{k}``.
 
-    ``present`` (non-null values of the attribute in the batch) and the state's
+    ``size`` is the batch's number of rows.  ``present`` (non-null values of the attribute in the batch) and the state's
     known table sizes let trivial work be skipped: with an empty table there is
     nothing to look up and no existing row to re-decide (the initial load)."""
-    attr = ATTRIBUTES[k]
+    attr, small = ATTRIBUTES[k], size <= SMALL_BATCH
     old_f = state.tables[attr]
     old_size = state.size(attr)
-    write = sink or (lambda a, df: materialise(df, f"map-{a}"))
     if present == 0 and old_size == 0:
         # Nothing in the batch and nothing stored: the stage is a no-op.
         if trace is not None:
             trace[attr] = None
-        new_state = MappingState(
-            {**state.tables, attr: write(attr, old_f)}, state.last_id, state.version, dict(state.meta), state.sizes
-        )
         nulls = [F.lit(None).cast("long").alias(f"_prev{k}"), F.lit(None).cast("long").alias(f"_mid{k}")]
-        return new_state, rows.select("*", *nulls)
+        return state, rows.select("*", *nulls)
     if not rows_materialised:
         rows = materialise(rows, f"rows-{attr}")
     cands = batch_candidates(rows, k)
-    keys = look = None
+    keys = look = touched = best = None
     if old_size != 0:
-        look = mapping_lookup(old_f, rows, attr)
+        look = materialise(mapping_lookup(old_f, rows, attr, small), f"look-{attr}")
     if k > 0 and look is not None:
         # Every stored batch value's id is an impact key, so its own row is among
         # the impacted existing rows and brings _fmid/_fprev into the aggregate.
         # Small (impacted cluster ids) but used by several branches: written once.
         keys = materialise(impact_keys(rows, look, k), f"keys-{attr}")
-        cands = cands.unionByName(existing_impacted(old_f, state.tables, keys, k))
+        touched = materialise(state.by_cluster().at(keys, upto=k, small=small), f"touched-{attr}")
+        best = best_dependents(touched, k)
+        if size > LARGE_BATCH:
+            best = materialise(best, f"best-{attr}")
+        cands = cands.unionByName(existing_impacted(touched, best, k))
         latest = latest_values(cands, k)
     elif look is not None:
         # First attribute: no dependents; attach stored ids per value (1:1 join).
@@ -222,18 +218,18 @@ def update_stage(
         )
     else:
         latest = latest_values(cands, k)
-    latest = latest.withColumn("_cand", chosen_cluster(k))
-    # New ids in order of the value's latest datetime (then value).
-    ided, n_new, n_inserted = assign_dense_ids(
-        latest,
-        need=F.col("_cand").isNull(),
-        order=[F.col("_newest.dt"), F.col("value")],
-        start=state.last_id,
-        out_col="_nid",
-        name=f"ids-{attr}",
-        extra_count=F.col("_fmid").isNull(),
-    )
-    decided = ided.withColumn("_new", F.coalesce("_cand", "_nid"))
+    latest = materialise(latest.withColumn("_cand", chosen_cluster(k)), f"latest-{attr}")
+    moved = F.col("_cand").isNull() | F.col("_fmid").isNull() | (F.col("_fmid") != F.col("_cand"))
+    n_new, n_inserted, n_changed = latest.agg(
+        F.count_if(F.col("_cand").isNull()), F.count_if(F.col("_fmid").isNull()), F.count_if(moved)
+    ).first()
+    decided = latest.withColumn("_nid", F.lit(None).cast("long"))
+    if n_new:
+        # New ids in order of the value's latest datetime (then value).
+        decided = assign_dense_ids(
+            latest, need=F.col("_cand").isNull(), order=[F.col("_newest.dt"), F.col("value")], start=state.last_id, out_col="_nid", name=f"ids-{attr}"
+        )
+    decided = decided.withColumn("_new", F.coalesce("_cand", "_nid"))
     changed = F.col("_fmid").isNull() | (F.col("_fmid") != F.col("_new"))
     delta = decided.where(changed).select(
         "value",
@@ -241,9 +237,15 @@ def update_stage(
         F.col("_new").alias("match_id"),
         F.col("_newest.src").alias("source"),
         F.col("_newest.dt").alias("datetime"),
+        F.col("_fprev").alias("old_prev"),
     )
-    layout = getattr(sink, "buckets", None)
-    new_f = write(attr, upsert(old_f, delta, layout) if old_size != 0 else delta)
+    tables, index = state.tables, state.by_cluster()
+    if n_changed:
+        write = sink or _stored
+        stored = write(attr, delta, n_changed)
+        delta = stored.delta
+        tables = {**tables, attr: stored.table(old_f, old_size)}
+        index = index.plus(entries(attr, delta))
     after = decided.select(
         F.col("value").alias("_aval"),
         F.when(changed, F.coalesce("_fmid", "_new")).otherwise(F.col("_fprev")).alias(f"_prev{k}"),
@@ -257,19 +259,28 @@ def update_stage(
             "rows": rows,
             "look": look,
             "keys": keys,
+            "touched": touched,
+            "best": best,
             "candidates": cands,
             "latest": latest,
             "decided": decided,
-            "delta": delta,
+            "delta": delta.select(*MAPPING_COLUMNS),
             "n_new": n_new,
         }
     sizes = None
     if state.sizes is not None and old_size is not None:
         sizes = {**state.sizes, attr: old_size + n_inserted}  # values are never deleted
-    new_state = MappingState(
-        {**state.tables, attr: new_f}, state.last_id + n_new, state.version, dict(state.meta), sizes
-    )
-    return new_state, next_rows
+    return MappingState(tables, state.last_id + n_new, state.version, dict(state.meta), sizes, index), next_rows
+
+
+class _stored:
+    """A state kept without a store: the delta, and the table after it, in the checkpoint folder."""
+
+    def __init__(self, attr: str, delta: DataFrame, rows: int):
+        self.attr, self.delta = attr, materialise(delta, f"delta-{attr}")
+
+    def table(self, old: DataFrame, old_size: int | None) -> DataFrame:
+        return materialise(upsert(old, self.delta) if old_size != 0 else self.delta.select(*MAPPING_COLUMNS), f"map-{self.attr}")
 
 
 def upsert(old: DataFrame, delta: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -295,14 +306,16 @@ def update_mappings(
     """Fold a *normalised* batch into the state, attribute by attribute.
 
     ``batch`` needs ``datetime, source`` and the six normalised attributes.
-    ``sink(attr, df)`` persists each new table (default: checkpoint folder).
+    ``sink`` stores what each stage writes (default: checkpoint folder).
     """
     rows = materialise(prepare_batch(batch), "batch")
-    present = rows.agg(*[F.count(a).alias(a) for a in ATTRIBUTES]).first().asDict()
+    present = rows.agg(F.count("*").alias("size"), *[F.count(a).alias(a) for a in ATTRIBUTES]).first().asDict()
     for k in range(stages):
         state, rows = update_stage(
-            state, rows, k, sink=sink, trace=trace, present=present[ATTRIBUTES[k]], rows_materialised=(k == 0)
+            state, rows, k, sink=sink, trace=trace, present=present[ATTRIBUTES[k]], rows_materialised=(k == 0), size=present["size"]
         )
     if trace is not None:
         trace["rows"] = rows
+    if sink is None and state.index is not None and len(state.index.layers) > 4 * len(ATTRIBUTES):
+        state = replace(state, index=ClusterIndex([materialise(state.index.whole(), "index")]))
     return state

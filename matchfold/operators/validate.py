@@ -27,7 +27,7 @@ class ValidationError(ValueError):
         self.path = path
 
 
-def _quoted(c: Column) -> Column:
+def quoted(c: Column) -> Column:
     """Python ``repr`` of a string as used in the messages: single quotes, or double
     quotes when the text holds a single quote and no double quote; backslash and
     the common control characters escaped."""
@@ -56,34 +56,42 @@ def description_errors(df: DataFrame, mode: str = "match", index_col: str | None
     idx = F.col(index_col).cast("string") if index_col else F.lit("")
     base = F.concat(F.lit("/descriptions/"), idx) if index_col else F.lit("/descriptions")
     checks = []
+    typed = F.coalesce("type_errors.field", F.array().cast("array<string>")) if "type_errors" in cols else None
+
+    def missing(name: str) -> Column:
+        """No such key; a key with null or another value that is no text is present (and of the wrong type)."""
+        return col(name).isNull() if typed is None else col(name).isNull() & ~F.array_contains(typed, name)
+
     for name in REQUIRED[mode]:
-        checks.append(_err(col(name).isNull(), base, F.lit(f"'{name}' is a required property")))
-    no_attribute = F.coalesce(*[col(a) for a in ATTRIBUTES]).isNull()
+        checks.append(_err(missing(name), base, F.lit(f"'{name}' is a required property")))
+    no_attribute = F.lit(True)
+    for name in ATTRIBUTES:
+        no_attribute = no_attribute & missing(name)
     checks.append(_err(no_attribute, base, F.lit(f"'{ANY_OF_FIRST}' is a required property")))
     for name in PROPERTY_ORDER:
         c = col(name)
         path = F.concat(base, F.lit(f"/{name}"))
         if name in MIN_LENGTH_ONE:
-            checks.append(_err(F.char_length(c) < 1, path, F.concat(_quoted(c), F.lit(" is too short"))))
+            checks.append(_err(F.char_length(c) < 1, path, F.concat(quoted(c), F.lit(" is too short"))))
         if name == "companies_house_id":
             n = P.COMPANIES_HOUSE_ID_LENGTH
-            checks.append(_err(F.char_length(c) < n, path, F.concat(_quoted(c), F.lit(" is too short"))))
-            checks.append(_err(F.char_length(c) > n, path, F.concat(_quoted(c), F.lit(" is too long"))))
+            checks.append(_err(F.char_length(c) < n, path, F.concat(quoted(c), F.lit(" is too short"))))
+            checks.append(_err(F.char_length(c) > n, path, F.concat(quoted(c), F.lit(" is too long"))))
         if name == "contact_email":
             checks.append(
                 _err(
                     ~c.rlike(P.EMAIL_PATTERN),
                     path,
-                    F.concat(_quoted(c), F.lit(f" does not match {P.EMAIL_PATTERN!r}")),
+                    F.concat(quoted(c), F.lit(f" does not match {P.EMAIL_PATTERN!r}")),
                 )
             )
     found = F.filter(F.array(*checks), lambda e: e.isNotNull())
     if "type_errors" in cols:  # V4, as found in the JSON before values became text
-        typed = F.transform(
+        of_type = F.transform(
             F.coalesce("type_errors", F.array().cast("array<struct<field:string,message:string>>")),
             lambda e: F.struct(F.concat(base, F.lit("/"), e["field"]).alias("path"), e["message"].alias("message")),
         )
-        found = F.concat(found, typed)
+        found = F.concat(found, of_type)
     return found
 
 
@@ -107,3 +115,25 @@ def assert_valid(df: DataFrame, mode: str = "match", index_col: str | None = Non
     if first:
         raise ValidationError(first.e.message, first.e.path)
     return df
+
+
+def request_errors(rows: DataFrame, request_col: str, mode: str = "match") -> DataFrame:
+    """``(request, path, message)``: the one error that rejects a request, for each request that has any.
+
+    ``rows`` are expanded payloads (``expand_payloads``).  The error nearest to the top of the payload
+    counts; on a level the rule that one of several properties must be there comes last; then
+    the first description and rule (V8)."""
+    of_row = validate_descriptions(rows, mode, index_col="_pos")
+    where = F.concat(F.lit("/descriptions/"), F.col("_pos").cast("string"))
+    one = lambda path, message: F.array(F.struct(path.alias("path"), message.alias("message")))
+    errors = (
+        F.when(F.col("payload_error").isNotNull(), one(F.lit(""), F.col("payload_error")))
+        .when(F.col("_pos").isNull(), F.array().cast("array<struct<path:string,message:string>>"))
+        .when(F.col("item_error").isNotNull(), one(where, F.col("item_error")))
+        .otherwise(F.col("errors"))
+    )
+    each = of_row.select(request_col, "_pos", F.posexplode(errors).alias("_rule", "_e")).select(request_col, "_pos", "_rule", "_e.*")
+    depth = F.char_length("path") - F.char_length(F.replace("path", F.lit("/"), F.lit("")))
+    weak = F.col("message") == F.lit(f"'{ANY_OF_FIRST}' is a required property")
+    first = F.min(F.struct(depth.alias("depth"), weak.alias("weak"), "_pos", "_rule", "path", "message")).alias("f")
+    return each.groupBy(request_col).agg(first).select(request_col, "f.path", "f.message")

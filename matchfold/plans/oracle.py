@@ -7,7 +7,6 @@ from matchfold.plans.duckdb_sql import Fold, _q, mapping
 from matchfold.schema import ATTRIBUTES
 from matchfold.sources.fixtures import JSON_MARKS, MARKED_COLUMNS
 
-TRACE_K = ATTRIBUTES.index("company_name")
 ATTR_LIST = ", ".join(ATTRIBUTES)
 
 
@@ -37,10 +36,6 @@ def _single() -> tuple[Fold, str]:
     return f, t
 
 
-def _keys(f: Fold) -> str:
-    return f.add("keys", f"SELECT cluster AS key FROM u2_touched{TRACE_K}")
-
-
 def _best(f: Fold, table: str, keys: str, name: str) -> str:
     return f.add(
         name,
@@ -89,6 +84,13 @@ def _json_struct() -> str:
     return "{" + fields + "}"
 
 
+def _shapes(size: int) -> str:
+    """What is wrong with each payload of so many orders (see ``BROKEN_PAYLOADS``)."""
+    key = f"CAST(floor(o_orderkey / {size}) AS BIGINT)"
+    said = ["Unable to read JSON payload", "[] is not of type 'object'", "{} is not of type 'array'", "'descriptions' is a required property", "None is not of type 'array'"]
+    return f"SELECT DISTINCT {key} AS payload_id, [{', '.join(map(_q, said))}][1 + {key} % 7] AS error FROM orders"
+
+
 def _stages_sql() -> dict[str, str]:
     """The operators of the fold in all six stages of the second batch."""
     q = {}
@@ -104,7 +106,7 @@ def _stages_sql() -> dict[str, str]:
         )
 
     f, t1, t2, _, _ = _two()
-    q["lookup_left_join_stages"] = union(f, [
+    q["lookup_left_join"] = union(f, [
         f"SELECT id, max(value) FILTER (rank = {k}) AS value, max(prev_match_id) FILTER (rank = {k}) AS f_prev, "
         f"max(match_id) FILTER (rank = {k}) AS f_mid"
         + cols(k, prev=("max(prev_match_id) FILTER (rank = {j})", "BIGINT"), mid=("max(match_id) FILTER (rank = {j})", "BIGINT"))
@@ -112,7 +114,7 @@ def _stages_sql() -> dict[str, str]:
         for k, a in every
     ])
     f, t1, t2, _, _ = _two()
-    q["impacted_existing_stages"] = union(f, [
+    q["impacted_existing"] = union(f, [
         f"SELECT {D.MAP_COLS}, '{a}' AS attribute FROM {mapping(t1, a)} WHERE match_id IN (SELECT cluster FROM u2_touched{k})"
         for k, a in every[1:]
     ])
@@ -121,7 +123,7 @@ def _stages_sql() -> dict[str, str]:
         return [_best(f, mapping(t2, ATTRIBUTES[j]), f"(SELECT cluster AS key FROM u2_touched{k})", f"best{k}_{j}") for j in range(k)]
 
     f, t1, t2, _, _ = _two()
-    q["impacted_dependents_stages"] = union(f, [
+    q["impacted_dependents"] = union(f, [
         f"SELECT prev_match_id, '{ATTRIBUTES[j]}' AS higher, h_datetime, h_match_id, '{a}' AS attribute FROM {b}"
         for k, a in every[1:] for j, b in enumerate(bests(f, t2, k))
     ])
@@ -132,6 +134,8 @@ def _stages_sql() -> dict[str, str]:
             "SELECT own.value, own.match_id AS f_mid, own.datetime AS f_dt, own.source AS f_src"
             + cols(k, dt=("max(other.datetime) FILTER (other.rank = {j})", "TIMESTAMP"), mid=("max(other.match_id) FILTER (other.rank = {j})", "BIGINT"))
             + f", '{a}' AS attribute FROM u2_known{k} own JOIN u2_known{k} other USING (rid) WHERE own.rank = {k} "
+            # rows that agree in all attributes are one candidate, the newest
+            f"AND own.id IN (SELECT arg_max(id, {{'at': datetime, 'source': source}}) FROM b2 GROUP BY {ATTR_LIST}) "
             "GROUP BY rid, own.value, own.match_id, own.datetime, own.source"
         )
         if k:
@@ -142,19 +146,19 @@ def _stages_sql() -> dict[str, str]:
                 + " ".join(f"LEFT JOIN {b} x{j} ON x{j}.prev_match_id = o.match_id" for j, b in enumerate(bests(f, t2, k)))
                 + f" WHERE o.match_id IN (SELECT cluster FROM u2_touched{k})"
             )
-    q["union_candidates_stages"] = union(f, parts)
+    q["union_candidates"] = union(f, parts)
     f, *_ = _two()
-    q["latest_per_value_stages"] = union(f, [
+    q["latest_per_value"] = union(f, [
         f"SELECT value, newest.at AS datetime, newest.source AS source, '{a}' AS attribute FROM u2_seen{k}" for k, a in every
     ])
     f, *_ = _two()
-    q["first_value_priority_stages"] = union(f, [
+    q["first_value_priority"] = union(f, [
         "SELECT value" + cols(k, match_id=("max(t.match_id) FILTER (by_rank = {j})", "BIGINT"))
         + f", '{a}' AS attribute FROM u2_seen{k} LEFT JOIN u2_told{k} t USING (value) GROUP BY value"
         for k, a in every
     ])
     f, t1, t2, _, _ = _two()
-    q["upsert_mapping_stages"] = union(f, [f"SELECT {D.MAP_COLS}, '{a}' AS attribute FROM {mapping(t2, a)}" for a in ATTRIBUTES])
+    q["upsert_mapping"] = union(f, [f"SELECT {D.MAP_COLS}, '{a}' AS attribute FROM {mapping(t2, a)}" for a in ATTRIBUTES])
     f, t1, t2, _, _ = _two()
     parts = []
     for k, a in every:
@@ -168,7 +172,7 @@ def _stages_sql() -> dict[str, str]:
             f"SELECT {D.MAP_COLS}, false AS created, '{a}' AS attribute FROM {t}",
             f"SELECT {D.MAP_COLS}, true AS created, '{a}' AS attribute FROM {seeds} s WHERE NOT EXISTS (SELECT 1 FROM {t} o WHERE o.value = s.value)",
         ]
-    q["seed_insert_if_absent_stages"] = union(f, parts)
+    q["seed_insert_if_absent"] = union(f, parts)
     return q
 
 
@@ -184,12 +188,7 @@ def oracle_sql() -> dict[str, str]:
     q["norm_postcode"] = _norm("postcode", D.norm_postcode_sql())
     q["normalise_descriptions"] = D.normalised_sql(_desc())
 
-    q["val_payload_shape"] = (
-        "SELECT *, error IS NULL AS ok FROM (SELECT DISTINCT CAST(floor(o_orderkey / 100) AS BIGINT) AS payload_id, "
-        "['Unable to read JSON payload', 'payload is not an object', '{} is not of type ''array''', "
-        "'''descriptions'' is a required property', 'None is not of type ''array'''][1 + CAST(floor(o_orderkey / 100) AS BIGINT) % 7] AS error "
-        "FROM orders)"
-    )
+    q["val_payload_shape"] = f"SELECT *, error IS NULL AS ok FROM ({_shapes(100)})"
     q["val_required_match"] = _errors_flag("id IS NULL")
     q["val_required_update"] = _errors_flag("id IS NULL OR datetime IS NULL OR source IS NULL")
     q["val_any_attribute"] = _errors_flag(f"coalesce({ATTR_LIST}) IS NULL")
@@ -222,10 +221,30 @@ def oracle_sql() -> dict[str, str]:
     )
 
     q["src_json_descriptions"] = f"SELECT id, source, datetime, {ATTR_LIST} FROM {_desc()}"
+    nulls = ", ".join(f"CAST(NULL AS VARCHAR) AS {c}" for c in ATTRIBUTES)
     q["src_expand_records"] = (
         "SELECT payload_id, CAST(row_number() OVER (PARTITION BY payload_id ORDER BY k) - 1 AS INTEGER) AS pos, "
-        f"id, source, datetime, {ATTR_LIST}, CAST(0 AS INTEGER) AS n_type_errors FROM "
-        f"(SELECT *, CAST(id AS BIGINT) AS k, CAST(floor(CAST(id AS BIGINT) / 100) AS BIGINT) AS payload_id FROM {_desc()})"
+        f"id, source, datetime, {ATTR_LIST}, CAST(0 AS INTEGER) AS n_type_errors, CAST(NULL AS VARCHAR) AS error FROM "
+        f"(SELECT *, CAST(id AS BIGINT) AS k, CAST(floor(CAST(id AS BIGINT) / 100) AS BIGINT) AS payload_id FROM {_desc()}) "
+        f"WHERE payload_id % 7 > 4 UNION ALL SELECT payload_id, NULL, NULL, NULL, NULL, {nulls}, 0, error FROM ({_shapes(100)}) WHERE error IS NOT NULL"
+    )
+    f, t1, *_ = _two()
+    detail = f.match_rel("md", _match_batch(f), t1)
+    bad = f"SELECT DISTINCT CAST(floor(CAST(id AS BIGINT) / 10) AS BIGINT) FROM {_desc()} WHERE NOT ({D.valid_predicate('match')})"
+    q["request_matches_json"] = f.sql(
+        "SELECT payload_id, to_json({'matches': list({'id': id, 'match_id': aggr_match_id, 'similarity': similarity} ORDER BY id)}) AS json "
+        f"FROM (SELECT *, CAST(floor(CAST(id AS BIGINT) / 10) AS BIGINT) AS payload_id FROM {detail}) "
+        f"WHERE payload_id % 7 > 4 AND payload_id NOT IN ({bad}) GROUP BY payload_id"
+    )
+    row = D.errors_sql("match", "pos")
+    weak = _q("'company_name' is a required property")
+    q["request_rejects"] = (
+        "WITH r AS (SELECT *, CAST(floor(n / 10) AS BIGINT) AS payload_id, row_number() OVER (PARTITION BY CAST(floor(n / 10) AS BIGINT) ORDER BY n) - 1 AS pos "
+        f"FROM ({D.flawed_sql()})), l AS (SELECT payload_id, pos, {row} AS es FROM r WHERE payload_id % 7 > 4), "
+        "e AS (SELECT payload_id, pos, unnest(es) AS e, generate_subscripts(es, 1) AS rule FROM l) "
+        "SELECT payload_id, f.path AS path, f.message AS message FROM (SELECT payload_id, min({'depth': len(e.path) - len(replace(e.path, '/', '')), "
+        f"'weak': e.message = {weak}, 'pos': pos, 'rule': rule, 'path': e.path, 'message': e.message}}) AS f FROM e GROUP BY payload_id) "
+        f"UNION ALL SELECT payload_id, '', error FROM ({_shapes(10)}) WHERE error IS NOT NULL"
     )
     f, t = _single()
     detail = f.match_rel("md", _match_batch(f), t)
@@ -233,52 +252,6 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT to_json({{'id': id, 'match_id': aggr_match_id, 'similarity': similarity}}) AS json FROM {detail}"
     )
 
-    # operators of stage company_name, second batch
-    k = TRACE_K
-    f, t1, t2, _, _ = _two()
-    q["lookup_left_join"] = f.sql(
-        f"SELECT id, max(value) FILTER (rank = {k}) AS value, max(prev_match_id) FILTER (rank = {k}) AS f_prev, "
-        f"max(match_id) FILTER (rank = {k}) AS f_mid, "
-        + ", ".join(f"max({c}_id) FILTER (rank = {j}) AS h{j}_{n}" for j in range(k) for c, n in (("prev_match", "prev"), ("match", "mid")))
-        + f" FROM b2 LEFT JOIN u2_known{k} USING (id) GROUP BY id"
-    )
-    f, t1, t2, _, _ = _two()
-    keys = _keys(f)
-    q["impacted_existing"] = f.sql(
-        f"SELECT {D.MAP_COLS} FROM {mapping(t1, 'company_name')} WHERE match_id IN (SELECT key FROM {keys})"
-    )
-    f, t1, t2, _, _ = _two()
-    keys = _keys(f)
-    best = _best(f, mapping(t2, "duns_number"), keys, "best1")
-    q["impacted_dependents"] = f.sql(f"SELECT * FROM {best}")
-
-    f, t1, t2, _, _ = _two()
-    keys = _keys(f)
-    bests = [_best(f, mapping(t2, ATTRIBUTES[j]), keys, f"best{j}") for j in range(k)]
-    batch_part = (
-        "SELECT own.value, own.match_id AS f_mid, own.datetime AS f_dt, own.source AS f_src, "
-        + ", ".join(
-            f"max(other.datetime) FILTER (other.rank = {j}) AS h{j}_dt, max(other.match_id) FILTER (other.rank = {j}) AS h{j}_mid"
-            for j in range(k)
-        )
-        + f" FROM u2_known{k} own JOIN u2_known{k} other USING (rid) WHERE own.rank = {k} GROUP BY rid, own.value, own.match_id, own.datetime, own.source"
-    )
-    ex_part = (
-        "SELECT o.value, o.match_id AS f_mid, o.datetime AS f_dt, o.source AS f_src, "
-        + ", ".join(f"x{j}.h_datetime AS h{j}_dt, x{j}.h_match_id AS h{j}_mid" for j in range(k))
-        + f" FROM {mapping(t1, 'company_name')} o "
-        + " ".join(f"LEFT JOIN {bests[j]} x{j} ON x{j}.prev_match_id = o.match_id" for j in range(k))
-        + f" WHERE o.match_id IN (SELECT key FROM {keys})"
-    )
-    q["union_candidates"] = f.sql(f"{batch_part}\nUNION ALL\n{ex_part}")
-
-    f, *_ = _two()
-    q["latest_per_value"] = f.sql(f"SELECT value, newest.at AS datetime, newest.source AS source FROM u2_seen{k}")
-    f, *_ = _two()
-    q["first_value_priority"] = f.sql(
-        "SELECT value, " + ", ".join(f"max(t.match_id) FILTER (by_rank = {j}) AS h{j}_match_id" for j in range(k))
-        + f" FROM u2_seen{k} LEFT JOIN u2_told{k} t USING (value) GROUP BY value"
-    )
     f, *_ = _two()
     q["assign_new_ids"] = f.sql(
         "\nUNION ALL ".join(
@@ -290,21 +263,6 @@ def oracle_sql() -> dict[str, str]:
     q["delta_changed_only"] = f.sql(
         "\nUNION ALL ".join(f"SELECT {D.MAP_COLS}, '{a}' AS attribute FROM u2_delta{i}" for i, a in enumerate(ATTRIBUTES))
     )
-    f, t1, t2, _, _ = _two()
-    q["upsert_mapping"] = f.sql(f"SELECT {D.MAP_COLS} FROM {mapping(t2, 'company_name')}")
-    f, t1, t2, _, _ = _two()
-    seeds = f.add(
-        "seeds",
-        "SELECT DISTINCT ON (duns_number) duns_number AS value, CAST(0 AS BIGINT) AS prev_match_id, "
-        "CAST(0 AS BIGINT) AS match_id, source, datetime FROM b2 WHERE duns_number IS NOT NULL "
-        "ORDER BY duns_number, datetime DESC, source DESC",
-    )
-    dt = mapping(t1, "duns_number")
-    q["seed_insert_if_absent"] = f.sql(
-        f"SELECT {D.MAP_COLS}, false AS created FROM {dt}\nUNION ALL\n"
-        f"SELECT {D.MAP_COLS}, true AS created FROM {seeds} s WHERE NOT EXISTS (SELECT 1 FROM {dt} o WHERE o.value = s.value)"
-    )
-
     q.update(_stages_sql())
 
     f, t1, t2, _, _ = _two()

@@ -18,9 +18,10 @@ from matchfold.functions.patterns import EMAIL_PATTERN
 from matchfold.functions.matching import priority_coalesce, similarity_string
 from matchfold.operators.match import MID_COLS, latest_duns_per_cluster, match, match_detail
 from matchfold.operators.state import MAPPING_COLUMNS, MappingState
-from matchfold.operators.update import best_dependents, existing_impacted, lookup_current, upsert
+from matchfold.operators.update import existing_impacted
 from matchfold.operators.validate import split_valid, validate_descriptions
 from matchfold.operators import validate as V
+from matchfold.plans.api import resolve_requests
 from matchfold.schema import ATTRIBUTES
 from matchfold.session import scratch_path
 from matchfold.sources.fixtures import BROKEN_PAYLOADS, JSON_MARKS, MARKED_COLUMNS, derived_descriptions, flawed_descriptions
@@ -30,9 +31,6 @@ from matchfold.streaming.stream import stream_updates
 
 _CACHE: dict = {}
 
-TRACE_STAGE = "company_name"  # first stage with two higher attributes
-
-
 class FixtureRun:
     """Folds over the derived descriptions of one data directory."""
 
@@ -74,7 +72,7 @@ class FixtureRun:
     def state2(self) -> MappingState:
         return self._fold("two", (1, 2))[0][1]
 
-    def trace2(self, attr: str = TRACE_STAGE) -> dict:
+    def trace2(self, attr: str) -> dict:
         return self._fold("two", (1, 2))[1][1][attr]
 
 
@@ -183,25 +181,49 @@ def q_src_json_descriptions(spark, sf_dir):
     return parse_description_text(_description_json(run_for(spark, sf_dir).raw()))
 
 
-def _payloads(d: DataFrame) -> DataFrame:
-    """Payload documents of the descriptions of up to 100 orders each (bounded groups), by the key ``n``."""
+def _payloads(d: DataFrame, size: int = 100) -> DataFrame:
+    """Payload documents of the descriptions of up to ``size`` orders each (bounded groups), by the key ``n``."""
     fields = [
         F.date_format("datetime", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("datetime") if c == "datetime" else F.col(c)
         for c in ("id", "source", "datetime", *ATTRIBUTES)
     ]
     item = F.struct("n", F.struct(*fields).alias("d"))
-    return d.groupBy(F.floor(F.col("n") / 100).alias("payload_id")).agg(
+    return d.groupBy(F.floor(F.col("n") / size).alias("payload_id")).agg(
         F.to_json(
             F.struct(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["d"]).alias("descriptions"))
         ).alias("value")
     )
 
 
+def _broken(docs: DataFrame) -> DataFrame:
+    """Some payloads cut short, no object, or without a list of descriptions."""
+    cases = " ".join(f"WHEN {i} THEN {e}" for i, e in BROKEN_PAYLOADS.items())
+    return docs.withColumn("value", F.expr(f"CASE payload_id % 7 {cases} ELSE value END"))
+
+
+def _numbered(r: FixtureRun) -> DataFrame:
+    return r.raw().withColumn("n", F.col("id").cast("long"))
+
+
 def q_src_expand_records(spark, sf_dir):
-    docs = _payloads(run_for(spark, sf_dir).raw().withColumn("n", F.col("id").cast("long")))
-    out = expand_payloads(docs, "value", key_col="payload_id")
+    """Whole payloads row by row; of each broken one a row that says why."""
+    out = expand_payloads(_broken(_payloads(_numbered(run_for(spark, sf_dir)))), "value", key_col="payload_id")
     return out.select("payload_id", F.col("_pos").alias("pos"), "id", "source", "datetime", *ATTRIBUTES,
-                      F.size("type_errors").alias("n_type_errors"))
+                      F.size("type_errors").alias("n_type_errors"), F.col("payload_error").alias("error"))
+
+
+def q_request_matches_json(spark, sf_dir):
+    """Requests of up to ten descriptions, some broken: the answers to those accepted."""
+    r = run_for(spark, sf_dir)
+    _, answers, _ = resolve_requests(r.state1(), _broken(_payloads(_numbered(r), 10)), "payload_id")
+    return answers
+
+
+def q_request_rejects(spark, sf_dir):
+    """Requests of up to ten flawed descriptions, some broken as a whole: the error that rejects each."""
+    docs = _broken(_payloads(flawed_descriptions(spark, sf_dir), 10))
+    _, _, rejects = resolve_requests(run_for(spark, sf_dir).state1(), docs, "payload_id", mode="none")
+    return rejects
 
 
 def q_val_types(spark, sf_dir):
@@ -214,10 +236,7 @@ def q_val_types(spark, sf_dir):
 
 
 def q_val_payload_shape(spark, sf_dir):
-    """Payloads some of which are cut short, no object, or without a list of descriptions."""
-    docs = _payloads(run_for(spark, sf_dir).raw().withColumn("n", F.col("id").cast("long")))
-    cases = " ".join(f"WHEN {i} THEN {e}" for i, e in BROKEN_PAYLOADS.items())
-    parsed = parse_payload_text(docs.withColumn("value", F.expr(f"CASE payload_id % 7 {cases} ELSE value END")), "value")
+    parsed = parse_payload_text(_broken(_payloads(_numbered(run_for(spark, sf_dir)))), "value")
     return parsed.select("payload_id", F.col("payload_error").isNull().alias("ok"), F.col("payload_error").alias("error"))
 
 
@@ -226,60 +245,7 @@ def q_sink_matches_json(spark, sf_dir):
     return match_json(match(r.single(), r.batch(None, "match")))
 
 
-# --- fold operators (stage company_name of the second batch) --------------------------------
-
-def _trace_cols(df: DataFrame, k: int) -> list:
-    return [F.col(f"_prev{j}").alias(f"h{j}_prev") for j in range(k)] + [
-        F.col(f"_mid{j}").alias(f"h{j}_mid") for j in range(k)
-    ]
-
-
-def q_lookup_left_join(spark, sf_dir):
-    r = run_for(spark, sf_dir)
-    k = ATTRIBUTES.index(TRACE_STAGE)
-    tm = lookup_current(r.trace2()["rows"], r.state1().tables[TRACE_STAGE], TRACE_STAGE)
-    return tm.select(
-        "id", F.col(TRACE_STAGE).alias("value"), F.col("_fprev").alias("f_prev"), F.col("_fmid").alias("f_mid"),
-        *_trace_cols(tm, k),
-    )
-
-
-def q_impacted_existing(spark, sf_dir):
-    r = run_for(spark, sf_dir)
-    keys = r.trace2()["keys"]
-    old = r.state1().tables[TRACE_STAGE]
-    return old.join(keys.withColumnRenamed("_key", "match_id"), "match_id", "left_semi").select(*MAPPING_COLUMNS)
-
-
-def q_impacted_dependents(spark, sf_dir):
-    r = run_for(spark, sf_dir)
-    keys = r.trace2()["keys"]
-    best = best_dependents(r.state2().tables, keys, 2).where(F.col("_h1").isNotNull())
-    return best.select("prev_match_id", F.col("_h1.dt").alias("h_datetime"), F.col("_h1.mid").alias("h_match_id"))
-
-
-def q_union_candidates(spark, sf_dir):
-    """A3: batch rows and impacted existing rows; each candidate's stored id is the
-    value's id (what the per-value aggregate carries)."""
-    t = run_for(spark, sf_dir).trace2()
-    k = ATTRIBUTES.index(TRACE_STAGE)
-    c = t["candidates"].join(t["look"].select("_fval", F.col("_fmid").alias("_lmid")), F.col("value") == F.col("_fval"), "left")
-    return c.select(
-        "value", F.coalesce("_fmid", "_lmid").alias("f_mid"), F.col("_newest.dt").alias("f_dt"), F.col("_newest.src").alias("f_src"),
-        *[x for j in range(k) for x in (F.col(f"_h{j}.dt").alias(f"h{j}_dt"), F.col(f"_h{j}.mid").alias(f"h{j}_mid"))],
-    )
-
-
-def q_latest_per_value(spark, sf_dir):
-    lv = run_for(spark, sf_dir).trace2()["latest"]
-    return lv.select("value", F.col("_newest.dt").alias("datetime"), F.col("_newest.src").alias("source"))
-
-
-def q_first_value_priority(spark, sf_dir):
-    lv = run_for(spark, sf_dir).trace2()["latest"]
-    k = ATTRIBUTES.index(TRACE_STAGE)
-    return lv.select("value", *[F.col(f"_h{j}.mid").alias(f"h{j}_match_id") for j in range(k)])
-
+# --- fold operators, in all six stages of the second batch ----------------------------------
 
 def _per_stage(spark, sf_dir, fn) -> DataFrame:
     r = run_for(spark, sf_dir)
@@ -296,29 +262,6 @@ def q_delta_changed_only(spark, sf_dir):
     return _per_stage(spark, sf_dir, lambda t: t["delta"])
 
 
-def q_upsert_mapping(spark, sf_dir):
-    r = run_for(spark, sf_dir)
-    return upsert(r.state1().tables[TRACE_STAGE], r.trace2()["delta"])
-
-
-def q_seed_insert_if_absent(spark, sf_dir):
-    """Seed the first state's D&B table with the second batch's numbers;
-    existing rows stay untouched, ``created`` marks inserted ones."""
-    from matchfold.operators.seed import insert_if_absent
-
-    r = run_for(spark, sf_dir)
-    b2 = r.batch(2).where(F.col("duns_number").isNotNull())
-    newest = b2.groupBy(F.col("duns_number").alias("value")).agg(F.max(F.struct("datetime", "source")).alias("_n"))
-    seeds = newest.select(
-        "value", F.lit(0).cast("long").alias("prev_match_id"), F.lit(0).cast("long").alias("match_id"),
-        F.col("_n.source").alias("source"), F.col("_n.datetime").alias("datetime"),
-    )
-    return insert_if_absent(r.state1().tables["duns_number"], seeds)
-
-
-# --- the same operators in all six stages of the second batch ------------------------------
-
-
 def _stages(fn, first: int = 0):
     """``fn(run, attribute, k)`` over the stages from ``first`` on, with an attribute column.  The first
     attribute has no higher one, so it has no impacted rows and no dependents."""
@@ -341,7 +284,11 @@ def _higher(k: int, **cols) -> list:
 
 
 def _lookup_stage(r, a, k):
-    tm = lookup_current(r.trace2(a)["rows"], r.state1().tables[a], a)
+    """The descriptions of the second batch with what the stage knows of their attribute tuple."""
+    rows = r.trace2(a)["rows"].drop("datetime", "source").withColumnsRenamed({x: f"_{x}" for x in ATTRIBUTES})
+    same = reduce(lambda x, y: x & y, [F.col(x).eqNullSafe(F.col(f"_{x}")) for x in ATTRIBUTES])
+    known = r.batch(2).join(rows, same)
+    tm = known.join(r.trace2(a)["look"], F.col(a) == F.col("_fval"), "left")
     return tm.select(
         "id", F.col(a).alias("value"), F.col("_fprev").alias("f_prev"), F.col("_fmid").alias("f_mid"),
         *_higher(k, prev=("_prev{j}", "long"), mid=("_mid{j}", "long")),
@@ -349,7 +296,8 @@ def _lookup_stage(r, a, k):
 
 
 def _existing_stage(r, a, k):
-    ex = existing_impacted(r.state1().tables[a], r.state2().tables, r.trace2(a)["keys"], k)
+    t = r.trace2(a)
+    ex = existing_impacted(t["touched"], t["best"], k)
     return ex.select(
         "value", F.col("_fprev").alias("prev_match_id"), F.col("_fmid").alias("match_id"),
         F.col("_newest.src").alias("source"), F.col("_newest.dt").alias("datetime"),
@@ -357,7 +305,7 @@ def _existing_stage(r, a, k):
 
 
 def _dependents_stage(r, a, k):
-    best = best_dependents(r.state2().tables, r.trace2(a)["keys"], k)
+    best = r.trace2(a)["best"]
     parts = [
         best.where(F.col(f"_h{j}").isNotNull()).select(
             "prev_match_id", F.lit(ATTRIBUTES[j]).alias("higher"), F.col(f"_h{j}.dt").alias("h_datetime"), F.col(f"_h{j}.mid").alias("h_match_id")
@@ -385,7 +333,8 @@ def _first_stage(r, a, k):
 
 
 def _upsert_stage(r, a, k):
-    return upsert(r.state1().tables[a], r.trace2(a)["delta"])
+    """The table as stored: layers of the first version and the second's delta."""
+    return r.state2().tables[a]
 
 
 def _seed_stage(r, a, k):
@@ -508,25 +457,19 @@ QUERIES = {
     "val_error_report": q_val_error_report,
     "src_json_descriptions": q_src_json_descriptions,
     "src_expand_records": q_src_expand_records,
+    "request_matches_json": q_request_matches_json,
+    "request_rejects": q_request_rejects,
     "sink_matches_json": q_sink_matches_json,
-    "lookup_left_join": q_lookup_left_join,
-    "impacted_existing": q_impacted_existing,
-    "impacted_dependents": q_impacted_dependents,
-    "union_candidates": q_union_candidates,
-    "latest_per_value": q_latest_per_value,
-    "first_value_priority": q_first_value_priority,
+    "lookup_left_join": _stages(_lookup_stage),
+    "impacted_existing": _stages(_existing_stage, 1),
+    "impacted_dependents": _stages(_dependents_stage, 1),
+    "union_candidates": _stages(_candidates_stage),
+    "latest_per_value": _stages(_latest_stage),
+    "first_value_priority": _stages(_first_stage),
     "assign_new_ids": q_assign_new_ids,
     "delta_changed_only": q_delta_changed_only,
-    "upsert_mapping": q_upsert_mapping,
-    "seed_insert_if_absent": q_seed_insert_if_absent,
-    "lookup_left_join_stages": _stages(_lookup_stage),
-    "impacted_existing_stages": _stages(_existing_stage, 1),
-    "impacted_dependents_stages": _stages(_dependents_stage, 1),
-    "union_candidates_stages": _stages(_candidates_stage),
-    "latest_per_value_stages": _stages(_latest_stage),
-    "first_value_priority_stages": _stages(_first_stage),
-    "upsert_mapping_stages": _stages(_upsert_stage),
-    "seed_insert_if_absent_stages": _stages(_seed_stage),
+    "upsert_mapping": _stages(_upsert_stage),
+    "seed_insert_if_absent": _stages(_seed_stage),
     "state_scan": q_state_scan,
     **{f"update_{a}": q_update_attr(a) for a in ATTRIBUTES},
     "update_mappings": q_update_mappings,

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from matchfold.operators.validate import quoted
 from matchfold.schema import ATTRIBUTES
 
 TEXT_FIELDS = ("id", "source", "datetime", *ATTRIBUTES)
@@ -53,13 +54,19 @@ def parse_payload_text(df: DataFrame, text_col: str = "value") -> DataFrame:
     is_array = F.schema_of_variant(found).startswith("ARRAY")
     error = (
         F.when(v.isNull(), F.lit(PAYLOAD_ERROR))
-        .when(~is_object, F.lit("payload is not an object"))
+        .when(~is_object, not_of_type(v, "object"))
         .when(found.isNull(), F.lit("'descriptions' is a required property"))
-        .when(~is_array, F.concat(_python_word(F.to_json(found)), F.lit(" is not of type 'array'")))
+        .when(~is_array, not_of_type(found, "array"))
     )
     return df.withColumn("payload", parsed).withColumn("payload_error", error)
 
 
+def not_of_type(value: Column, kind: str) -> Column:
+    """The message for a JSON value (a variant) of another type; strings and words as Python prints them."""
+    text = F.when(F.schema_of_variant(value) == "STRING", quoted(F.try_variant_get(value, "$", "string"))).otherwise(_python_word(F.to_json(value)))
+    return F.concat(text, F.lit(f" is not of type '{kind}'"))
+
+
 def _python_word(json: Column) -> Column:
     """JSON's null, true and false as the messages print them."""
     return F.when(json == "null", "None").when(json == "true", "True").when(json == "false", "False").otherwise(json)
@@ -85,11 +92,15 @@ def field_type_errors(element: Column) -> Column:
 
 def expand_payloads(df: DataFrame, text_col: str = "value", key_col: str | None = None) -> DataFrame:
     """Payload documents -> one typed row per description, with its position
-    ``_pos`` inside the payload (for error paths) and ``type_errors`` (V4)."""
-    v = F.try_parse_json(F.col(text_col))
-    elements = F.try_variant_get(v, "$.descriptions", "array<variant>")
+    ``_pos`` inside the payload (for error paths) and ``type_errors`` (V4).
+
+    A payload that cannot be expanded is one row with ``payload_error`` and no position; one of
+    no descriptions is a row with neither.  ``item_error`` tells of a description that is no object."""
     keep = [key_col] if key_col else []
-    exploded = df.select(*keep, F.posexplode(elements).alias("_pos", "_e"))
+    checked = parse_payload_text(df.select(*keep, F.col(text_col).alias("_text")), "_text")
+    elements = F.try_variant_get(F.try_parse_json("_text"), "$.descriptions", "array<variant>")
+    exploded = checked.select(*keep, "payload_error", F.posexplode_outer(F.when(F.col("payload_error").isNull(), elements)).alias("_pos", "_e"))
+    is_object = F.schema_of_variant("_e").startswith("OBJECT")
     return exploded.select(
         *keep,
         "_pos",
@@ -102,6 +113,8 @@ def expand_payloads(df: DataFrame, text_col: str = "value", key_col: str | None
             for f in TEXT_FIELDS
         ],
         field_type_errors(F.col("_e")).alias("type_errors"),
+        "payload_error",
+        F.when(~is_object, not_of_type(F.col("_e"), "object")).alias("item_error"),
     )
 
 
@@ -116,7 +129,7 @@ def match_json(df: DataFrame) -> DataFrame:
 
 
 def matches_to_json(df: DataFrame, request_col: str) -> DataFrame:
-    """S7 (document form): one ``{"matches": [...]}`` document per request.
+    """S7 (document form): one ``{"matches": [...]}`` document per request, matches in the order of ids (O1).
 
     Each request is one bounded group (its own payload), never the whole batch."""
     item = F.struct("id", "match_id", "similarity")

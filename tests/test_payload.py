@@ -17,7 +17,8 @@ def test_parse_and_expand(spark):
     assert parsed[2] == PAYLOAD_ERROR
     assert parsed[3] == "'descriptions' is a required property"
     rows = expand_payloads(docs, key_col="pid").orderBy("pid", "_pos").collect()
-    assert [(r.pid, r._pos, r.id) for r in rows] == [(1, 0, "1"), (1, 1, "2")]
+    assert [(r.pid, r._pos, r.id) for r in rows] == [(1, 0, "1"), (1, 1, "2"), (2, None, None), (3, None, None)]
+    assert [r.payload_error for r in rows] == [None, None, PAYLOAD_ERROR, "'descriptions' is a required property"]
     assert str(rows[0].datetime) == "2019-01-01 00:00:00"
     assert rows[0].companies_house_id == "AB000001"
     assert [e.message for e in rows[1].type_errors] == ["2 is not of type 'string'"]

@@ -67,30 +67,66 @@ def test_id_allocation_has_no_single_partition_exchange(spark):
     assert "SinglePartition" not in captured[0]
 
 
-def test_bucketed_state_is_not_shuffled(spark):
-    """Lookup and upsert read a bucketed state table without an exchange on it."""
+def nodes(plan):
+    """The physical plan's nodes with their ancestors, adaptive plans included."""
+    todo = [(plan, ())]
+    while todo:
+        node, above = todo.pop()
+        yield node, above
+        name = node.getClass().getSimpleName()
+        children = [node.inputPlan()] if name == "AdaptiveSparkPlanExec" else [node.children().apply(i) for i in range(node.children().size())]
+        todo += [(c, (*above, name)) for c in children]
+
+
+def scans_below_an_exchange(df, part: str) -> list[bool]:
+    out = []
+    for node, above in nodes(df._jdf.queryExecution().executedPlan()):
+        if node.getClass().getSimpleName() == "FileSourceScanExec" and part in node.toString():
+            # an exchange of rows already joined or found is of the batch's size: only one right above the scan counts
+            held = [x for x in above if x not in ("WholeStageCodegenExec", "InputAdapter", "ProjectExec", "FilterExec", "ColumnarToRowExec", "SortExec", "UnionExec", "AdaptiveSparkPlanExec")]
+            out.append(bool(held) and "Exchange" in held[-1])
+    return out
+
+
+def test_stored_state_is_probed_in_place(spark):
+    """The match's lookups and a layered table read the stored rows without an exchange of them."""
     from matchfold import StateStore
-    from matchfold.operators.update import lookup_current, prepare_batch, upsert
+    from matchfold.operators.match import found_values, keyed_batch
     from matchfold.session import scratch_path
 
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        store = StateStore(spark, scratch_path(spark, "t-bucketed"), buckets=parts)
-        batch = normalise_descriptions(descriptions(spark, [("inc", "AB000001", "dun1", "name1"), ("inc", "AB000002", "dun1")]))
-        state = store.update(batch, batch_id=0)
-        table = state.tables["duns_number"]
-        delta = table.limit(1)
-        for p in (lookup_current(prepare_batch(batch), table, "duns_number"), upsert(table, delta, parts).repartition(parts, "value")):
-            text = plan_text(p)
-            scan_lines = [l for l in text.splitlines() if "Scan parquet" in l and "duns_number" in l]
-            assert "Bucketed: true" in text
-            # the exchange-free path: no exchange is the direct parent of the bucketed scan
-            assert "REPARTITION_BY_NUM" not in text.split("Union")[0] if "Union" in text else True
-            assert scan_lines
-        # dun1 follows the newer description (cluster 2); name1 follows AB000001 (cluster 1)
-        assert sorted(tuple(r) for r in match(state, batch).collect()) == [("1", 1, "101000"), ("2", 2, "110000")]
+        store = StateStore(spark, scratch_path(spark, "t-bucketed"), buckets=parts, fold_share=100.0)
+        first = [("inc", f"AB{i:06d}", f"dun{i}", f"name{i}") for i in range(80)]
+        store.update(normalise_descriptions(descriptions(spark, first)), batch_id=0)
+        batch = normalise_descriptions(descriptions(spark, [("inc", "AB000001", "dun1", "name1"), ("inc", "AB000002", "dun1")] * 40))
+        state = store.update(batch, batch_id=1)
+        found = found_values(state, keyed_batch(batch))
+        assert not any(scans_below_an_exchange(found, "duns_number")) and scans_below_an_exchange(found, "duns_number")
+        assert not any(scans_below_an_exchange(state.tables["company_name"], "company_name"))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_small_batch_reads_only_its_buckets(spark):
+    from matchfold import StateStore
+    from matchfold.operators.match import found_values, keyed_batch
+    from matchfold.session import scratch_path
+
+    store = StateStore(spark, scratch_path(spark, "t-pruned"), buckets=16)
+    store.update(normalise_descriptions(descriptions(spark, [("inc", f"AB{i:06d}", f"dun{i}") for i in range(50)])), batch_id=0)
+    state = store.load()
+    asked = spark.createDataFrame([(1,)], "key long")
+    # only then does the plan name the buckets; they are left out either way
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+    try:
+        text = plan_text(found_values(state, keyed_batch(normalise_descriptions(descriptions(spark, [("inc", "AB000001")])))))
+        assert "SelectedBucketsCount: 1 out of 16" in text
+        text = plan_text(state.by_cluster().at(asked, small=True))
+        assert "out of 16" in text and "SelectedBucketsCount: 16 out of 16" not in text
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    assert state.by_cluster().at(asked, small=True).select("value").distinct().count() == 2

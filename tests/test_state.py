@@ -105,3 +105,87 @@ def test_reset_keeps_id_high_water_mark(spark):
     assert fresh.long().count() == 0 and fresh.last_id == 2 and store.exists()
     s2 = store.update(_norm(spark, [("inc", "AB000003")]), batch_id=1)
     assert [r.match_id for r in s2.long().collect()] == [3]
+
+
+def _files(spark, store):
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{store.root}/data/*/*")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return {"/".join(f.getPath().toString().split("/")[-2:]) for f in found or []}
+
+
+def test_an_update_writes_only_what_it_changes(spark):
+    store = StateStore(spark, scratch_path(spark, "t-layers"), buckets=2)
+    store.update(_norm(spark, [("inc", f"AB{i:06d}", f"dun{i}", f"name{i}") for i in range(20)]), batch_id=0)
+    before = _files(spark, store)
+    s = store.update(_norm(spark, [("2020-01-01 00:00:00", None, "dun3", "name77")]), batch_id=1)
+    names = {f.split("/")[1] for f in _files(spark, store) - before}
+    assert names == {"company_name", "index", "arrivals"}
+    assert s.tables["company_name"].where("value = 'name77'").first().match_id == 4
+    assert s.tables["company_name"].count() == 21 and s.tables["duns_number"].count() == 20
+    # a batch that changes nothing commits a version that points to the same layers
+    before = _files(spark, store)
+    store.update(_norm(spark, [("2020-01-01 00:00:00", None, "dun3", "name77")]), batch_id=2)
+    assert {f.split("/")[1] for f in _files(spark, store) - before} == {"arrivals"}
+
+
+def test_two_updates_from_one_base_lose_nothing(spark):
+    root = scratch_path(spark, "t-two")
+    one, two = StateStore(spark, root, buckets=2), StateStore(spark, root, buckets=2)
+    one.create()
+    real, hurried = one._commit, []
+
+    def late(commit):
+        if not hurried:  # the other update commits first
+            hurried.append(two.update(_norm(spark, [("inc", "AB000002", "dun2", "name")]), batch_id=8).version)
+        real(commit)
+
+    one._commit = late
+    s = one.update(_norm(spark, [("inc", "AB000001", "dun1", "name")]), batch_id=7)
+    assert hurried == [1] and s.version == 2 and one.versions() == [0, 1, 2]
+    assert sorted((r.value, r.match_id) for r in s.tables["companies_house_id"].collect()) == [("ab000001", 2), ("ab000002", 1)]
+    assert one.update(_norm(spark, [("inc", "AB000009")]), batch_id=8).version == 2  # folded by the other
+
+
+def test_seeding_a_stored_state(spark):
+    store = StateStore(spark, scratch_path(spark, "t-seed"), buckets=2)
+    store.update(_norm(spark, [("inc", "AB000001", "dun1")]), batch_id=0)
+    t = dt.datetime(2020, 1, 1)
+    rows = [("dun1", 9, 9, "x", t), ("dun2", 5, 5, "x", t), ("dun2", 6, 7, "x", dt.datetime(2021, 1, 1))]
+    s = store.seed({"duns_number": spark.createDataFrame(rows, MAPPING_SCHEMA)})
+    assert {(r.value, r.prev_match_id, r.match_id) for r in s.tables["duns_number"].collect()} == {("dun1", 1, 1), ("dun2", 6, 7)}
+    assert s.last_id == 7 and s.sizes["duns_number"] == 2
+    # what was seeded is matched, moved and re-decided like any other row
+    s = store.update(_norm(spark, [("2022-01-01 00:00:00", "AB000001", "dun2")]), batch_id=1)
+    assert {(r.value, r.match_id) for r in s.tables["duns_number"].collect()} == {("dun1", 1), ("dun2", 1)}
+
+
+def test_sweep_keeps_what_kept_versions_need(spark):
+    store = StateStore(spark, scratch_path(spark, "t-sweep"), buckets=2, max_layers=2)
+    kept = []
+    for i in range(4):
+        s = store.update(_norm(spark, [("inc", f"AB{i:06d}", f"dun{i % 2}", f"n{i}")]), batch_id=i)
+        kept.append(sorted(tuple(r) for r in s.long().collect()))
+    assert store.sweep(keep=2) == 0  # all folders are young
+    assert store.versions() == [3, 4]
+    assert store.sweep(keep=2, grace_seconds=0) > 0
+    for version, rows in zip((3, 4), kept[2:]):
+        assert sorted(tuple(r) for r in store.load(version).long().collect()) == rows
+    assert store.update(_norm(spark, [("inc", "AB000000")]), batch_id=0).version == 4  # the ledger is kept
+
+
+def test_index_follows_the_tables(spark):
+    """What the index says of every cluster is what the tables say, whatever layers they are in."""
+    import random
+
+    rng = random.Random(8)
+    store = StateStore(spark, scratch_path(spark, "t-index"), buckets=2, max_layers=3)
+    for i in range(4):
+        rows = [(f"20{rng.randint(10, 20)}-01-01 00:00:00", *[rng.choice([None, f"{a}{rng.randint(0, 4)}"]) for a in ("AB00000", "d", "n", "x@m", "7", "p")]) for _ in range(6)]
+        s = store.update(_norm(spark, rows), batch_id=i)
+    got = sorted((r.key, ATTRIBUTES[r.attribute], r.value, r.now, r.was, r.match_id, r.prev_match_id) for r in s.index.whole().collect())
+    want = {}
+    for r in s.long().collect():
+        for key in {r.match_id, r.prev_match_id}:
+            want[key, r.attribute, r.value] = (key, r.attribute, r.value, key == r.match_id, key == r.prev_match_id, r.match_id, r.prev_match_id)
+    assert got == sorted(want.values()) and got

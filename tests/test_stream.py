@@ -80,3 +80,41 @@ def test_replays_are_known_by_stream(spark):
     batch = normalise_descriptions(descriptions(spark, [(day(1), "CH000001", "dun1")]))
     versions = [store.update(batch, batch_id=0, stream=s).version for s in "ABA"]
     assert versions == [1, 2, 2]
+
+
+def _file(src, batch, name, lines):
+    (src / f"batch={batch}").mkdir(parents=True, exist_ok=True)
+    (src / f"batch={batch}" / name).write_text("\n".join(lines) + "\n")
+
+
+def _duns(store):
+    return sorted(r.value for r in store.load().tables["duns_number"].collect())
+
+
+def test_late_files_and_late_batches_are_folded(spark, tmp_path):
+    """A second file of a folded batch, and a batch of a lower number, come late: nothing is lost, nothing is folded twice."""
+    src, ckpt = tmp_path / "src", str(tmp_path / "ckpt")
+    store = StateStore(spark, scratch_path(spark, "t-late"))
+    _file(src, 1, "a.json", _lines(spark, [(day(1), None, "d0")]))
+    stream_updates(spark, str(src), store, ckpt)
+    _file(src, 1, "b.json", _lines(spark, [(day(2), None, "d1")]))
+    _file(src, 0, "a.json", _lines(spark, [(day(3), None, "d2")]))
+    stream_updates(spark, str(src), store, ckpt)
+    assert _duns(store) == ["d0", "d1", "d2"]
+    version = store.load().version
+    # a new checkpoint over the same folder brings every file again
+    stream_updates(spark, str(src), store, str(tmp_path / "ckpt-2"))
+    assert store.load().version == version and _duns(store) == ["d0", "d1", "d2"]
+
+
+def test_a_folder_read_half_written(spark, tmp_path):
+    """A new checkpoint sees one file folded before and one that is new, in one folder."""
+    src = tmp_path / "src"
+    store = StateStore(spark, scratch_path(spark, "t-half"))
+    rejects = str(tmp_path / "rejects")
+    _file(src, 0, "a.json", _lines(spark, [(day(1), "CH000001", "d0"), (day(1), "short")]))
+    stream_updates(spark, str(src), store, str(tmp_path / "ckpt"), rejects_dir=rejects)
+    _file(src, 0, "b.json", _lines(spark, [(day(2), "CH000002", "d1")]))
+    stream_updates(spark, str(src), store, str(tmp_path / "ckpt-2"), rejects_dir=rejects)
+    assert _duns(store) == ["d0", "d1"] and store.load().version == 2
+    assert spark.read.option("recursiveFileLookup", "true").parquet(rejects).count() == 1
