@@ -261,7 +261,7 @@ class _Remembered(dict):
 class TextEncoder:
     """Whole texts to packed ids (little-endian unsigned 32-bit), match by match of a pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_cached: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_cached: int = 60_000):
         import regex
 
         self.machine = machine = MergeTransducer(ranks)
@@ -333,6 +333,10 @@ class Utf8Machine:
         return "".join(out)
 
 
+#: Rows whose ids and text a worker holds at a time.
+HELPING = 1000
+
+
 def encoded(spark: SparkSession, text: Column, vocabulary: str, pattern: str) -> Column:
     """Ids of a text column as binary: little-endian unsigned 32-bit integers."""
     ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))
@@ -380,13 +384,17 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text
 
     @F.pandas_udf("ids binary, decoded string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        release(keep=True)
         enc, dec = worker_tables(
             ("both", vocabulary, pattern), lambda: (TextEncoder(ranks.value, pattern), Utf8Machine({v: k for k, v in ranks.value.items()}))
         )
         for s in batches:
-            ids = [enc.encode(t) for t in s]
-            yield pd.DataFrame({"ids": ids, "decoded": [dec.decode(np.frombuffer(b, "<u4")) for b in ids]}, dtype=object)
-            del s, ids
+            # results go out in helpings: a worker holds little beside the batch it was given
+            for i in range(0, len(s), HELPING):
+                ids = [enc.encode(t) for t in s.iloc[i : i + HELPING]]
+                yield pd.DataFrame({"ids": ids, "decoded": [dec.decode(np.frombuffer(b, "<u4")) for b in ids]}, dtype=object)
+                del ids
+            del s
             release(keep=True)
 
     out = docs.withColumn("_bpe", run(F.col(text)))
