@@ -191,25 +191,28 @@ def shared_entries(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"digest": row[some], "col": col[some].view(np.int64), "df": df[some]})
 
 
-def overlap(a: Column, b: Column) -> Column:
-    """Size of the intersection of two packed sorted sets."""
-
-    @F.pandas_udf("int")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for x, y in batches:
-            out = []
-            for p, q in zip(x, y):
+def linked(threshold: int):
+    """Of pairs with both packed sorted sets, those that link, with the size of their intersection."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
+        for pdf in batches:
+            sizes = []
+            for p, q in zip(pdf["ca"], pdf["cb"]):
                 p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
                 if len(p) > len(q):
                     p, q = q, p
                 at = np.searchsorted(q, p)
                 at[at == len(q)] = 0
-                out.append(int((q[at] == p).sum()) if len(q) else 0)
-            yield pd.Series(out, dtype="int32")
-            del x, y
+                sizes.append(int((q[at] == p).sum()) if len(q) else 0)
+            both = np.array(sizes, np.int64)
+            union = pdf["na"].to_numpy(np.int64) + pdf["nb"].to_numpy(np.int64) - both
+            good = both * 100 >= union * threshold
+            yield pd.DataFrame({"a": pdf["a"][good], "b": pdf["b"][good], "both": both[good]})
+            del pdf
             release()
 
-    return run(a, b)
+    return run
 
 
 def classes(links: DataFrame, name: str) -> DataFrame:
@@ -233,12 +236,14 @@ def classes(links: DataFrame, name: str) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int, name: str) -> DataFrame:
-    """Pairs (a, b) whose exact overlap reaches the threshold of their union."""
+    """Pairs (a, b) whose exact overlap reaches the threshold of their union.
+
+    One Python step takes and tests the overlaps: as a column that is both tested and
+    returned, the planner would compute it twice, in two workers a task."""
     left = sets.select(F.col("digest").alias("a"), F.col("n").alias("na"), F.col("cols").alias("ca"))
     right = sets.select(F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("cols").alias("cb"))
-    both = pairs.join(right, "b").join(left, "a").withColumn("both", overlap(F.col("ca"), F.col("cb")))
-    good = both.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * threshold)
-    return materialise(good.select("a", "b", "both"), name)
+    both = pairs.join(right, "b").join(left, "a")
+    return materialise(both.mapInPandas(linked(threshold), "a long, b long, both int"), name)
 
 
 def link_classes(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
