@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -382,18 +383,19 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text
     """Adds ``ids``, ``n_tokens`` and ``decoded`` (the text of those ids) by one set of Python workers instead of two."""
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
 
-    @F.pandas_udf("ids binary, decoded string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("ids binary, decoded string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         release(keep=True)
         enc, dec = worker_tables(
             ("both", vocabulary, pattern), lambda: (TextEncoder(ranks.value, pattern), Utf8Machine({v: k for k, v in ranks.value.items()}))
         )
         for s in batches:
-            # results go out in helpings: a worker holds little beside the batch it was given
+            # texts stay Arrow's and become strings in helpings: a worker holds little beside the batch it was given
             for i in range(0, len(s), HELPING):
-                ids = [enc.encode(t) for t in s.iloc[i : i + HELPING]]
-                yield pd.DataFrame({"ids": ids, "decoded": [dec.decode(np.frombuffer(b, "<u4")) for b in ids]}, dtype=object)
-                del ids
+                ids = [enc.encode(t) for t in s.slice(i, HELPING).to_pylist()]
+                texts = pa.array([dec.decode(np.frombuffer(b, "<u4")) for b in ids], pa.string())
+                yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), texts], ["ids", "decoded"])
+                del ids, texts
             del s
             release(keep=True)
 
