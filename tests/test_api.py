@@ -5,7 +5,7 @@ import pytest
 from matchfold.operators.state import empty_state
 from matchfold.operators.validate import ValidationError
 from matchfold.plans.api import check_mode, resolve
-from tests.golden import descriptions
+from tests.described import about, descriptions
 
 
 def test_mode_flags():
@@ -16,7 +16,7 @@ def test_mode_flags():
 
 
 def test_update_then_match_and_match_only(spark):
-    raw = descriptions(spark, [("inc", "AB000001", "dun1", "x"), ("inc", "AB000002", None, "y")])
+    raw = descriptions(spark, [about(0, register="AB000001", dnb="dun1", name="x"), about(1, register="AB000002", name="y")])
     state, out = resolve(empty_state(spark), raw, update=True, mode="dnb")
     assert sorted(tuple(r) for r in out.collect()) == [("1", "dun1", "111000"), ("2", None, "101000")]
     same, out2 = resolve(state, raw, update=False, mode="match")
@@ -27,7 +27,7 @@ def test_update_then_match_and_match_only(spark):
 
 
 def test_invalid_request(spark):
-    raw = descriptions(spark, [("inc", "short")])
+    raw = descriptions(spark, [about(0, register="short")])
     with pytest.raises(ValidationError):
         resolve(empty_state(spark), raw)
     _, out = resolve(empty_state(spark), raw, on_invalid="drop")

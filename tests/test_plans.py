@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from matchfold import match, normalise_descriptions
 from matchfold.operators.state import empty_state
 from matchfold.operators.update import update_mappings
-from tests.golden import descriptions
+from tests.described import about, descriptions
 
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin")
 
@@ -21,7 +21,7 @@ def plan_text(df) -> str:
 
 
 def _state(spark):
-    tuples = [("inc", "ch1", "dun1", "name1"), ("inc", None, "dun1", "name2", "a@b.org"), ("inc", "ch2", "dun2")]
+    tuples = [about(0, register="ch1", dnb="dun1", name="name1"), about(1, dnb="dun1", name="name2", email="a@b.org"), about(2, register="ch2", dnb="dun2")]
     batch = normalise_descriptions(descriptions(spark, tuples))
     trace: dict = {}
     state = update_mappings(empty_state(spark), batch, trace=trace)
@@ -99,9 +99,9 @@ def test_stored_state_is_probed_in_place(spark):
     try:
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         store = StateStore(spark, scratch_path(spark, "t-bucketed"), buckets=parts, fold_share=100.0)
-        first = [("inc", f"AB{i:06d}", f"dun{i}", f"name{i}") for i in range(80)]
+        first = [about(i, register=f"AB{i:06d}", dnb=f"dun{i}", name=f"name{i}") for i in range(80)]
         store.update(normalise_descriptions(descriptions(spark, first)), batch_id=0)
-        batch = normalise_descriptions(descriptions(spark, [("inc", "AB000001", "dun1", "name1"), ("inc", "AB000002", "dun1")] * 40))
+        batch = normalise_descriptions(descriptions(spark, [about(0, register="AB000001", dnb="dun1", name="name1"), about(1, register="AB000002", dnb="dun1")] * 40))
         state = store.update(batch, batch_id=1)
         found = found_values(state, keyed_batch(batch))
         assert not any(scans_below_an_exchange(found, "duns_number")) and scans_below_an_exchange(found, "duns_number")
@@ -117,13 +117,13 @@ def test_small_batch_reads_only_its_buckets(spark):
     from matchfold.session import scratch_path
 
     store = StateStore(spark, scratch_path(spark, "t-pruned"), buckets=16)
-    store.update(normalise_descriptions(descriptions(spark, [("inc", f"AB{i:06d}", f"dun{i}") for i in range(50)])), batch_id=0)
+    store.update(normalise_descriptions(descriptions(spark, [about(i, register=f"AB{i:06d}", dnb=f"dun{i}") for i in range(50)])), batch_id=0)
     state = store.load()
     asked = spark.createDataFrame([(1,)], "key long")
     # only then does the plan name the buckets; they are left out either way
     spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
     try:
-        text = plan_text(found_values(state, keyed_batch(normalise_descriptions(descriptions(spark, [("inc", "AB000001")])))))
+        text = plan_text(found_values(state, keyed_batch(normalise_descriptions(descriptions(spark, [about(0, register="AB000001")])))))
         assert "SelectedBucketsCount: 1 out of 16" in text
         text = plan_text(state.by_cluster().at(asked, small=True))
         assert "out of 16" in text and "SelectedBucketsCount: 16 out of 16" not in text

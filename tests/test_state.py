@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from matchfold import StateStore, match, normalise_descriptions
 from matchfold.operators.seed import insert_if_absent
 from matchfold.operators.state import MappingState
-from matchfold.schema import ATTRIBUTES, MAPPING_SCHEMA
+from matchfold.schema import ATTRIBUTES, DESCRIPTION_SCHEMA, MAPPING_SCHEMA
 from matchfold.session import scratch_path
-from tests.golden import descriptions
+from tests.described import FIELDS, about, descriptions
+from tests.rowmodel import Claim, Model
 
 
 def _norm(spark, tuples):
@@ -20,74 +21,96 @@ def _counts(state):
     return {r.attribute: r["count"] for r in state.long().groupBy("attribute").count().collect()}
 
 
-def test_oldest_latest_id_order_and_replay(spark):
-    store = StateStore(spark, scratch_path(spark, "t-store"))
-    assert not store.exists()
-    store.create()
-    tuples = [("2010-01-01 00:00:00", "11111111", None, "a"), ("2010-01-02 00:00:00", "22222222", None, "b"),
-              ("2010-01-03 00:00:00", "11111111", None, "b")]
-    batch = _norm(spark, tuples)
-    s1 = store.update(batch, batch_id=0)
-    expected = [("1", 2, "101000"), ("2", 1, "100000"), ("3", 2, "101000")]
-    assert sorted(tuple(r) for r in match(s1, batch).collect()) == expected
-    # same micro-batch id again: skipped
-    assert store.update(batch, batch_id=0).version == s1.version
-    # the same batch sent again as a new request: same answer, same row counts
-    s2 = store.update(batch, batch_id=1)
-    assert s2.version == s1.version + 1
-    assert sorted(tuple(r) for r in match(s2, batch).collect()) == expected
-    assert _counts(s2)["companies_house_id"] == 2 and _counts(s2)["company_name"] == 2
-    # older versions stay readable
-    assert store.load(s1.version).long().count() == s1.long().count()
+def _frame(spark, claims):
+    return spark.createDataFrame([c.row() for c in claims], DESCRIPTION_SCHEMA)
+
 
+def _claim(number, month, **known):
+    return Claim(f"q{number}", "register", dt.datetime(2017, month, 1), tuple(known.items()))
 
-def test_update_then_dnb(spark):
-    store = StateStore(spark, scratch_path(spark, "t-dnb"))
-    tuples = [("2010-01-01 00:00:00", "11111111", "dun1", "a"), ("2010-01-02 00:00:00", "22222222", None, "b")]
-    batch = _norm(spark, tuples)
-    s = store.update(batch, batch_id=0)
-    assert sorted(tuple(r) for r in match(s, batch, dnb=True).collect()) == [("1", "dun1", "111000"), ("2", None, "101000")]
 
+#: Two bakeries that used one name, and a supplier known by its D&B number only.
+BAKERIES = [
+    _claim(1, 3, companies_house_id="ni550001", company_name="crustandcrumb", postcode="bt11zz"),
+    _claim(2, 7, companies_house_id="ni550002", company_name="crustandcrumb", contact_email="crust.example"),
+    _claim(3, 5, duns_number="660000017", postcode="bt11zz"),
+    _claim(4, 9, companies_house_id="ni550002", duns_number="660000025"),
+]
 
-def _seeded(spark):
-    t = dt.datetime(2019, 1, 1)
 
-    def table(rows):
-        return spark.createDataFrame([(v, p, m, "seed", t) for v, p, m in rows], MAPPING_SCHEMA)
+def _table_rows(state):
+    return sorted((r.attribute, r.value, r.prev_match_id, r.match_id, r.source, r.datetime) for r in state.long().collect())
 
-    tables = {a: table([]) for a in ATTRIBUTES}
-    tables["companies_house_id"] = table([("1rr31111", 1, 1), ("1rr41111", 2, 2)])
-    tables["duns_number"] = table([("dun1", 1, 1)])
-    tables["company_name"] = table([("bad corp", 1, 1), ("ugly corp", 1, 2)])
-    return MappingState(tables, 2, 0)
 
+def _model(*batches):
+    out = Model()
+    for b in batches:
+        out.update(b)
+    return out
 
-def test_seeded_state_match(spark):
-    state = _seeded(spark)
-    q = _norm(spark, [("inc", "1rr31111", None, "bad corp"), ("inc", "1rr41111"), ("inc", "11111111", None, "new corp")])
-    assert sorted(tuple(r) for r in match(state, q).collect()) == [("1", 1, "100000"), ("2", 2, "100000"), ("3", None, "000000")]
-    q = _norm(spark, [("inc", "1rr31111", "dun1"), ("inc", "1rr41111")])
-    assert sorted(tuple(r) for r in match(state, q, dnb=True).collect()) == [("1", "dun1", "110000"), ("2", None, "100000")]
+
+def test_replayed_and_resent_batches(spark):
+    store, model = StateStore(spark, scratch_path(spark, "t-store")), _model(BAKERIES)
+    assert not store.exists()
+    store.create()
+    batch = _frame(spark, BAKERIES)
+    first = store.update(batch, batch_id=0)
+    assert _table_rows(first) == model.rows()
+    # the same micro-batch again is skipped
+    assert store.update(batch, batch_id=0).version == first.version
+    # sent again as another batch it is folded: a version of its own
+    second = store.update(batch, batch_id=1)
+    model.update(BAKERIES)
+    assert second.version == first.version + 1 and _table_rows(second) == model.rows()
+    assert sorted(tuple(r) for r in match(second, batch).collect()) == [model.match(c) for c in BAKERIES]
+    assert sorted(tuple(r) for r in match(second, batch, dnb=True).collect()) == [model.dnb(c) for c in BAKERIES]
+    # older versions stay readable
+    assert _table_rows(store.load(first.version)) == _model(BAKERIES).rows()
+
+
+def _given(spark, model):
+    """The model's state as tables that no update has written."""
+    tables = {
+        a: spark.createDataFrame([(v, e.was, e.now, e.source, e.datetime) for v, e in model.tables[a].items()], MAPPING_SCHEMA)
+        for a in ATTRIBUTES
+    }
+    return MappingState(tables, model.last_id, 0)
+
+
+def test_match_on_a_given_state(spark):
+    model = _model(BAKERIES)
+    state = _given(spark, model)
+    probes = BAKERIES + [
+        _claim(5, 1, companies_house_id="ni559999", company_name="crustandcrumb"),
+        _claim(6, 1, contact_email="crust.example", postcode="bt99zz"),
+        _claim(7, 1, cdms_ref="31", postcode="bt99zz"),
+        _claim(8, 1),
+    ]
+    batch = _frame(spark, probes)
+    got = sorted(tuple(r) for r in match(state, batch).collect())
+    assert got == [model.match(c) for c in probes]
+    assert [r[1] for r in got[-2:]] == [None, None] and got[5][1] == got[1][1]
+    assert sorted(tuple(r) for r in match(state, batch, dnb=True).collect()) == [model.dnb(c) for c in probes]
 
 
 def test_insert_if_absent(spark):
-    state = _seeded(spark)
-    seeds = spark.createDataFrame(
-        [("dun1", 9, 9, "x", dt.datetime(2020, 1, 1)), ("dun2", 3, 3, "x", dt.datetime(2020, 1, 1))], MAPPING_SCHEMA
-    )
-    out = {r.value: (r.match_id, r.created) for r in insert_if_absent(state.tables["duns_number"], seeds).collect()}
-    assert out == {"dun1": (1, False), "dun2": (3, True)}
+    held = _given(spark, _model(BAKERIES)).tables["duns_number"]
+    later = dt.datetime(2023, 1, 1)
+    seeds = spark.createDataFrame([("660000017", 90, 90, "x", later), ("660000033", 30, 30, "x", later)], MAPPING_SCHEMA)
+    out = {r.value: (r.match_id, r.created) for r in insert_if_absent(held, seeds).collect()}
+    assert {v: c for v, (_, c) in out.items() if v != "660000025"} == {"660000017": False, "660000033": True}
+    assert out["660000033"][0] == 30 and out["660000017"][0] != 90
 
 
 def test_match_invariants(spark):
     """match_id is NULL iff similarity is all zeros; the first '1' marks the
     attribute whose cluster was chosen; matching never changes the state."""
     store = StateStore(spark, scratch_path(spark, "t-inv"))
-    tuples = [("inc", "ch1", "dun1", "name1"), ("inc", None, "dun1", "name2", "a@x.org"), ("inc", "ch2", "dun1", "name1"),
-              ("inc", None, None, None, None, "77", "sw1 1aa"), ("inc", "n/a")]
+    tuples = [about(0, register="ch1", dnb="dun1", name="name1"), about(1, dnb="dun1", name="name2", email="a@x.org"), about(2, register="ch2", dnb="dun1", name="name1"),
+              about(3, crm="77", postcode="sw1 1aa"), about(4, register="n/a")]
     s = store.update(_norm(spark, tuples), batch_id=0)
     before = sorted(tuple(r) for r in s.long().collect())
-    probe = _norm(spark, tuples + [("inc", "ch9", "dun1", "name2"), ("inc", None, None, "zzz")])
+    probe = _norm(spark, tuples + [about(0, register="ch9", dnb="dun1", name="name2"), about(1, name="zzz")])
     rows = match(s, probe).collect()
     for r in rows:
         assert (r.match_id is None) == (r.similarity == "000000")
@@ -99,11 +122,11 @@ def test_match_invariants(spark):
 def test_reset_keeps_id_high_water_mark(spark):
     store = StateStore(spark, scratch_path(spark, "t-reset"))
     store.create()
-    s = store.update(_norm(spark, [("inc", "AB000001"), ("inc", "AB000002")]), batch_id=0)
+    s = store.update(_norm(spark, [about(0, register="AB000001"), about(1, register="AB000002")]), batch_id=0)
     assert s.last_id == 2
     fresh = store.create(reset=True)
     assert fresh.long().count() == 0 and fresh.last_id == 2 and store.exists()
-    s2 = store.update(_norm(spark, [("inc", "AB000003")]), batch_id=1)
+    s2 = store.update(_norm(spark, [about(0, register="AB000003")]), batch_id=1)
     assert [r.match_id for r in s2.long().collect()] == [3]
 
 
@@ -116,16 +139,16 @@ def _files(spark, store):
 
 def test_an_update_writes_only_what_it_changes(spark):
     store = StateStore(spark, scratch_path(spark, "t-layers"), buckets=2)
-    store.update(_norm(spark, [("inc", f"AB{i:06d}", f"dun{i}", f"name{i}") for i in range(20)]), batch_id=0)
+    store.update(_norm(spark, [about(i, register=f"AB{i:06d}", dnb=f"dun{i}", name=f"name{i}") for i in range(20)]), batch_id=0)
     before = _files(spark, store)
-    s = store.update(_norm(spark, [("2020-01-01 00:00:00", None, "dun3", "name77")]), batch_id=1)
+    s = store.update(_norm(spark, [about("2020-01-01", dnb="dun3", name="name77")]), batch_id=1)
     names = {f.split("/")[1] for f in _files(spark, store) - before}
     assert names == {"company_name", "index", "arrivals"}
     assert s.tables["company_name"].where("value = 'name77'").first().match_id == 4
     assert s.tables["company_name"].count() == 21 and s.tables["duns_number"].count() == 20
     # a batch that changes nothing commits a version that points to the same layers
     before = _files(spark, store)
-    store.update(_norm(spark, [("2020-01-01 00:00:00", None, "dun3", "name77")]), batch_id=2)
+    store.update(_norm(spark, [about("2020-01-01", dnb="dun3", name="name77")]), batch_id=2)
     assert {f.split("/")[1] for f in _files(spark, store) - before} == {"arrivals"}
 
 
@@ -137,26 +160,26 @@ def test_two_updates_from_one_base_lose_nothing(spark):
 
     def late(commit):
         if not hurried:  # the other update commits first
-            hurried.append(two.update(_norm(spark, [("inc", "AB000002", "dun2", "name")]), batch_id=8).version)
+            hurried.append(two.update(_norm(spark, [about(0, register="AB000002", dnb="dun2", name="name")]), batch_id=8).version)
         real(commit)
 
     one._commit = late
-    s = one.update(_norm(spark, [("inc", "AB000001", "dun1", "name")]), batch_id=7)
+    s = one.update(_norm(spark, [about(0, register="AB000001", dnb="dun1", name="name")]), batch_id=7)
     assert hurried == [1] and s.version == 2 and one.versions() == [0, 1, 2]
     assert sorted((r.value, r.match_id) for r in s.tables["companies_house_id"].collect()) == [("ab000001", 2), ("ab000002", 1)]
-    assert one.update(_norm(spark, [("inc", "AB000009")]), batch_id=8).version == 2  # folded by the other
+    assert one.update(_norm(spark, [about(0, register="AB000009")]), batch_id=8).version == 2  # folded by the other
 
 
 def test_seeding_a_stored_state(spark):
     store = StateStore(spark, scratch_path(spark, "t-seed"), buckets=2)
-    store.update(_norm(spark, [("inc", "AB000001", "dun1")]), batch_id=0)
+    store.update(_norm(spark, [about(0, register="AB000001", dnb="dun1")]), batch_id=0)
     t = dt.datetime(2020, 1, 1)
     rows = [("dun1", 9, 9, "x", t), ("dun2", 5, 5, "x", t), ("dun2", 6, 7, "x", dt.datetime(2021, 1, 1))]
     s = store.seed({"duns_number": spark.createDataFrame(rows, MAPPING_SCHEMA)})
     assert {(r.value, r.prev_match_id, r.match_id) for r in s.tables["duns_number"].collect()} == {("dun1", 1, 1), ("dun2", 6, 7)}
     assert s.last_id == 7 and s.sizes["duns_number"] == 2
     # what was seeded is matched, moved and re-decided like any other row
-    s = store.update(_norm(spark, [("2022-01-01 00:00:00", "AB000001", "dun2")]), batch_id=1)
+    s = store.update(_norm(spark, [about("2022-01-01", register="AB000001", dnb="dun2")]), batch_id=1)
     assert {(r.value, r.match_id) for r in s.tables["duns_number"].collect()} == {("dun1", 1), ("dun2", 1)}
 
 
@@ -164,14 +187,14 @@ def test_sweep_keeps_what_kept_versions_need(spark):
     store = StateStore(spark, scratch_path(spark, "t-sweep"), buckets=2, max_layers=2)
     kept = []
     for i in range(4):
-        s = store.update(_norm(spark, [("inc", f"AB{i:06d}", f"dun{i % 2}", f"n{i}")]), batch_id=i)
+        s = store.update(_norm(spark, [about(0, register=f"AB{i:06d}", dnb=f"dun{i % 2}", name=f"n{i}")]), batch_id=i)
         kept.append(sorted(tuple(r) for r in s.long().collect()))
     assert store.sweep(keep=2) == 0  # all folders are young
     assert store.versions() == [3, 4]
     assert store.sweep(keep=2, grace_seconds=0) > 0
     for version, rows in zip((3, 4), kept[2:]):
         assert sorted(tuple(r) for r in store.load(version).long().collect()) == rows
-    assert store.update(_norm(spark, [("inc", "AB000000")]), batch_id=0).version == 4  # the ledger is kept
+    assert store.update(_norm(spark, [about(0, register="AB000000")]), batch_id=0).version == 4  # the ledger is kept
 
 
 def test_index_follows_the_tables(spark):
@@ -181,7 +204,10 @@ def test_index_follows_the_tables(spark):
     rng = random.Random(8)
     store = StateStore(spark, scratch_path(spark, "t-index"), buckets=2, max_layers=3)
     for i in range(4):
-        rows = [(f"20{rng.randint(10, 20)}-01-01 00:00:00", *[rng.choice([None, f"{a}{rng.randint(0, 4)}"]) for a in ("AB00000", "d", "n", "x@m", "7", "p")]) for _ in range(6)]
+        rows = []
+        for _ in range(6):
+            known = {f: f"{v}{rng.randint(0, 4)}" for f, v in zip(FIELDS, ("AB00000", "d", "n", "x@m", "7", "p")) if rng.random() < 0.5}
+            rows.append(about(f"20{rng.randint(10, 20)}-01-01", **known))
         s = store.update(_norm(spark, rows), batch_id=i)
     got = sorted((r.key, ATTRIBUTES[r.attribute], r.value, r.now, r.was, r.match_id, r.prev_match_id) for r in s.index.whole().collect())
     want = {}

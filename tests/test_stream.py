@@ -5,7 +5,7 @@ import json
 from matchfold import StateStore, match, normalise_descriptions
 from matchfold.session import scratch_path
 from matchfold.streaming import stream_updates
-from tests.golden import day, descriptions
+from tests.described import about, descriptions
 
 
 def _lines(spark, tuples):
@@ -18,7 +18,7 @@ def _lines(spark, tuples):
 
 def test_stream_equals_sequence(spark, tmp_path):
     # Streamed rows are validated, so companies house ids have 8 characters here.
-    steps = [[(day(1), None, "dun1", "name1")], [(day(2), "CH000001", "dun1")], [(day(3), "CH00000x")]]
+    steps = [[about(0, dnb="dun1", name="name1")], [about(24, register="CH000001", dnb="dun1")], [about(48, register="CH00000x")]]
     src = tmp_path / "src"
     src.mkdir()
     store = StateStore(spark, scratch_path(spark, "t-stream"))
@@ -29,14 +29,14 @@ def test_stream_equals_sequence(spark, tmp_path):
         stream_updates(spark, str(src), store, ckpt)
     state = store.load()
     assert state.meta["batch_id"] == 2  # the invalid third row was rejected, the batch still committed
-    probe = normalise_descriptions(descriptions(spark, [(day(3), None, None, "name1")]))
+    probe = normalise_descriptions(descriptions(spark, [about(48, name="name1")]))
     assert [tuple(r) for r in match(state, probe).collect()] == [("1", 2, "001000")]
 
 
 def test_new_stream_on_existing_store_is_applied(spark, tmp_path):
     """A second stream (own checkpoint, batch ids from 0 again) is not a replay."""
     store = StateStore(spark, scratch_path(spark, "t-stream2"))
-    for n, (step, name) in enumerate([([(day(1), "CH000001")], "a"), ([(day(2), "CH000002")], "b")]):
+    for n, (step, name) in enumerate([([about(0, register="CH000001")], "a"), ([about(24, register="CH000002")], "b")]):
         src = tmp_path / f"src-{name}"
         (src / "batch=0").mkdir(parents=True)
         (src / "batch=0" / "part.json").write_text("\n".join(_lines(spark, step)) + "\n")
@@ -46,7 +46,7 @@ def test_new_stream_on_existing_store_is_applied(spark, tmp_path):
 
 
 def test_result_does_not_follow_the_number_of_files(spark, tmp_path):
-    rows = [(day(1 + i % 3), f"CH{i % 7:06d}", f"dun{i % 5}", f"name{i % 4}") for i in range(24)]
+    rows = [about(24 * (i % 3), register=f"CH{i % 7:06d}", dnb=f"dun{i % 5}", name=f"name{i % 4}") for i in range(24)]
     states = []
     for files in (1, 12):
         src = tmp_path / f"src-{files}"
@@ -77,7 +77,7 @@ def test_values_that_are_no_text_are_rejected(spark, tmp_path):
 
 def test_replays_are_known_by_stream(spark):
     store = StateStore(spark, scratch_path(spark, "t-marks"))
-    batch = normalise_descriptions(descriptions(spark, [(day(1), "CH000001", "dun1")]))
+    batch = normalise_descriptions(descriptions(spark, [about(0, register="CH000001", dnb="dun1")]))
     versions = [store.update(batch, batch_id=0, stream=s).version for s in "ABA"]
     assert versions == [1, 2, 2]
 
@@ -95,10 +95,10 @@ def test_late_files_and_late_batches_are_folded(spark, tmp_path):
     """A second file of a folded batch, and a batch of a lower number, come late: nothing is lost, nothing is folded twice."""
     src, ckpt = tmp_path / "src", str(tmp_path / "ckpt")
     store = StateStore(spark, scratch_path(spark, "t-late"))
-    _file(src, 1, "a.json", _lines(spark, [(day(1), None, "d0")]))
+    _file(src, 1, "a.json", _lines(spark, [about(0, dnb="d0")]))
     stream_updates(spark, str(src), store, ckpt)
-    _file(src, 1, "b.json", _lines(spark, [(day(2), None, "d1")]))
-    _file(src, 0, "a.json", _lines(spark, [(day(3), None, "d2")]))
+    _file(src, 1, "b.json", _lines(spark, [about(24, dnb="d1")]))
+    _file(src, 0, "a.json", _lines(spark, [about(48, dnb="d2")]))
     stream_updates(spark, str(src), store, ckpt)
     assert _duns(store) == ["d0", "d1", "d2"]
     version = store.load().version
@@ -112,9 +112,9 @@ def test_a_folder_read_half_written(spark, tmp_path):
     src = tmp_path / "src"
     store = StateStore(spark, scratch_path(spark, "t-half"))
     rejects = str(tmp_path / "rejects")
-    _file(src, 0, "a.json", _lines(spark, [(day(1), "CH000001", "d0"), (day(1), "short")]))
+    _file(src, 0, "a.json", _lines(spark, [about(0, register="CH000001", dnb="d0"), about(0, register="short")]))
     stream_updates(spark, str(src), store, str(tmp_path / "ckpt"), rejects_dir=rejects)
-    _file(src, 0, "b.json", _lines(spark, [(day(2), "CH000002", "d1")]))
+    _file(src, 0, "b.json", _lines(spark, [about(24, register="CH000002", dnb="d1")]))
     stream_updates(spark, str(src), store, str(tmp_path / "ckpt-2"), rejects_dir=rejects)
     assert _duns(store) == ["d0", "d1"] and store.load().version == 2
     assert spark.read.option("recursiveFileLookup", "true").parquet(rejects).count() == 1
