@@ -17,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchfold.operators.joins import sized
 from matchfold.schema import ATTRIBUTES
 
 SLOTS = 8
@@ -85,8 +86,9 @@ class ClusterIndex:
             found = one.select("slot", "key", "attribute", "value", "_e.*")
         return found.where(F.col("now") | F.col("was")).select(*ENTRY_COLUMNS)
 
-    def at(self, clusters: DataFrame, upto: int = len(ATTRIBUTES) - 1, small: bool = False) -> DataFrame:
-        """The live entries of the clusters (one column, distinct, not null), of attributes up to ``upto``."""
+    def at(self, clusters: DataFrame, upto: int = len(ATTRIBUTES) - 1, small: bool = False, large: bool = False) -> DataFrame:
+        """The live entries of the clusters (one column, distinct, not null), of attributes up to ``upto``;
+        ``large`` ones, of which there may be many, are not broadcast."""
         if not self.layers:
             return clusters.sparkSession.createDataFrame([], ENTRY_DDL)
         name = clusters.columns[0]
@@ -95,7 +97,7 @@ class ClusterIndex:
         known = listed(clusters, small)
         asked = None if known is None else [k * SLOTS + i for k in known for i in range(SLOTS)]
         found = pruned(self.union().where(F.col("attribute") <= upto), "slot", asked)
-        return self.newest(found.join(slots, "slot", "left_semi"))
+        return self.newest(found.join(sized(slots, large), "slot", "left_semi"))
 
     def whole(self) -> DataFrame:
         """All live entries (for writing the layers as one)."""

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from matchfold.functions.matching import priority_coalesce, similarity_string
 from matchfold.operators.cluster_index import SMALL_BATCH
+from matchfold.operators.joins import LARGE_BATCH, sized
 from matchfold.operators.materialise import materialise
 from matchfold.operators.state import MappingState
 from matchfold.operators.update import mapping_lookup
@@ -37,11 +38,12 @@ def unpivot_values(rows: DataFrame) -> DataFrame:
     )
 
 
-def found_values(state: MappingState, rows: DataFrame) -> DataFrame:
-    """``(_attr, value, match_id)`` of every value of the batch that the state knows."""
-    small = rows.limit(SMALL_BATCH + 1).count() <= SMALL_BATCH
+def found_values(state: MappingState, rows: DataFrame, size: int | None = None) -> DataFrame:
+    """``(_attr, value, match_id)`` of every value of the batch (of ``size`` rows) that the state knows."""
+    size = rows.count() if size is None else size
+    small, large = size <= SMALL_BATCH, size > LARGE_BATCH
     parts = [
-        mapping_lookup(state.tables[a], rows, a, small).select(F.lit(i).alias("_attr"), F.col("_fval").alias("value"), F.col("_fmid").alias("match_id"))
+        mapping_lookup(state.tables[a], rows, a, small, large).select(F.lit(i).alias("_attr"), F.col("_fval").alias("value"), F.col("_fmid").alias("match_id"))
         for i, a in enumerate(ATTRIBUTES)
         if state.size(a) != 0
     ]
@@ -53,12 +55,13 @@ def lookup_all(state: MappingState, rows: DataFrame, found: DataFrame | None = N
 
     ``rows`` should be stored.  The join with what was found is between batch-sized
     sides; adaptive execution splits a hot value."""
-    found = found_values(state, rows) if found is None else found
-    hits = unpivot_values(rows).join(found, ["_attr", "value"], "inner")
+    size = rows.count()
+    found = found_values(state, rows, size) if found is None else found
+    hits = unpivot_values(rows).join(sized(found, size > LARGE_BATCH), ["_attr", "value"], "inner")
     per_row = hits.groupBy("_rk").agg(
         *[F.max(F.when(F.col("_attr") == i, F.col("match_id"))).alias(MID_COLS[i]) for i in range(len(ATTRIBUTES))]
     )
-    return rows.join(per_row, "_rk", "left")
+    return rows.join(sized(per_row, size > LARGE_BATCH), "_rk", "left")
 
 
 def keyed_batch(batch: DataFrame) -> DataFrame:
@@ -89,14 +92,15 @@ def match(state: MappingState, batch: DataFrame, dnb: bool = False, request: str
     if not dnb:
         detail = match_detail(state, rows)
         return detail.select(*keep, "id", F.col("aggr_match_id").alias("match_id"), "similarity")
-    found = materialise(found_values(state, rows), "match-found")
-    return dnb_choose(state, match_detail(state, rows, found), found.select("match_id").distinct(), keep)
+    size = rows.count()
+    found = materialise(found_values(state, rows, size), "match-found")
+    return dnb_choose(state, match_detail(state, rows, found), found.select("match_id").distinct(), keep, size > LARGE_BATCH)
 
 
-def latest_duns_per_cluster(state: MappingState, clusters: DataFrame) -> DataFrame:
+def latest_duns_per_cluster(state: MappingState, clusters: DataFrame, large: bool = False) -> DataFrame:
     """A2 helper: newest D&B number per cluster (ties: smallest number), of the clusters asked for."""
     k = ATTRIBUTES.index("duns_number")
-    duns = state.by_cluster().at(clusters.select("match_id"), k).where(F.col("now") & (F.col("attribute") == k))
+    duns = state.by_cluster().at(clusters.select("match_id"), k, large=large).where(F.col("now") & (F.col("attribute") == k))
     return duns.groupBy("match_id").agg(
         F.min(
             F.struct(
@@ -108,14 +112,16 @@ def latest_duns_per_cluster(state: MappingState, clusters: DataFrame) -> DataFra
     )
 
 
-def dnb_choose(state: MappingState, detail: DataFrame, clusters: DataFrame, keep: list[str]) -> DataFrame:
+def dnb_choose(state: MappingState, detail: DataFrame, clusters: DataFrame, keep: list[str], large: bool = False) -> DataFrame:
     """J5 + A2: attach the cluster's newest D&B number; keep one row per id (of a request).
 
     ``clusters`` are those that any value of the batch was found in.
     Among rows sharing an id the chosen one is: no cluster D&B row first, then the
     newest cluster D&B datetime, smallest number, newest description, attributes."""
-    dm = latest_duns_per_cluster(state, clusters).withColumnRenamed("match_id", "_dm_id")
-    joined = detail.join(dm, F.col("aggr_match_id") == F.col("_dm_id"), "left")
+    dm = latest_duns_per_cluster(state, clusters, large).withColumnRenamed("match_id", "_dm_id")
+    # rows of no cluster find nothing: their row keys spread them over the shuffle's tasks
+    key = F.coalesce("aggr_match_id", "_rk")
+    joined = detail.join(sized(dm, large), F.col("aggr_match_id").isNotNull() & (key == F.col("_dm_id")), "left")
     out_id = F.coalesce(F.col("duns_number"), F.col("_dm.duns"))
     ordering = F.struct(
         F.col("_dm").isNotNull().alias("o1"),

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from matchfold.operators.cluster_index import SMALL_BATCH, ClusterIndex, entries, listed, pruned
 from matchfold.operators.ids import assign_dense_ids
+from matchfold.operators.joins import LARGE_BATCH, attach, sized
 from matchfold.operators.materialise import materialise
 from matchfold.operators.state import MAPPING_COLUMNS, MappingState
 from matchfold.schema import ATTRIBUTES
@@ -54,19 +55,15 @@ def _h(j: int) -> str:
     return f"_h{j}"
 
 
-#: Batches of more rows get their newest dependents stored before the join, so that a hot cluster can be split.
-LARGE_BATCH = 200_000
-
-
-def mapping_lookup(mapping: DataFrame, rows: DataFrame, attr: str, small: bool = False) -> DataFrame:
+def mapping_lookup(mapping: DataFrame, rows: DataFrame, attr: str, small: bool = False, large: bool = False) -> DataFrame:
     """The mapping rows of the batch's distinct values: ``(_fval, _fprev, _fmid)``.
 
     A semi join against the distinct values: the value list is broadcast when its
-    size allows, and a bucketed mapping is read without a shuffle.  The values of a
+    size allows (never that of a ``large`` batch), and a bucketed mapping is read without a shuffle.  The values of a
     ``small`` batch become a filter, which reads only their buckets.  The result is
     batch-sized, one row per value."""
     vals = rows.where(F.col(attr).isNotNull()).select(F.col(attr).alias("value")).distinct()
-    return pruned(mapping, "value", listed(vals, small)).join(vals, "value", "left_semi").select(
+    return pruned(mapping, "value", listed(vals, small)).join(sized(vals, large), "value", "left_semi").select(
         F.col("value").alias("_fval"),
         F.col("prev_match_id").alias("_fprev"),
         F.col("match_id").alias("_fmid"),
@@ -81,7 +78,7 @@ def lookup_current(rows: DataFrame, mapping: DataFrame, attr: str) -> DataFrame:
     return rows.join(look, F.col(attr) == F.col("_fval"), "left").drop("_fval")
 
 
-def impact_keys(rows: DataFrame, look: DataFrame, k: int) -> DataFrame:
+def impact_keys(rows: DataFrame, look: DataFrame, k: int, large: bool = False) -> DataFrame:
     """Cluster ids whose existing members of attribute k must be re-decided:
     per batch row ``coalesce(current id of its value, prev id of H[k-1], ..., H[0])``.
 
@@ -96,7 +93,7 @@ def impact_keys(rows: DataFrame, look: DataFrame, k: int) -> DataFrame:
     pairs = rows.where(F.col(attr).isNotNull()).select(F.col(attr).alias("_fval"), cprev.alias("_key")).where(
         F.col("_key").isNotNull()
     ).distinct()
-    unknown = pairs.join(look.select("_fval"), "_fval", "left_anti").select("_key")
+    unknown = pairs.join(sized(look.select("_fval"), large), "_fval", "left_anti").select("_key")
     keys = stored.unionByName(no_value).unionByName(unknown)
     return keys.where(F.col("_key").isNotNull()).distinct()
 
@@ -114,7 +111,7 @@ def best_dependents(touched: DataFrame, k: int) -> DataFrame:
     )
 
 
-def existing_impacted(touched: DataFrame, best: DataFrame, k: int) -> DataFrame:
+def existing_impacted(touched: DataFrame, best: DataFrame, k: int, large: bool = False) -> DataFrame:
     """J3 + J2: existing rows of attribute k in impacted clusters, one per value.
 
     Of a large batch ``touched`` and ``best`` are stored: the join is then between two exchanges,
@@ -126,7 +123,7 @@ def existing_impacted(touched: DataFrame, best: DataFrame, k: int) -> DataFrame:
         F.col("prev_match_id").alias("_fprev"),
         F.struct(F.col("datetime").alias("dt"), F.col("source").alias("src")).alias("_newest"),
     )
-    return ex.join(best.withColumnRenamed("prev_match_id", "_pj"), F.col("_fmid") == F.col("_pj"), "left").drop("_pj")
+    return ex.join(sized(best.withColumnRenamed("prev_match_id", "_pj"), large), F.col("_fmid") == F.col("_pj"), "left").drop("_pj")
 
 
 def batch_candidates(rows: DataFrame, k: int) -> DataFrame:
@@ -182,7 +179,7 @@ def update_stage(
     ``size`` is the batch's number of rows.  ``present`` (non-null values of the attribute in the batch) and the state's
     known table sizes let trivial work be skipped: with an empty table there is
     nothing to look up and no existing row to re-decide (the initial load)."""
-    attr, small = ATTRIBUTES[k], size <= SMALL_BATCH
+    attr, small, large = ATTRIBUTES[k], size <= SMALL_BATCH, size > LARGE_BATCH
     old_f = state.tables[attr]
     old_size = state.size(attr)
     if present == 0 and old_size == 0:
@@ -196,32 +193,32 @@ def update_stage(
     cands = batch_candidates(rows, k)
     keys = look = touched = best = None
     if old_size != 0:
-        look = materialise(mapping_lookup(old_f, rows, attr, small), f"look-{attr}")
+        look = materialise(mapping_lookup(old_f, rows, attr, small, large), f"look-{attr}")
     if k > 0 and look is not None:
         # Every stored batch value's id is an impact key, so its own row is among
         # the impacted existing rows and brings _fmid/_fprev into the aggregate.
         # Small (impacted cluster ids) but used by several branches: written once.
-        keys = materialise(impact_keys(rows, look, k), f"keys-{attr}")
-        touched = materialise(state.by_cluster().at(keys, upto=k, small=small), f"touched-{attr}")
+        keys = materialise(impact_keys(rows, look, k, large), f"keys-{attr}")
+        touched = materialise(state.by_cluster().at(keys, upto=k, small=small, large=large), f"touched-{attr}")
         best = best_dependents(touched, k)
-        if size > LARGE_BATCH:
+        if large:
             best = materialise(best, f"best-{attr}")
-        cands = cands.unionByName(existing_impacted(touched, best, k))
+        cands = cands.unionByName(existing_impacted(touched, best, k, large))
         latest = latest_values(cands, k)
     elif look is not None:
         # First attribute: no dependents; attach stored ids per value (1:1 join).
         latest = (
             latest_values(cands, k)
             .drop("_fmid", "_fprev")
-            .join(look, F.col("value") == F.col("_fval"), "left")
+            .join(sized(look, large), F.col("value") == F.col("_fval"), "left")
             .drop("_fval")
         )
     else:
         latest = latest_values(cands, k)
     latest = materialise(latest.withColumn("_cand", chosen_cluster(k)), f"latest-{attr}")
     moved = F.col("_cand").isNull() | F.col("_fmid").isNull() | (F.col("_fmid") != F.col("_cand"))
-    n_new, n_inserted, n_changed = latest.agg(
-        F.count_if(F.col("_cand").isNull()), F.count_if(F.col("_fmid").isNull()), F.count_if(moved)
+    n_values, n_new, n_inserted, n_changed = latest.agg(
+        F.count("*"), F.count_if(F.col("_cand").isNull()), F.count_if(F.col("_fmid").isNull()), F.count_if(moved)
     ).first()
     decided = latest.withColumn("_nid", F.lit(None).cast("long"))
     if n_new:
@@ -251,9 +248,9 @@ def update_stage(
         F.when(changed, F.coalesce("_fmid", "_new")).otherwise(F.col("_fprev")).alias(f"_prev{k}"),
         F.col("_new").alias(f"_mid{k}"),
     )
-    # Lazy: materialised as the next stage's input.  Both sides are shuffled, so
+    # Lazy: materialised as the next stage's input.  Many values are merged, both sides shuffled, so
     # adaptive execution can split a hot value's partition of the batch rows.
-    next_rows = rows.join(after, F.col(attr) == F.col("_aval"), "left").drop("_aval")
+    next_rows = attach(rows, after, attr, "_aval", n_values > LARGE_BATCH)
     if trace is not None:
         trace[attr] = {
             "rows": rows,
@@ -266,6 +263,7 @@ def update_stage(
             "decided": decided,
             "delta": delta.select(*MAPPING_COLUMNS),
             "n_new": n_new,
+            "large": large,
         }
     sizes = None
     if state.sizes is not None and old_size is not None:
@@ -277,13 +275,13 @@ class _stored:
     """A state kept without a store: the delta, and the table after it, in the checkpoint folder."""
 
     def __init__(self, attr: str, delta: DataFrame, rows: int):
-        self.attr, self.delta = attr, materialise(delta, f"delta-{attr}")
+        self.attr, self.rows, self.delta = attr, rows, materialise(delta, f"delta-{attr}")
 
     def table(self, old: DataFrame, old_size: int | None) -> DataFrame:
-        return materialise(upsert(old, self.delta) if old_size != 0 else self.delta.select(*MAPPING_COLUMNS), f"map-{self.attr}")
+        return materialise(upsert(old, self.delta, large=self.rows > LARGE_BATCH) if old_size != 0 else self.delta.select(*MAPPING_COLUMNS), f"map-{self.attr}")
 
 
-def upsert(old: DataFrame, delta: DataFrame, partitions: int | None = None) -> DataFrame:
+def upsert(old: DataFrame, delta: DataFrame, partitions: int | None = None, large: bool = False) -> DataFrame:
     """Insert new values, replace changed ones (value is the key).
 
     With ``partitions`` (the bucket count of a bucketed ``old``) the delta is
@@ -291,7 +289,7 @@ def upsert(old: DataFrame, delta: DataFrame, partitions: int | None = None) -> D
     layout: only the delta is shuffled, never the stored rows."""
     if partitions:
         delta = delta.repartition(partitions, "value")
-    return old.join(delta.select("value"), "value", "left_anti").select(*MAPPING_COLUMNS).unionByName(
+    return old.join(sized(delta.select("value"), large), "value", "left_anti").select(*MAPPING_COLUMNS).unionByName(
         delta.select(*MAPPING_COLUMNS)
     )
 

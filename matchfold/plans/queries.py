@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from matchfold.functions import normalise as N
 from matchfold.functions.patterns import EMAIL_PATTERN
 from matchfold.functions.matching import priority_coalesce, similarity_string
+from matchfold.operators.joins import LARGE_BATCH, attach, sized
 from matchfold.operators.match import MID_COLS, latest_duns_per_cluster, match, match_detail
+from matchfold.operators.materialise import materialise
 from matchfold.operators.state import MAPPING_COLUMNS, MappingState
 from matchfold.operators.update import existing_impacted
 from matchfold.operators.validate import split_valid, validate_descriptions
@@ -46,6 +48,12 @@ class FixtureRun:
         valid, _ = split_valid(self.raw(batch), mode)
         return N.normalise_descriptions(valid)
 
+    def second(self) -> DataFrame:
+        """The second batch, normalised once for all stages that show it."""
+        if "second" not in self._memo:
+            self._memo["second"] = materialise(self.batch(2), "second")
+        return self._memo["second"]
+
     def _fold(self, key: str, batches: tuple) -> tuple[list[MappingState], list[dict]]:
         if key not in self._memo:
             buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
@@ -285,10 +293,11 @@ def _higher(k: int, **cols) -> list:
 
 def _lookup_stage(r, a, k):
     """The descriptions of the second batch with what the stage knows of their attribute tuple."""
-    rows = r.trace2(a)["rows"].drop("datetime", "source").withColumnsRenamed({x: f"_{x}" for x in ATTRIBUTES})
+    t = r.trace2(a)
+    rows = t["rows"].drop("datetime", "source").withColumnsRenamed({x: f"_{x}" for x in ATTRIBUTES})
     same = reduce(lambda x, y: x & y, [F.col(x).eqNullSafe(F.col(f"_{x}")) for x in ATTRIBUTES])
-    known = r.batch(2).join(rows, same)
-    tm = known.join(r.trace2(a)["look"], F.col(a) == F.col("_fval"), "left")
+    looked = attach(r.second(), t["look"], a, "_fval", t["look"].count() > LARGE_BATCH)
+    tm = looked.join(sized(rows, t["large"]), same)
     return tm.select(
         "id", F.col(a).alias("value"), F.col("_fprev").alias("f_prev"), F.col("_fmid").alias("f_mid"),
         *_higher(k, prev=("_prev{j}", "long"), mid=("_mid{j}", "long")),
@@ -297,7 +306,7 @@ def _lookup_stage(r, a, k):
 
 def _existing_stage(r, a, k):
     t = r.trace2(a)
-    ex = existing_impacted(t["touched"], t["best"], k)
+    ex = existing_impacted(t["touched"], t["best"], k, t["large"])
     return ex.select(
         "value", F.col("_fprev").alias("prev_match_id"), F.col("_fmid").alias("match_id"),
         F.col("_newest.src").alias("source"), F.col("_newest.dt").alias("datetime"),
@@ -317,7 +326,8 @@ def _dependents_stage(r, a, k):
 
 def _candidates_stage(r, a, k):
     t = r.trace2(a)
-    c = t["candidates"].join(t["look"].select("_fval", F.col("_fmid").alias("_lmid")), F.col("value") == F.col("_fval"), "left")
+    look = t["look"].select("_fval", F.col("_fmid").alias("_lmid"))
+    c = t["candidates"].join(sized(look, look.count() > LARGE_BATCH), F.col("value") == F.col("_fval"), "left")
     return c.select(
         "value", F.coalesce("_fmid", "_lmid").alias("f_mid"), F.col("_newest.dt").alias("f_dt"), F.col("_newest.src").alias("f_src"),
         *_higher(k, dt=("_h{j}.dt", dict(r.state1().tables[a].dtypes)["datetime"]), mid=("_h{j}.mid", "long")),
@@ -340,12 +350,12 @@ def _upsert_stage(r, a, k):
 def _seed_stage(r, a, k):
     from matchfold.operators.seed import insert_if_absent
 
-    newest = r.batch(2).where(F.col(a).isNotNull()).groupBy(F.col(a).alias("value")).agg(F.max(F.struct("datetime", "source")).alias("_n"))
+    newest = r.second().where(F.col(a).isNotNull()).groupBy(F.col(a).alias("value")).agg(F.max(F.struct("datetime", "source")).alias("_n"))
     seeds = newest.select(
         "value", F.lit(0).cast("long").alias("prev_match_id"), F.lit(0).cast("long").alias("match_id"),
         F.col("_n.source").alias("source"), F.col("_n.datetime").alias("datetime"),
     )
-    return insert_if_absent(r.state1().tables[a], seeds)
+    return insert_if_absent(r.state1().tables[a], seeds, r.state1().size(a) > LARGE_BATCH)
 
 
 # --- state, match and composites -----------------------------------------------------------
@@ -417,7 +427,7 @@ def q_similarity_string(spark, sf_dir):
 def q_latest_duns_per_match(spark, sf_dir):
     st = run_for(spark, sf_dir).state2()
     clusters = st.tables["duns_number"].select("match_id").distinct()
-    return latest_duns_per_cluster(st, clusters).select(
+    return latest_duns_per_cluster(st, clusters, st.size("duns_number") > LARGE_BATCH).select(
         "match_id", F.col("_dm.duns").alias("duns_number"), F.col("_dm.dt").alias("datetime")
     )
 

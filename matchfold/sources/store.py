@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchfold.operators.cluster_index import ENTRY_COLUMNS, ENTRY_DDL, ClusterIndex, entries
+from matchfold.operators.joins import LARGE_BATCH, sized
 from matchfold.operators.materialise import scratch
 from matchfold.operators.seed import insert_if_absent
 from matchfold.operators.state import MAPPING_COLUMNS, MappingState, empty_mapping
@@ -52,8 +53,9 @@ class CommitConflict(RuntimeError):
     """Another update has committed this version."""
 
 
-def layered(layers: list[DataFrame]) -> DataFrame:
-    """The table that layers (oldest first) make up: each value's row is that of its newest layer."""
+def layered(layers: list[DataFrame], large: bool = False) -> DataFrame:
+    """The table that layers (oldest first) make up: each value's row is that of its newest layer.
+    ``large``: the later ones hold too many values to broadcast."""
     base, later = layers[0], layers[1:]
     if not later:
         return base.select(*MAPPING_COLUMNS)
@@ -62,7 +64,7 @@ def layered(layers: list[DataFrame]) -> DataFrame:
         both = reduce(DataFrame.unionByName, [x.select(*MAPPING_COLUMNS, F.lit(i).alias("_layer")) for i, x in enumerate(later)])
         newest = both.groupBy("value").agg(F.max_by(F.struct(*MAPPING_COLUMNS[1:]), F.col("_layer")).alias("_r"))
         newer = newest.select("value", "_r.*")
-    return base.join(newer.select("value"), "value", "left_anti").select(*MAPPING_COLUMNS).unionByName(newer)
+    return base.join(sized(newer.select("value"), large), "value", "left_anti").select(*MAPPING_COLUMNS).unionByName(newer)
 
 
 class _Attempt:
@@ -192,7 +194,8 @@ class StateStore:
         return self._layer(name, ddl, by)
 
     def _table(self, layers: list) -> DataFrame:
-        return layered([self._layer(n, LAYER_DDL, "value") for n, _ in layers]) if layers else empty_mapping(self.spark)
+        large = sum(rows for _, rows in layers[1:]) > LARGE_BATCH
+        return layered([self._layer(n, LAYER_DDL, "value") for n, _ in layers], large) if layers else empty_mapping(self.spark)
 
     def _index(self, layers: list) -> ClusterIndex:
         return ClusterIndex([self._layer(n, ENTRY_DDL, "slot").select(*ENTRY_COLUMNS) for n, _ in layers])
@@ -287,7 +290,7 @@ class StateStore:
         def change(base: MappingState, sink: _Attempt) -> MappingState:
             sizes, last_id = dict(base.sizes), base.last_id
             for attr, rows in seeds.items():
-                new = insert_if_absent(empty_mapping(self.spark), rows).drop("created").join(base.tables[attr].select("value"), "value", "left_anti")
+                new = insert_if_absent(empty_mapping(self.spark), rows).drop("created").join(sized(base.tables[attr].select("value"), base.size(attr) > LARGE_BATCH), "value", "left_anti")
                 stored = self._write(f"data/{sink.id}/{attr}", new.withColumn("old_prev", F.lit(None).cast("long")), LAYER_DDL, "value")
                 n, top = stored.agg(F.count("*"), F.max(F.greatest("match_id", "prev_match_id"))).first()
                 if n:
