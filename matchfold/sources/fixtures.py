@@ -43,7 +43,9 @@ def derived_descriptions(spark: SparkSession, sf_dir: str, batch: int | None = N
         orders = orders.where(F.expr(FIRST_BATCH))
     elif batch == 2:
         orders = orders.where(~F.expr(FIRST_BATCH))
-    joined = orders.join(part, F.col("p.p_partkey") == F.col("o.o_custkey"), "left")
+    # merged: a broadcast of a large ``part`` would be built by the driver, and the normalisation that
+    # follows would run in as few tasks as the file has row groups
+    joined = orders.join(part.hint("merge"), F.col("p.p_partkey") == F.col("o.o_custkey"), "left")
     return joined.select(*[F.expr(e) for e in DERIVED_COLUMNS])
 
 
