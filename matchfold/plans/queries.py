@@ -355,7 +355,8 @@ def _seed_stage(r, a, k):
         "value", F.lit(0).cast("long").alias("prev_match_id"), F.lit(0).cast("long").alias("match_id"),
         F.col("_n.source").alias("source"), F.col("_n.datetime").alias("datetime"),
     )
-    return insert_if_absent(r.state1().tables[a], seeds, r.state1().size(a) > LARGE_BATCH)
+    # always merged: grouped by value, the seeds are laid out as the stored table is, and nothing goes to the driver
+    return insert_if_absent(r.state1().tables[a], seeds, large=True)
 
 
 # --- state, match and composites -----------------------------------------------------------

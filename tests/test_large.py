@@ -15,7 +15,7 @@ from matchfold.sources import store as store_module
 from matchfold.sources.fixtures import derived_descriptions
 from tests.described import about, descriptions
 from tests.oracle_harness import compare, duck
-from tests.test_plans import nodes, plan_text
+from tests.test_plans import nodes, plan_text, scans_below_an_exchange
 
 SF = "/root/testdata/sf0.001"
 NAMED = [
@@ -97,3 +97,8 @@ def _shuffles(df):
             todo.append(node.plan())
         todo += [node.children().apply(i) for i in range(node.children().size())]
     return found
+
+
+def test_seed_query_broadcasts_nothing(spark):
+    """Small tables too: each would be a page of up to 64 MB in the driver."""
+    assert not _broadcasts(E.queries()["seed_insert_if_absent"](spark, SF))
