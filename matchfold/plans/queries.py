@@ -54,6 +54,19 @@ class FixtureRun:
             self._memo["second"] = materialise(self.batch(2), "second")
         return self._memo["second"]
 
+    def second_known(self) -> DataFrame:
+        """The second batch with what the last stage knows of each attribute tuple.  A stage only adds columns to the
+        fold's rows, so the last one's rows hold what every stage saw: one join does for all."""
+        if "known" not in self._memo:
+            t = self.trace2(ATTRIBUTES[-1])
+            # the tuples' hash comes first: the merge sorts by its keys, and one number decides nearly every comparison
+            tuple_hash = F.xxhash64(*ATTRIBUTES)
+            rows = t["rows"].withColumn("_other", tuple_hash).drop("datetime", "source").withColumnsRenamed({x: f"_{x}" for x in ATTRIBUTES})
+            same = reduce(lambda x, y: x & y, [F.col(x).eqNullSafe(F.col(f"_{x}")) for x in ATTRIBUTES], F.col("_tuple") == F.col("_other"))
+            known = self.second().withColumn("_tuple", tuple_hash).join(sized(rows, t["large"]), same)
+            self._memo["known"] = materialise(known.drop("_tuple", "_other", *[f"_{x}" for x in ATTRIBUTES]), "known")
+        return self._memo["known"]
+
     def _fold(self, key: str, batches: tuple) -> tuple[list[MappingState], list[dict]]:
         if key not in self._memo:
             buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
@@ -293,11 +306,8 @@ def _higher(k: int, **cols) -> list:
 
 def _lookup_stage(r, a, k):
     """The descriptions of the second batch with what the stage knows of their attribute tuple."""
-    t = r.trace2(a)
-    rows = t["rows"].drop("datetime", "source").withColumnsRenamed({x: f"_{x}" for x in ATTRIBUTES})
-    same = reduce(lambda x, y: x & y, [F.col(x).eqNullSafe(F.col(f"_{x}")) for x in ATTRIBUTES])
-    looked = attach(r.second(), t["look"], a, "_fval", t["look"].count() > LARGE_BATCH)
-    tm = looked.join(sized(rows, t["large"]), same)
+    look = r.trace2(a)["look"]
+    tm = attach(r.second_known(), look, a, "_fval", look.count() > LARGE_BATCH)
     return tm.select(
         "id", F.col(a).alias("value"), F.col("_fprev").alias("f_prev"), F.col("_fmid").alias("f_mid"),
         *_higher(k, prev=("_prev{j}", "long"), mid=("_mid{j}", "long")),

@@ -102,3 +102,10 @@ def _shuffles(df):
 def test_seed_query_broadcasts_nothing(spark):
     """Small tables too: each would be a page of up to 64 MB in the driver."""
     assert not _broadcasts(E.queries()["seed_insert_if_absent"](spark, SF))
+
+
+def test_lookup_query_joins_the_tuples_once(spark):
+    """Not again for each of the six stages."""
+    text = plan_text(E.queries()["lookup_left_join"](spark, SF))
+    assert "/second-" not in text and "<=>" not in text
+    assert "/known-" in text
