@@ -63,8 +63,10 @@ def entries(attr: str, delta: DataFrame) -> DataFrame:
 
 
 class ClusterIndex:
-    def __init__(self, layers: list[DataFrame] | None = None):
-        self.layers = layers or []
+    """``fresh``: how many of the layers, the last ones, are an update's own and not laid out by slot yet."""
+
+    def __init__(self, layers: list[DataFrame] | None = None, fresh: int = 0):
+        self.layers, self.fresh = layers or [], fresh
 
     @staticmethod
     def of(tables: dict[str, DataFrame]) -> "ClusterIndex":
@@ -73,10 +75,18 @@ class ClusterIndex:
         return ClusterIndex([reduce(DataFrame.unionByName, [entries(a, t.select("*", old)) for a, t in tables.items()])])
 
     def plus(self, layer: DataFrame) -> "ClusterIndex":
-        return ClusterIndex([*self.layers, layer])
+        return ClusterIndex([*self.layers, layer], self.fresh + 1)
+
+    def numbered(self) -> list[DataFrame]:
+        return [x.withColumn("_layer", F.lit(i)) for i, x in enumerate(self.layers)]
 
     def union(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, [x.withColumn("_layer", F.lit(i)) for i, x in enumerate(self.layers)])
+        return reduce(DataFrame.unionByName, self.numbered())
+
+    def groups(self) -> list[DataFrame]:
+        """The layers as they are looked into: each stored one alone, so that its layout spares the exchange, the fresh ones together."""
+        layers, stored = self.numbered(), len(self.layers) - self.fresh
+        return layers[:stored] + ([reduce(DataFrame.unionByName, layers[stored:])] if self.fresh else [])
 
     def newest(self, found: DataFrame) -> DataFrame:
         """Of the entries of one cluster and value the one of the newest layer, if it is live."""
@@ -96,8 +106,8 @@ class ClusterIndex:
         slots = clusters.select(name, parts).select(slot_of(F.col(name), F.col("_part")).alias("slot"))
         known = listed(clusters, small)
         asked = None if known is None else [k * SLOTS + i for k in known for i in range(SLOTS)]
-        found = pruned(self.union().where(F.col("attribute") <= upto), "slot", asked)
-        return self.newest(found.join(sized(slots, large), "slot", "left_semi"))
+        found = [pruned(x.where(F.col("attribute") <= upto), "slot", asked).join(sized(slots, large), "slot", "left_semi") for x in self.groups()]
+        return self.newest(reduce(DataFrame.unionByName, found))
 
     def whole(self) -> DataFrame:
         """All live entries (for writing the layers as one)."""

@@ -109,3 +109,23 @@ def test_lookup_query_joins_the_tuples_once(spark):
     text = plan_text(E.queries()["lookup_left_join"](spark, SF))
     assert "/second-" not in text and "<=>" not in text
     assert "/known-" in text
+
+
+def test_stored_index_is_not_shuffled(spark):
+    """Beside an update's fresh entries, which are."""
+    from matchfold.operators.cluster_index import ENTRY_COLUMNS, entries
+
+    store = StateStore(spark, scratch_path(spark, "t-index"), buckets=2)
+    batch = normalise_descriptions(descriptions(spark, [about(i, register=f"AB{i:06d}", dnb=f"dun{i}") for i in range(30)]))
+    state = store.update(batch, batch_id=0)
+    delta = state.tables["duns_number"].select("*", F.lit(None).cast("long").alias("old_prev"))
+    index, keys = state.by_cluster(), delta.select(F.col("match_id").alias("_key")).distinct()
+    both = index.plus(entries("duns_number", delta)).at(keys, large=True)
+    assert _rows(both) == _rows(index.at(keys, large=True)) != []
+    assert both.columns == ENTRY_COLUMNS
+    stored = scans_below_an_exchange(both, "_index")
+    assert stored and not any(stored)
+
+
+def _rows(df):
+    return sorted(map(str, df.collect()))
