@@ -13,8 +13,14 @@ from matchfold.functions import patterns as P
 from matchfold.schema import ATTRIBUTES
 
 
-def _re(pattern: str) -> Column:
-    return F.lit(P.JAVA_FLAGS + pattern)
+#: What a match of the legal-form and of the noise patterns can begin with.  Most positions of a name fail
+#: this one test instead of every alternative in turn; it excludes no match.
+_LEGAL_START = r"(?=[\s:\[\]()'*&,;\"lt])"
+_NOISE_START = r"(?=[\s._(*\-dutil]|.?\d{5})"
+
+
+def _re(pattern: str, start: str = "") -> Column:
+    return F.lit(f"{P.JAVA_FLAGS}{start}(?:{pattern})")
 
 
 def _fallback_lower(cleaned: Column, raw: Column) -> Column:
@@ -42,7 +48,7 @@ def norm_duns_number(c: Column | str = "duns_number") -> Column:
 def norm_name_ch(c: Column | str = "company_name") -> Column:
     """Strict rule: blank out legal forms/punctuation, squeeze dots and blanks."""
     c = F.col(c) if isinstance(c, str) else c
-    step = F.regexp_replace(c, _re(P.NAME_LEGAL), F.lit(" "))
+    step = F.regexp_replace(c, _re(P.NAME_LEGAL, _LEGAL_START), F.lit(" "))
     step = F.regexp_replace(step, _re(P.NAME_SQUEEZE), F.lit(""))
     return _fallback_lower(step, c)
 
@@ -50,8 +56,8 @@ def norm_name_ch(c: Column | str = "company_name") -> Column:
 def norm_name_general(c: Column | str = "company_name") -> Column:
     """General rule: strict rule plus removal of trailing remarks and noise."""
     c = F.col(c) if isinstance(c, str) else c
-    step = F.regexp_replace(c, _re(P.NAME_LEGAL_GENERAL), F.lit(" "))
-    step = F.regexp_replace(step, _re(P.NAME_NOISE), F.lit(""))
+    step = F.regexp_replace(c, _re(P.NAME_LEGAL_GENERAL, _LEGAL_START), F.lit(" "))
+    step = F.regexp_replace(step, _re(P.NAME_NOISE, _NOISE_START), F.lit(""))
     step = F.regexp_replace(step, _re(P.NAME_SQUEEZE), F.lit(""))
     return _fallback_lower(step, c)
 

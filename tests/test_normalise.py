@@ -64,3 +64,34 @@ def test_normalise_descriptions_keeps_passthrough(spark):
     assert out.columns[:3] == ["id", "source", "datetime"]
     assert "junk" not in out.columns
     assert out.first().company_name == "foo"
+
+
+def test_starts_exclude_no_match(spark):
+    """Each rule gives what its plain patterns give, on names put together from all that they look for."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from matchfold.functions import patterns as P
+
+    rnd = random.Random(3)
+    bits = [
+        "the ", "The\t", " ", "  ", ":", "[", ")", "'", "*x*", "&", ",", ";", '"', "ltd", "Ltd.", "LIMITED", " llp", " PLC.", " llc", " and ", " co.", " co|", " company ",
+        "/", "-", " - ", "duplic", "_Duplicate", " dupilcat", " dupicat", " dissolved", "DO NOT ", "do not use", "in liquidation", "*in liquid", " liquidator", " ceased trading",
+        " trading as ", "t/a", " acquired by", " please ", "use12345", "x123456", "1234", ".", "\n", "é", "ſ", "K", "İ", "ı", " ", "\x0b", "\u0085", "abc",
+    ]
+    df = spark.createDataFrame([("".join(rnd.choice(bits) for _ in range(rnd.randint(0, 8))),) for _ in range(4000)], "n string")
+
+    def plain(*steps):
+        c = F.col("n")
+        for pattern, by in steps:
+            c = F.regexp_replace(c, F.lit(P.JAVA_FLAGS + pattern), F.lit(by))
+        return N._fallback_lower(c, F.col("n"))
+
+    strict = plain((P.NAME_LEGAL, " "), (P.NAME_SQUEEZE, ""))
+    general = plain((P.NAME_LEGAL_GENERAL, " "), (P.NAME_NOISE, ""), (P.NAME_SQUEEZE, ""))
+    wrong = df.where(~N.norm_name_ch("n").eqNullSafe(strict) | ~N.norm_name_general("n").eqNullSafe(general))
+    assert wrong.count() == 0
+    # the tests of the first characters are there: without them every alternative is tried at every position
+    text = df.select(N.norm_name_general("n"))._jdf.queryExecution().analyzed().toString()
+    assert N._LEGAL_START in text and N._NOISE_START in text
